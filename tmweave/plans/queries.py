@@ -1,0 +1,45 @@
+"""Registered queries: each takes ``(spark, sf_dir)`` and returns a DataFrame.
+
+``ORACLE_SQL`` holds, for each query that SQL can express, an equivalent DuckDB
+statement over the same parquet tables; output column names match.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tmweave.operators.combine import combine_sections
+from tmweave.plans import tables as T
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None):
+    def deco(fn):
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLE_SQL[name] = sql.strip()
+        return fn
+    return deco
+
+
+# --------------------------------------------------------------------------- combine
+@register("combine_documents", """
+SELECT conv_id AS document_id,
+       'translated/' || CAST(conv_id AS VARCHAR) || '_es.txt' AS output_key,
+       string_agg(text, chr(10) || chr(10) ORDER BY turn) AS body,
+       round(avg(CAST(length(text) % 100 AS DOUBLE) / 100.0), 6) AS confidence,
+       count(*) AS sections
+FROM conversations
+GROUP BY conv_id
+""")
+def combine_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sections = T.conversation_sections(spark, sf_dir)
+    docs = T.conversation_documents(sections)
+    out = combine_sections(sections, docs)
+    return out.select("document_id", "output_key", "body",
+                      F.round("confidence", 6).alias("confidence"), "sections")
