@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tmweave.operators import admission as A
 from tmweave.operators.combine import combine_sections
 from tmweave.plans import tables as T
 
@@ -43,3 +44,113 @@ def combine_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = combine_sections(sections, docs)
     return out.select("document_id", "output_key", "body",
                       F.round("confidence", 6).alias("confidence"), "sections")
+
+
+# --------------------------------------------------------------------------- admission
+_AUDIT_CTE = """
+WITH ev AS (
+  SELECT event_id,
+         strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS event_time,
+         CASE event_type WHEN 'click' THEN 'PutObject'
+                         WHEN 'purchase' THEN 'CompleteMultipartUpload'
+                         WHEN 'view' THEN 'GetObject'
+                         WHEN 'signup' THEN 'PutObject'
+                         WHEN 'error' THEN 'DeleteObject' END AS event_name,
+         CASE CAST(json_extract(props, '$.k') AS INTEGER) % 3
+              WHEN 0 THEN 'translation-memory-docs'
+              WHEN 1 THEN 'translation-memory-tmx'
+              ELSE 'unrelated-bucket' END AS bucket,
+         'uploads/' || CAST(user_id AS VARCHAR) || '/' || CAST(event_id AS VARCHAR) || '.txt' AS raw_key
+  FROM events)
+"""
+
+
+@register("route_uploads", _AUDIT_CTE + """
+SELECT event_id,
+       CASE bucket WHEN 'translation-memory-docs' THEN 'documents' ELSE 'tmx' END AS route,
+       bucket, raw_key, event_name, event_time
+FROM ev
+WHERE event_name IN ('PutObject', 'CompleteMultipartUpload')
+  AND bucket IN ('translation-memory-docs', 'translation-memory-tmx')
+""")
+def route_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = T.events_as_audit_events(spark, sf_dir)
+    routed = A.route_uploads(events, {"documents": T.DOCUMENTS_BUCKET, "tmx": T.TMX_BUCKET})
+    return routed.select("event_id", "route", "bucket", "raw_key", "event_name", "event_time")
+
+
+_PAGE_KEYS = """
+pk AS (
+  SELECT page_id,
+         regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS bucket,
+         regexp_extract(url, '^[a-z]+://[^/]+/(.*)$', 1) AS raw_key
+  FROM pages)
+"""
+
+
+@register("decode_object_keys", "WITH " + _PAGE_KEYS + """
+, dk AS (SELECT page_id, bucket, raw_key, url_decode(replace(raw_key, '+', ' ')) AS key FROM pk)
+SELECT page_id, bucket, key,
+       coalesce(nullif(split_part(list_last(string_split(key, '/')), '.', 1), ''), 'unknown')
+         AS document_id
+FROM dk
+""")
+def decode_object_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.decode_keys(T.page_uploads(spark, sf_dir)).select(
+        "page_id", "bucket", "key", "document_id")
+
+
+ADMIT_TIMESTAMP = "2024-01-01T00:00:00.000Z"
+
+
+@register("admit_documents", "WITH " + _PAGE_KEYS + """
+, docs AS (
+  SELECT 'translation-memory-docs' AS bucket,
+         'documents/' || CAST(doc_id AS VARCHAR) ||
+           CASE lang WHEN 'en' THEN '.txt' WHEN 'fr' THEN '.pdf' WHEN 'de' THEN '.docx'
+                     WHEN 'es' THEN '.jpg' ELSE '.bin' END AS raw_key,
+         CASE lang WHEN 'en' THEN 'text/plain' WHEN 'fr' THEN 'application/pdf'
+                   WHEN 'de' THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document'
+                   WHEN 'es' THEN 'image/jpeg' END AS content_type
+  FROM documents)
+, manifest AS (
+  SELECT bucket, raw_key AS key,
+         CASE WHEN raw_key LIKE '%.html' THEN 'text/html'
+              WHEN raw_key LIKE '%/' THEN 'application/octet-stream' END AS content_type
+  FROM pk WHERE raw_key LIKE '%.html' OR raw_key LIKE '%/'
+  UNION ALL SELECT bucket, raw_key, content_type FROM docs)
+, m AS (SELECT bucket, key, max(content_type) AS content_type FROM manifest GROUP BY ALL)
+, up AS (
+  SELECT bucket, url_decode(replace(raw_key, '+', ' ')) AS key FROM pk
+  UNION ALL SELECT bucket, url_decode(replace(raw_key, '+', ' ')) FROM docs)
+, j AS (
+  SELECT up.bucket, up.key, m.content_type,
+         coalesce(nullif(split_part(list_last(string_split(up.key, '/')), '.', 1), ''), 'unknown')
+           AS document_id
+  FROM up LEFT JOIN m ON up.bucket = m.bucket AND up.key = m.key)
+, t AS (
+  SELECT *, coalesce(contains(content_type, 'text') OR contains(content_type, 'application/pdf')
+                     OR contains(content_type, 'application/msword')
+                     OR contains(content_type, 'application/vnd.openxmlformats-officedocument'),
+                     false) AS admitted
+  FROM j)
+SELECT bucket, key, content_type, document_id, admitted,
+       CASE WHEN admitted THEN NULL
+            ELSE 'Unsupported file type: ' || coalesce(content_type, 'undefined') END AS reason,
+       CASE WHEN admitted THEN json_object('bucket', bucket, 'key', key,
+                                           'contentType', content_type,
+                                           'documentId', document_id,
+                                           'timestamp', '2024-01-01T00:00:00.000Z')::VARCHAR
+       END AS request
+FROM t
+""")
+def admit_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uploads = T.page_uploads(spark, sf_dir).select("bucket", "raw_key").unionByName(
+        T.document_objects(spark, sf_dir).select("bucket", "raw_key"))
+    ok, bad = A.admit_uploads(uploads, T.upload_manifest(spark, sf_dir),
+                              timestamp=ADMIT_TIMESTAMP)
+    cols = ["bucket", "key", "content_type", "document_id"]
+    return (ok.select(*cols, F.lit(True).alias("admitted"),
+                      F.lit(None).cast("string").alias("reason"), "request")
+            .unionByName(bad.select(*cols, F.lit(False).alias("admitted"), "reason",
+                                    F.lit(None).cast("string").alias("request"))))

@@ -37,3 +37,89 @@ def conversation_documents(sections: DataFrame) -> DataFrame:
         F.lit(SOURCE_LANGUAGE).alias("source_language"),
         F.lit(TARGET_LANGUAGE).alias("target_language"),
     )
+
+
+# How ``events`` rows stand in for audit-log upload events.
+TMX_BUCKET = "translation-memory-tmx"
+OTHER_BUCKET = "unrelated-bucket"
+EVENT_NAME_BY_TYPE = {
+    "click": "PutObject",
+    "purchase": "CompleteMultipartUpload",
+    "view": "GetObject",
+    "signup": "PutObject",
+    "error": "DeleteObject",
+}
+# Object kind by document language (extension, content type).
+OBJECT_BY_LANG = {
+    "en": (".txt", "text/plain"),
+    "fr": (".pdf", "application/pdf"),
+    "de": (".docx", "application/vnd.openxmlformats-officedocument.wordprocessingml.document"),
+    "es": (".jpg", "image/jpeg"),
+}
+
+
+def _case(column: str, mapping: dict[str, str], default=None):
+    expr = F.lit(default)
+    for k, v in reversed(list(mapping.items())):
+        expr = F.when(F.col(column) == F.lit(k), F.lit(v)).otherwise(expr)
+    return expr
+
+
+def events_as_audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` rows as audit-log events (schema ``schemas.AUDIT_EVENT``).
+
+    Event type picks the API call, ``props.k % 3`` the bucket (documents, TM or an
+    unrelated one); the object key is built from user and event ids.
+    """
+    e = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    bucket = (F.when(k % 3 == 0, F.lit(DOCUMENTS_BUCKET))
+              .when(k % 3 == 1, F.lit(TMX_BUCKET)).otherwise(F.lit(OTHER_BUCKET)))
+    key = F.concat(F.lit("uploads/"), F.col("user_id").cast("string"), F.lit("/"),
+                   F.col("event_id").cast("string"), F.lit(".txt"))
+    return e.select(
+        "event_id",
+        F.lit("aws.s3").alias("source"),
+        F.lit("AWS API Call via CloudTrail").alias("detail-type"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("time"),
+        F.struct(
+            F.lit("s3.amazonaws.com").alias("eventSource"),
+            _case("event_type", EVENT_NAME_BY_TYPE).alias("eventName"),
+            F.struct(bucket.alias("bucketName"), key.alias("key")).alias("requestParameters"),
+        ).alias("detail"),
+    )
+
+
+def page_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages.url`` as uploads: host = bucket, path = (encoded) object key."""
+    p = table(spark, sf_dir, "pages")
+    return p.select(
+        "page_id",
+        F.regexp_extract("url", r"^[a-z]+://([^/]+)", 1).alias("bucket"),
+        F.regexp_extract("url", r"^[a-z]+://[^/]+/(.*)$", 1).alias("raw_key"),
+    )
+
+
+def document_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` as uploaded objects with a content type by language."""
+    d = table(spark, sf_dir, "documents")
+    ext = _case("lang", {k: v[0] for k, v in OBJECT_BY_LANG.items()}, ".bin")
+    ctype = _case("lang", {k: v[1] for k, v in OBJECT_BY_LANG.items()})
+    return d.select(
+        F.lit(DOCUMENTS_BUCKET).alias("bucket"),
+        F.concat(F.lit("documents/"), F.col("doc_id").cast("string"), ext).alias("raw_key"),
+        ctype.alias("content_type"),
+    )
+
+
+def upload_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Object metadata: every document object, and page objects whose path ends in
+    ``.html`` (``text/html``) or ``/`` (``application/octet-stream``).  Other page
+    objects have no metadata record."""
+    pages = page_uploads(spark, sf_dir)
+    page_ct = (F.when(F.col("raw_key").endswith(".html"), F.lit("text/html"))
+               .when(F.col("raw_key").endswith("/"), F.lit("application/octet-stream")))
+    page_m = pages.select("bucket", F.col("raw_key").alias("key"), page_ct.alias("content_type"))
+    docs = document_objects(spark, sf_dir).select(
+        "bucket", F.col("raw_key").alias("key"), "content_type")
+    return page_m.filter(F.col("content_type").isNotNull()).unionByName(docs)
