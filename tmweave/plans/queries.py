@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tmweave.operators import admission as A
 from tmweave.operators.combine import combine_sections
+from tmweave.operators.sections import split_sections
 from tmweave.plans import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +155,29 @@ def admit_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("string").alias("reason"), "request")
             .unionByName(bad.select(*cols, F.lit(False).alias("admitted"), "reason",
                                     F.lit(None).cast("string").alias("request"))))
+
+
+# --------------------------------------------------------------------------- sections
+@register("split_sections", """
+SELECT doc_id AS document_id,
+       CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS section_id,
+       unnest(parts) AS section
+FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)
+""")
+def split_sections_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = T.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("document_id"), "text")
+    return split_sections(docs, "\n").select("document_id", "section_id", "section")
+
+
+@register("section_round_trip", """
+SELECT doc_id AS document_id, text FROM documents
+""")
+def section_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = T.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("document_id"), "text")
+    secs = split_sections(docs, "\n").select(
+        "document_id", "section_id", F.col("section").alias("translated_text"),
+        F.lit(1.0).alias("confidence"))
+    return combine_sections(secs, separator="\n").select(
+        "document_id", F.col("body").alias("text"))
