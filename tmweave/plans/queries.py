@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 from tmweave.operators import admission as A
 from tmweave.operators.combine import combine_sections
 from tmweave.operators.sections import split_sections
+from tmweave.functions.text import PROMPT_TEMPLATE, model_request
+from tmweave.operators.retrieval import retrieval_context, tm_search_side
+from tmweave.operators.translate import EchoCompleter, with_prompts
+from tmweave.operators.vectors import embed_text, topk_cosine
+from tmweave.plans import pipeline as P
 from tmweave.plans import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,3 +186,183 @@ def section_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(1.0).alias("confidence"))
     return combine_sections(secs, separator="\n").select(
         "document_id", F.col("body").alias("text"))
+
+
+# --------------------------------------------------------------------------- vectors
+def sql_template(template: str, **exprs: str) -> str:
+    """The SQL concatenation of a ``{name}`` template (newlines as chr(10))."""
+    import re
+    out, pos = [], 0
+    for m in re.finditer(r"\{(\w+)\}", template):
+        out.append(template[pos:m.start()])
+        out.append(None)
+        out.append(exprs[m.group(1)])
+        pos = m.end()
+    out.append(template[pos:])
+    parts, i = [], 0
+    while i < len(out):
+        piece = out[i]
+        if piece is None:
+            parts.append(f"coalesce(CAST({out[i + 1]} AS VARCHAR), '')")
+            i += 2
+            continue
+        lines = piece.split("\n")
+        for j, ln in enumerate(lines):
+            if ln:
+                parts.append("'" + ln.replace("'", "''") + "'")
+            if j < len(lines) - 1:
+                parts.append("chr(10)")
+        i += 1
+    return " || ".join(parts)
+
+
+def _hash_embedding_ctes(src: str, id_expr: str, text_expr: str) -> str:
+    """CTEs tok, hb (sparse counts), hn (norms), qv (dense unit vectors)."""
+    return rf"""
+tok AS (SELECT {id_expr} AS qid,
+               unnest(regexp_split_to_array(lower({text_expr}), '[^\p{{L}}\p{{N}}]+')) AS t
+        FROM {src}),
+hb AS (SELECT qid, CAST(('0x' || substr(md5(t), 1, 8)) AS BIGINT) % 64 AS dim,
+              CAST(count(*) AS DOUBLE) AS n
+       FROM tok WHERE t <> '' GROUP BY ALL),
+hn AS (SELECT qid, sqrt(sum(n * n)) AS norm FROM hb GROUP BY qid),
+qv AS (SELECT g.qid, list(coalesce(hb.n / hn.norm, 0.0) ORDER BY g.dim) AS v
+       FROM (SELECT qid, r.dim FROM hn, range(64) r(dim)) g
+       LEFT JOIN hb USING (qid, dim) JOIN hn USING (qid)
+       GROUP BY g.qid)"""
+
+
+_TM_CTE = """
+tm AS (SELECT e.vec_id AS tm_id, CAST(e.embedding AS DOUBLE[]) AS v,
+              CAST(e.label AS DOUBLE) / 10.0 AS tm_score, d.text AS translation
+       FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id)"""
+
+_SEARCH_CTES = """
+s AS (SELECT qv.qid, tm.tm_id, list_cosine_similarity(qv.v, tm.v) + 1.0 AS score FROM qv, tm),
+r AS (SELECT qid, tm_id, score,
+             row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, tm_id) AS rank
+      FROM s QUALIFY rank <= 5),
+kept AS (SELECT r.qid, r.rank, tm.translation FROM r JOIN tm USING (tm_id)
+         WHERE tm.tm_score > 0.8 AND coalesce(tm.translation, '') <> ''),
+ctx AS (SELECT qid, string_agg(translation, chr(10) ORDER BY rank) AS context,
+               count(*) AS kept_hits
+        FROM kept GROUP BY qid)"""
+
+
+@register("hash_embeddings", "WITH " + _hash_embedding_ctes("benchmark", "item_id", "text") + """
+SELECT qid AS item_id, CAST(dim AS INTEGER) AS dim, round(n / norm, 6) AS weight
+FROM hb JOIN hn USING (qid)
+""")
+def hash_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = embed_text(T.table(spark, sf_dir, "benchmark"), "text")
+    return (b.select("item_id", F.posexplode("embedding").alias("dim", "weight"))
+            .filter(F.col("weight") != 0)
+            .select("item_id", "dim", F.round("weight", 6).alias("weight")))
+
+
+_TOPK_SQL = """
+WITH qv AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+tm AS (SELECT vec_id AS tm_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT qv.qid, tm.tm_id, list_cosine_similarity(qv.v, tm.v) + 1.0 AS score FROM qv, tm)
+SELECT qid AS query_id, tm_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, tm_id) AS rank
+      FROM s) WHERE rank <= 5
+"""
+
+
+def _topk_query(spark, sf_dir, **opts):
+    e = T.table(spark, sf_dir, "embeddings")
+    q = e.select(F.col("vec_id").alias("query_id"), "embedding")
+    tm = e.select(F.col("vec_id").alias("tm_id"), "embedding")
+    hits = topk_cosine(q, tm, 5, **opts)
+    return hits.select("query_id", "tm_id", "rank", F.round("score", 6).alias("score"))
+
+
+@register("topk_similar", _TOPK_SQL)
+def topk_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _topk_query(spark, sf_dir)
+
+
+@register("topk_similar_blocked", _TOPK_SQL)
+def topk_similar_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Same answer through 4 x 4 blocks and the cross-block ranking window."""
+    return _topk_query(spark, sf_dir, query_blocks=4, tm_blocks=4)
+
+
+# --------------------------------------------------------------------------- retrieval
+@register("retrieval_context", "WITH " + _TM_CTE + """,
+qv AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),""" + _SEARCH_CTES + """
+SELECT q.vec_id AS query_id, coalesce(ctx.context, '') AS context,
+       CAST(len(string_split(coalesce(ctx.context, ''), chr(10))) AS INTEGER) AS context_size,
+       CAST(coalesce(ctx.kept_hits, 0) AS INTEGER) AS kept_hits
+FROM embeddings q LEFT JOIN ctx ON ctx.qid = q.vec_id
+""")
+def retrieval_context_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tm = T.tm_from_embeddings(spark, sf_dir)
+    q = T.table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("query_id"), "embedding")
+    hits = topk_cosine(q, tm_search_side(tm), 5, carry=("tm_score", "has_translation"))
+    out = retrieval_context(q.select("query_id"), hits, tm)
+    return out.select("query_id", "context", "context_size", "kept_hits")
+
+
+_BENCH_PROMPT = sql_template(PROMPT_TEMPLATE, context="coalesce(ctx.context, '')",
+                             source="'en'", target="'es'", section="b.text")
+
+
+@register("build_prompts", "WITH " + _TM_CTE + ","
+          + _hash_embedding_ctes("benchmark", "item_id", "text") + "," + _SEARCH_CTES + f""",
+p AS (SELECT b.item_id, {_BENCH_PROMPT} AS prompt
+      FROM benchmark b LEFT JOIN ctx ON ctx.qid = b.item_id)
+SELECT item_id AS document_id, prompt,
+       json_object('prompt', prompt, 'max_tokens', 2000, 'temperature', 0.7)::VARCHAR AS request
+FROM p
+""")
+def build_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sections = T.benchmark_sections(spark, sf_dir)
+    ctx = P.retrieve(sections, T.tm_from_embeddings(spark, sf_dir))
+    return (with_prompts(ctx)
+            .select("document_id", "prompt", model_request("prompt").alias("request")))
+
+
+@register("translate_sections", "WITH " + _TM_CTE + ","
+          + _hash_embedding_ctes("benchmark", "item_id", "text") + "," + _SEARCH_CTES + """
+SELECT b.item_id AS document_id, 0 AS section_id, b.text AS original_text,
+       '[es] ' || b.text AS translated_text, CAST(0.95 AS DOUBLE) AS confidence,
+       'anthropic.claude-v2' AS model,
+       CAST(len(string_split(coalesce(ctx.context, ''), chr(10))) AS INTEGER) AS context_size
+FROM benchmark b LEFT JOIN ctx ON ctx.qid = b.item_id
+""")
+def translate_sections_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    res = P.translate_sections(T.benchmark_sections(spark, sf_dir),
+                               T.tm_from_embeddings(spark, sf_dir), EchoCompleter())
+    return res.select("document_id", "section_id", "original_text", "translated_text",
+                      "confidence", "model", "context_size")
+
+
+@register("translate_documents", """
+WITH secs AS (
+  SELECT doc_id, CASE WHEN lang = 'es' THEN 'en' ELSE 'es' END AS tgt,
+         generate_subscripts(parts, 1) - 1 AS section_id, unnest(parts) AS section
+  FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS parts FROM documents)),
+uniq AS (SELECT DISTINCT section FROM secs),""" + _TM_CTE + ","
+          + _hash_embedding_ctes("uniq", "section", "section") + "," + _SEARCH_CTES + """,
+res AS (
+  SELECT secs.doc_id, secs.section_id, secs.tgt, '[' || secs.tgt || '] ' || secs.section AS translated,
+         len(string_split(coalesce(ctx.context, ''), chr(10))) AS context_size
+  FROM secs LEFT JOIN ctx ON ctx.qid = secs.section)
+SELECT doc_id AS document_id,
+       'translated/' || CAST(doc_id AS VARCHAR) || '_' || any_value(tgt) || '.txt' AS output_key,
+       string_agg(translated, chr(10) || chr(10) ORDER BY section_id) AS body,
+       round(avg(CAST(0.95 AS DOUBLE)), 6) AS confidence,
+       count(*) AS sections,
+       CAST(sum(context_size) AS BIGINT) AS context_lines
+FROM res GROUP BY doc_id
+""")
+def translate_documents_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = T.document_requests(spark, sf_dir)
+    out = P.translate_documents(docs, T.tm_from_embeddings(spark, sf_dir), EchoCompleter(),
+                                delimiter="\n")
+    return out.select("document_id", "output_key", "body",
+                      F.round("confidence", 6).alias("confidence"), "sections",
+                      "context_lines")

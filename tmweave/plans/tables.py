@@ -123,3 +123,38 @@ def upload_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = document_objects(spark, sf_dir).select(
         "bucket", F.col("raw_key").alias("key"), "content_type")
     return page_m.filter(F.col("content_type").isNotNull()).unionByName(docs)
+
+
+def tm_from_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A translation memory from ``embeddings`` (vectors, stored score
+    ``label / 10``) with the text of the document of the same id as translation
+    (NULL where no such document exists)."""
+    e = table(spark, sf_dir, "embeddings")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("tm_id"),
+                                                 F.col("text").alias("translation"))
+    return (e.select(F.col("vec_id").alias("tm_id"), "embedding",
+                     (F.col("label").cast("double") / F.lit(10.0)).alias("score"))
+            .join(d, "tm_id", "left"))
+
+
+def benchmark_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``benchmark`` items as one-section documents to translate en -> es."""
+    b = table(spark, sf_dir, "benchmark")
+    return b.select(F.col("item_id").alias("document_id"),
+                    F.lit(0).alias("section_id"),
+                    F.col("text").alias("section"),
+                    F.lit(SOURCE_LANGUAGE).alias("source_language"),
+                    F.lit(TARGET_LANGUAGE).alias("target_language"))
+
+
+def document_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` as translation requests: own language -> es (en for es)."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(
+        F.col("doc_id").alias("document_id"), "text",
+        F.lit(DOCUMENTS_BUCKET).alias("bucket"),
+        F.concat(F.lit("documents/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+        .alias("original_key"),
+        F.col("lang").alias("source_language"),
+        F.when(F.col("lang") == F.lit(TARGET_LANGUAGE), F.lit(SOURCE_LANGUAGE))
+        .otherwise(F.lit(TARGET_LANGUAGE)).alias("target_language"))
