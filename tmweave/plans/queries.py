@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tmweave.operators import admission as A
+from tmweave.config import Features, load_config
+from tmweave.operators import notify as N
 from tmweave.operators.combine import combine_sections
 from tmweave.operators.sections import split_sections
 from tmweave.functions.text import PROMPT_TEMPLATE, model_request
@@ -39,7 +41,7 @@ def register(name: str, sql: str | None = None):
 SELECT conv_id AS document_id,
        'translated/' || CAST(conv_id AS VARCHAR) || '_es.txt' AS output_key,
        string_agg(text, chr(10) || chr(10) ORDER BY turn) AS body,
-       round(avg(CAST(length(text) % 100 AS DOUBLE) / 100.0), 6) AS confidence,
+       round(avg(CAST(length(text) % 64 AS DOUBLE) / 64.0), 6) AS confidence,
        count(*) AS sections
 FROM conversations
 GROUP BY conv_id
@@ -366,3 +368,41 @@ def translate_documents_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("document_id", "output_key", "body",
                       F.round("confidence", 6).alias("confidence"), "sections",
                       "context_lines")
+
+
+# --------------------------------------------------------------------------- notify
+_SENDER = "test@example.com"
+_NOTE_FIELDS = dict(document_id="conv_id", source_language="'en'", target_language="'es'",
+                    link="'https://downloads.example.com/translated/' || CAST(conv_id AS VARCHAR) || '_es.txt'",
+                    percent="pct")
+
+
+@register("notifications", """
+WITH c AS (SELECT conv_id, avg(CAST(length(text) % 64 AS DOUBLE) / 64.0) * 100.0 AS y
+           FROM conversations GROUP BY conv_id),
+f AS (SELECT conv_id,
+             CASE WHEN isnan(y) THEN 'NaN'
+                  WHEN y * 8 = floor(y * 8) AND CAST(y * 8 AS BIGINT) % 2 = 1
+                    THEN printf('%.2f', ceil(y * 100) / 100)
+                  ELSE printf('%.2f', y) END || '%' AS pct
+      FROM c)
+SELECT conv_id AS document_id,
+       'user' || CAST(conv_id AS VARCHAR) || '@example.com' AS recipient,
+       'test@example.com' AS sender,
+       'Translation Complete - ' || CAST(conv_id AS VARCHAR) AS subject,
+       """ + sql_template(N.HTML_TEMPLATE, **_NOTE_FIELDS) + """ AS html_body,
+       """ + sql_template(N.TEXT_TEMPLATE, **_NOTE_FIELDS) + """ AS text_body,
+       604800 AS link_expires_s
+FROM f
+""")
+def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sections = T.conversation_sections(spark, sf_dir)
+    combined = combine_sections(sections, T.conversation_documents(sections))
+    combined = (combined
+                .withColumn("recipient_email", F.concat(
+                    F.lit("user"), F.col("document_id").cast("string"), F.lit("@example.com")))
+                .withColumn("download_link", F.concat(
+                    F.lit("https://downloads.example.com/"), F.col("output_key"))))
+    cfg = load_config({"features": Features(email_notifications=True),
+                       "sender_email": _SENDER}, env={})
+    return N.notify(combined, cfg)
