@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tmweave.operators import admission as A
 from tmweave.config import Features, load_config
 from tmweave.operators import notify as N
+from tmweave.operators import tmx as X
 from tmweave.operators.combine import combine_sections
 from tmweave.operators.sections import split_sections
 from tmweave.functions.text import PROMPT_TEMPLATE, model_request
@@ -406,3 +407,55 @@ def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     cfg = load_config({"features": Features(email_notifications=True),
                        "sender_email": _SENDER}, env={})
     return N.notify(combined, cfg)
+
+
+# --------------------------------------------------------------------------- TMX
+_PAIRS_SQL = """
+pairs AS (SELECT a.conv_id, a.turn, 'en-us' AS source_lang, 'es-es' AS target_lang,
+                 a.text AS source_text, b.text AS target_text
+          FROM conversations a JOIN conversations b
+            ON b.conv_id = a.conv_id AND b.turn = a.turn + 1)"""
+
+
+def conversation_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consecutive turns of each conversation written as TMX ``<tu>`` text
+    (turn t is the source, t + 1 the target) and parsed back by ``from_xml``."""
+    c = T.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"),
+                   F.col("text").alias("next_text"))
+    units = c.join(nxt, ["conv_id", "turn"]).select(
+        "conv_id", "turn",
+        X.tu_xml(F.lit("en-us"), F.lit("es-es"), "text", "next_text").alias("xml"))
+    return X.pair_segments(X.parse_units(units))
+
+
+@register("tmx_pairs", "WITH " + _PAIRS_SQL + """
+SELECT conv_id, turn, source_lang, target_lang, source_text, target_text FROM pairs
+""")
+def tmx_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_units(spark, sf_dir).select(
+        "conv_id", "turn", "source_lang", "target_lang", "source_text", "target_text")
+
+
+@register("ingest_tm", "WITH " + _PAIRS_SQL + """,
+tmp AS (SELECT DISTINCT source_lang, target_lang, source_text, target_text AS translation
+        FROM pairs),
+uniq AS (SELECT DISTINCT source_text FROM tmp),""" + _hash_embedding_ctes(
+    "uniq", "source_text", "source_text") + """
+SELECT p.source_lang, p.target_lang, p.source_text, p.translation,
+       CAST(1.0 AS DOUBLE) AS score, list_transform(qv.v, lambda x: round(x, 6)) AS embedding
+FROM tmp p LEFT JOIN qv ON qv.qid = p.source_text
+""")
+def ingest_tm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C2 + K1: pairs embedded and appended to a TM store, then read back.
+    Appending the same pairs a second time adds nothing."""
+    from tmweave.session import scratch_path
+    from tmweave.sinks.tables import write_tm
+
+    recs = X.tm_records(conversation_units(spark, sf_dir).drop("conv_id", "turn"))
+    path = scratch_path(spark, "tm")
+    write_tm(recs, path)
+    write_tm(recs, path)
+    tm = spark.read.parquet(path)
+    return tm.select("source_lang", "target_lang", "source_text", "translation", "score",
+                     F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
