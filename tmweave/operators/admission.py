@@ -137,3 +137,17 @@ def admit_uploads(uploads: DataFrame, manifest: DataFrame, *, mode: str = "quara
         return execution_request(admit(with_ct, "failfast", exclude_outputs), timestamp)
     ok, bad = admit(with_ct, "quarantine", exclude_outputs)
     return execution_request(ok, timestamp), bad
+
+
+def admission_outcomes(uploads: DataFrame, manifest: DataFrame, *, timestamp=None,
+                       exclude_outputs: bool = True) -> DataFrame:
+    """C1 as one table: every upload with ``admitted``, ``reason`` and, when
+    admitted, its execution ``request`` (the form streaming sinks append)."""
+    from tmweave.sources.uploads import attach_object_metadata
+
+    with_ct = attach_object_metadata(decode_keys(uploads), manifest)
+    tagged = with_ct.withColumn("reason", rejection_reason(with_ct, exclude_outputs))
+    ok = F.col("reason").isNull()
+    return (execution_request(tagged, timestamp)
+            .withColumn("admitted", ok)
+            .withColumn("request", F.when(ok, F.col("request"))))

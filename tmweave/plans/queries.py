@@ -154,6 +154,7 @@ SELECT bucket, key, content_type, document_id, admitted,
 FROM t
 """)
 def admit_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C1 in batch: decode, metadata lookup, validation, requests (quarantine)."""
     uploads = T.page_uploads(spark, sf_dir).select("bucket", "raw_key").unionByName(
         T.document_objects(spark, sf_dir).select("bucket", "raw_key"))
     ok, bad = A.admit_uploads(uploads, T.upload_manifest(spark, sf_dir),
@@ -459,3 +460,46 @@ def ingest_tm(spark: SparkSession, sf_dir: str) -> DataFrame:
     tm = spark.read.parquet(path)
     return tm.select("source_lang", "target_lang", "source_text", "translation", "score",
                      F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+
+
+# --------------------------------------------------------------------------- streaming
+_ADMIT_COLS = ["bucket", "key", "content_type", "document_id", "admitted", "reason", "request"]
+
+
+@register("stream_admission", ORACLE_SQL["admit_documents"])
+def stream_admission_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages and documents streamed through admission into a file sink."""
+    from tmweave.session import scratch_path
+    from tmweave.streaming import run_available_now, stream_admission
+
+    uploads = (T.page_uploads(spark, sf_dir, T.stream_table(spark, sf_dir, "pages"))
+               .select("bucket", "raw_key")
+               .unionByName(T.document_objects(spark, sf_dir,
+                                               T.stream_table(spark, sf_dir, "documents"))
+                            .select("bucket", "raw_key")))
+    base = scratch_path(spark, "stream-admission")
+    q = stream_admission(uploads, T.upload_manifest(spark, sf_dir), f"{base}/out",
+                         f"{base}/checkpoint", timestamp=ADMIT_TIMESTAMP)
+    run_available_now(q)
+    return spark.read.parquet(f"{base}/out").select(*_ADMIT_COLS)
+
+
+@register("stream_combine", ORACLE_SQL["combine_documents"])
+def stream_combine_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation sections streamed through the stateful fan-in combine."""
+    from tmweave.operators.combine import with_output_fields
+    from tmweave.session import scratch_path
+    from tmweave.streaming import run_available_now, stream_combine
+
+    sections = T.conversation_sections(spark, sf_dir,
+                                       T.stream_table(spark, sf_dir, "conversations"))
+    expected = (T.conversation_sections(spark, sf_dir).groupBy("document_id")
+                .agg(F.count(F.lit(1)).alias("expected")))
+    base = scratch_path(spark, "stream-combine")
+    q = stream_combine(sections, expected, f"{base}/out", f"{base}/checkpoint")
+    run_available_now(q)
+    done = spark.read.parquet(f"{base}/out")
+    docs = T.conversation_documents(T.conversation_sections(spark, sf_dir))
+    out = with_output_fields(docs.join(done, "document_id"))
+    return out.select("document_id", "output_key", "body",
+                      F.round("confidence", 6).alias("confidence"), "sections")

@@ -15,10 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def conversation_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A sample table as a streaming file source (its folder, this file only)."""
+    schema = table(spark, sf_dir, name).schema
+    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+            .parquet(sf_dir))
+
+
+def conversation_sections(spark: SparkSession, sf_dir: str,
+                          source: DataFrame | None = None) -> DataFrame:
     """``conversations`` as translated sections: conversation = document, turn =
     section id, text = translation, confidence derived from the text length."""
-    c = table(spark, sf_dir, "conversations")
+    c = source if source is not None else table(spark, sf_dir, "conversations")
     return c.select(
         F.col("conv_id").alias("document_id"),
         F.col("turn").alias("section_id"),
@@ -92,9 +100,10 @@ def events_as_audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def page_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+def page_uploads(spark: SparkSession, sf_dir: str,
+                 source: DataFrame | None = None) -> DataFrame:
     """``pages.url`` as uploads: host = bucket, path = (encoded) object key."""
-    p = table(spark, sf_dir, "pages")
+    p = source if source is not None else table(spark, sf_dir, "pages")
     return p.select(
         "page_id",
         F.regexp_extract("url", r"^[a-z]+://([^/]+)", 1).alias("bucket"),
@@ -102,9 +111,10 @@ def page_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def document_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+def document_objects(spark: SparkSession, sf_dir: str,
+                     source: DataFrame | None = None) -> DataFrame:
     """``documents`` as uploaded objects with a content type by language."""
-    d = table(spark, sf_dir, "documents")
+    d = source if source is not None else table(spark, sf_dir, "documents")
     ext = _case("lang", {k: v[0] for k, v in OBJECT_BY_LANG.items()}, ".bin")
     ctype = _case("lang", {k: v[1] for k, v in OBJECT_BY_LANG.items()})
     return d.select(
