@@ -23,3 +23,14 @@ def spark():
 @pytest.fixture()
 def tmpdir_path():
     return tempfile.mkdtemp(prefix="tmweave-test-")
+
+
+@pytest.fixture(autouse=True)
+def _ship_test_module(request):
+    """Plug-in classes defined in test modules must reach the Python workers."""
+    from pyspark import cloudpickle
+    try:
+        cloudpickle.register_pickle_by_value(request.module)
+    except ValueError:
+        pass
+    yield
