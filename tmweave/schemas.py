@@ -30,8 +30,8 @@ TMX_UNIT = "tuv array<struct<`_xml:lang`: string, seg: string>>"
 
 # Translation-memory record as stored by the TM sink.
 TM_RECORD = (
-    "tm_id bigint, source_lang string, target_lang string, source_text string, "
-    "translation string, score double, embedding array<double>"
+    "tm_id bigint, source_text string, target_text string, translation string, "
+    "score double, embedding array<double>, source_lang string, target_lang string"
 )
 
 # Hit rows from the similarity search.
