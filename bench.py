@@ -1,7 +1,7 @@
 """Benchmark: run every registered query at $BENCH_SF_DIR on local[$BENCH_CPUS].
 
-Each query is executed in full into the ``noop`` sink (no collect), after one
-warm-up pass of the smallest query.  Prints one JSON line.
+Each query is executed in full into the ``noop`` sink (no collect), after a
+warm-up of the JVM and the Python worker pool.  Prints one JSON line.
 """
 
 from __future__ import annotations
@@ -25,7 +25,11 @@ def main() -> None:
                           shuffle_partitions=max(8, cpus * 2),
                           **{"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEM", "16g")})
     spark.sparkContext.setLogLevel("ERROR")
+    # Warm-up: JVM code paths and the Python worker pool (one pandas function).
     QUERIES["decode_object_keys"](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    (spark.range(0, 64, numPartitions=cpus)
+     .mapInPandas(lambda it: (b for b in it), "id long")
+     .write.format("noop").mode("overwrite").save())
     times: dict[str, float] = {}
     for name in names:
         t0 = time.perf_counter()

@@ -503,3 +503,27 @@ def stream_combine_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = with_output_fields(docs.join(done, "document_id"))
     return out.select("document_id", "output_key", "body",
                       F.round("confidence", 6).alias("confidence"), "sections")
+
+
+
+@register("stream_tmx", ORACLE_SQL["ingest_tm"])
+def stream_tmx_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R2: consecutive conversation turns written by Spark as TMX unit files, read
+    back by the streaming XML source and appended to a TM store per micro-batch
+    (idempotent sink)."""
+    from tmweave.session import scratch_path
+    from tmweave.sources.tmx import read_tmx
+    from tmweave.streaming import run_available_now, stream_tmx
+
+    c = T.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next_text"))
+    units = c.join(nxt, ["conv_id", "turn"]).select(
+        X.tu_xml(F.lit("en-us"), F.lit("es-es"), "text", "next_text").alias("value"))
+    base = scratch_path(spark, "stream-tmx")
+    T.write_tmx_documents(units, f"{base}/in")
+    q = stream_tmx(read_tmx(spark, f"{base}/in", streaming=True), f"{base}/tm",
+                   f"{base}/checkpoint")
+    run_available_now(q)
+    tm = spark.read.parquet(f"{base}/tm")
+    return tm.select("source_lang", "target_lang", "source_text", "translation", "score",
+                     F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))

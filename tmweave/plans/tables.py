@@ -170,3 +170,20 @@ def document_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lang").alias("source_language"),
         F.when(F.col("lang") == F.lit(TARGET_LANGUAGE), F.lit(SOURCE_LANGUAGE))
         .otherwise(F.lit(TARGET_LANGUAGE)).alias("target_language"))
+
+
+def write_tmx_documents(units_xml: DataFrame, path: str) -> None:
+    """Write ``<tu>`` strings (column ``value``) as TMX files, one well-formed
+    document per partition (root, header and body around that partition's units).
+    Used to produce TMX input from the sample tables."""
+    import pandas as pd
+
+    head = '<?xml version="1.0" encoding="UTF-8"?>\n<tmx version="1.4"><header/><body>'
+
+    def wrap(batches):
+        yield pd.DataFrame({"value": [head]})
+        for pdf in batches:
+            yield pdf[["value"]]
+        yield pd.DataFrame({"value": ["</body></tmx>"]})
+
+    units_xml.select("value").mapInPandas(wrap, "value string").write.mode("overwrite").text(path)

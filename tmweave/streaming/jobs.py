@@ -53,8 +53,14 @@ def stream_tmx(units: DataFrame, tm_path: str, checkpoint: str, *, embedder=None
     from tmweave.sinks.tables import write_tm
 
     def batch(df: DataFrame, _epoch: int) -> None:
-        write_tm(tm_records(pair_segments(df), embed_target=embed_target,
-                            embedder=embedder), tm_path)
+        # The batch is read by the record build and by the sink's novelty check:
+        # keep it for the batch's lifetime instead of parsing the files twice.
+        df.persist()
+        try:
+            write_tm(tm_records(pair_segments(df), embed_target=embed_target,
+                                embedder=embedder), tm_path)
+        finally:
+            df.unpersist()
 
     w = units.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     if available_now:
