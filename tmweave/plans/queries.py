@@ -154,16 +154,14 @@ SELECT bucket, key, content_type, document_id, admitted,
 FROM t
 """)
 def admit_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C1 in batch: decode, metadata lookup, validation, requests (quarantine)."""
+    """C1 in batch: decode, metadata lookup, validation, requests, as one table
+    with an ``admitted`` flag (one pass over the uploads)."""
     uploads = T.page_uploads(spark, sf_dir).select("bucket", "raw_key").unionByName(
         T.document_objects(spark, sf_dir).select("bucket", "raw_key"))
-    ok, bad = A.admit_uploads(uploads, T.upload_manifest(spark, sf_dir),
-                              timestamp=ADMIT_TIMESTAMP)
-    cols = ["bucket", "key", "content_type", "document_id"]
-    return (ok.select(*cols, F.lit(True).alias("admitted"),
-                      F.lit(None).cast("string").alias("reason"), "request")
-            .unionByName(bad.select(*cols, F.lit(False).alias("admitted"), "reason",
-                                    F.lit(None).cast("string").alias("request"))))
+    out = A.admission_outcomes(uploads, T.upload_manifest(spark, sf_dir),
+                               timestamp=ADMIT_TIMESTAMP)
+    return out.select("bucket", "key", "content_type", "document_id", "admitted", "reason",
+                      "request")
 
 
 # --------------------------------------------------------------------------- sections
