@@ -1,5 +1,4 @@
 import json
-import math
 from decimal import ROUND_HALF_UP, Decimal
 
 from hypothesis import given, settings
@@ -95,4 +94,29 @@ def test_resolve_model(spark):
     df = spark.createDataFrame([(None,), ("",), ("m1",)], "m string")
     got = [r[0] for r in df.select(resolve_model("m", "anthropic.claude-v2")).collect()]
     assert got == ["anthropic.claude-v2", "anthropic.claude-v2", "m1"]
-    assert not math.isnan(0.0)
+
+
+def js_string(x: float) -> str:
+    """Number.prototype.toString for finite doubles, from Python's shortest repr."""
+    if x == 0:
+        return "0"
+    if x == int(x) and abs(x) < 1e21:
+        return str(int(x))
+    r = repr(x)
+    if "e" in r or "E" in r:
+        mant, exp = r.lower().split("e")
+        e = int(exp)
+        if -7 < e < 21:
+            return format(Decimal(r), "f")
+        mant = mant.rstrip("0").rstrip(".") if "." in mant else mant
+        return f"{mant}e{'+' if e > 0 else '-'}{abs(e)}"
+    return r
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.one_of(st.floats(min_value=1e-5, max_value=1e6, allow_nan=False),
+                          st.integers(0, 10 ** 6).map(lambda i: i / 64)), min_size=1, max_size=20))
+def test_js_number_string_property(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "c double")
+    got = [r[0] for r in df.select(js_number_string("c")).collect()]
+    assert got == [js_string(v) for v in values]
