@@ -23,6 +23,10 @@ def build_session(master: str | None = None, app: str = "tmweave",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Text work after a shuffle (embedding, parsing, block products) is CPU-heavy
+        # per byte: let AQE keep small post-shuffle partitions instead of merging
+        # them into one task.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
