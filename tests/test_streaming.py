@@ -54,3 +54,29 @@ def test_stream_tmx_extends_tm_once(spark, tmpdir_path):
     run_available_now(q, 300)
     rows = spark.read.parquet(tm).collect()
     assert sorted(r["source_text"] for r in rows) == ["one 0", "one 1", "same"]
+
+
+def test_admission_from_audit_events(spark, tmpdir_path):
+    import json
+
+    from tmweave.sources.uploads import read_audit_events
+    from tmweave.streaming import stream_admission_from_events
+
+    src = os.path.join(tmpdir_path, "events")
+    os.makedirs(src)
+
+    def ev(name, bucket, key):
+        return {"source": "aws.s3", "detail-type": "AWS API Call via CloudTrail", "time": "t",
+                "detail": {"eventSource": "s3.amazonaws.com", "eventName": name,
+                           "requestParameters": {"bucketName": bucket, "key": key}}}
+    with open(os.path.join(src, "a.json"), "w") as f:
+        for e in [ev("PutObject", "docs", "documents/a+b.txt"), ev("GetObject", "docs", "documents/c.txt"),
+                  ev("PutObject", "tmx", "memory.tmx")]:
+            f.write(json.dumps(e) + "\n")
+    manifest = spark.createDataFrame([("docs", "documents/a b.txt", "text/plain")],
+                                     "bucket string, key string, content_type string")
+    q = stream_admission_from_events(read_audit_events(spark, src, streaming=True), "docs", manifest,
+                                     f"{tmpdir_path}/out", f"{tmpdir_path}/ckpt", timestamp="t")
+    run_available_now(q, 300)
+    rows = spark.read.parquet(f"{tmpdir_path}/out").collect()
+    assert [(r["key"], r["admitted"], r["document_id"]) for r in rows] == [("documents/a b.txt", True, "a b")]

@@ -44,6 +44,18 @@ def stream_admission(uploads: DataFrame, manifest: DataFrame, sink_path: str,
     return _start(out, sink_path, checkpoint, available_now)
 
 
+def stream_admission_from_events(events: DataFrame, documents_bucket: str,
+                                 manifest: DataFrame, sink_path: str, checkpoint: str, *,
+                                 timestamp=None, available_now: bool = True) -> StreamingQuery:
+    """R1 from raw audit-log events (S2): route uploads of the documents bucket (F1),
+    then admit each one as ``stream_admission`` does."""
+    from tmweave.operators.admission import route_uploads
+
+    uploads = route_uploads(events, {"documents": documents_bucket}).select("bucket", "raw_key")
+    return stream_admission(uploads, manifest, sink_path, checkpoint, timestamp=timestamp,
+                            available_now=available_now)
+
+
 def stream_tmx(units: DataFrame, tm_path: str, checkpoint: str, *, embedder=None,
                embed_target: bool = False, available_now: bool = True) -> StreamingQuery:
     """R2: each new TMX file extends the TM.  ``units`` comes from
