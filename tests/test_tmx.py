@@ -90,3 +90,17 @@ def test_tm_sink_is_idempotent(spark, tmpdir_path):
     assert tm.count() == 2
     assert set(tm.columns) >= {"tm_id", "source_text", "translation", "score", "embedding",
                                "source_lang", "target_lang"}
+
+
+class Failing:
+    def embed(self, texts):
+        raise RuntimeError("model unavailable")
+
+
+def test_model_failure_is_passed_on(spark, tmpdir_path):
+    d = write(tmpdir_path, "one.tmx",
+              '<tmx><body><tu><tuv xml:lang="en"><seg>One</seg></tuv><tuv xml:lang="es"><seg>Uno</seg></tuv>'
+              '</tu></body></tmx>')
+    recs, _ = ingest_tmx(spark, d, embedder=Failing(), max_attempts=2, initial_backoff=0.0)
+    with pytest.raises(Exception, match="model unavailable"):
+        recs.collect()

@@ -53,11 +53,14 @@ def tm_id(*cols) -> Column:
 
 
 def tm_records(pairs: DataFrame, *, embed_target: bool = False, embedder=None,
-               score: float = DEFAULT_TM_SCORE) -> DataFrame:
+               score: float = DEFAULT_TM_SCORE, **embed_opts) -> DataFrame:
     """C2 without the sink: valid pairs with id, stored score and embedding.
 
     The source text is embedded (``embed_target`` embeds the target instead);
-    the embedding runs once per distinct text.
+    the embedding runs once per distinct text.  ``embed_opts`` go to
+    ``embed_text`` (batch size, retry attempts and backoff of a model embedder);
+    an embedder that keeps failing fails the job, as the single-file handler
+    passes the error on.
     """
     from tmweave.operators.vectors import embed_text
 
@@ -69,7 +72,7 @@ def tm_records(pairs: DataFrame, *, embed_target: bool = False, embedder=None,
         F.col("target_text").alias("translation"),
         F.lit(score).alias("score"))
     text_col = "target_text" if embed_target else "source_text"
-    vec = embed_text(rec.select(text_col).distinct(), text_col, embedder)
+    vec = embed_text(rec.select(text_col).distinct(), text_col, embedder, **embed_opts)
     return rec.join(vec, text_col, "left")
 
 
