@@ -65,9 +65,8 @@ WITH ev AS (
                          WHEN 'view' THEN 'GetObject'
                          WHEN 'signup' THEN 'PutObject'
                          WHEN 'error' THEN 'DeleteObject' END AS event_name,
-         CASE CAST(json_extract(props, '$.k') AS INTEGER) % 3
-              WHEN 0 THEN 'translation-memory-docs'
-              WHEN 1 THEN 'translation-memory-tmx'
+         CASE WHEN CAST(json_extract(props, '$.k') AS INTEGER) < 34 THEN 'translation-memory-docs'
+              WHEN CAST(json_extract(props, '$.k') AS INTEGER) < 67 THEN 'translation-memory-tmx'
               ELSE 'unrelated-bucket' END AS bucket,
          'uploads/' || CAST(user_id AS VARCHAR) || '/' || CAST(event_id AS VARCHAR) || '.txt' AS raw_key
   FROM events)

@@ -78,13 +78,14 @@ def _case(column: str, mapping: dict[str, str], default=None):
 def events_as_audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` rows as audit-log events (schema ``schemas.AUDIT_EVENT``).
 
-    Event type picks the API call, ``props.k % 3`` the bucket (documents, TM or an
-    unrelated one); the object key is built from user and event ids.
+    Event type picks the API call and the range of ``props.k`` the bucket (below
+    34: documents, below 67: TM, else an unrelated one); the object key is built
+    from user and event ids.  Every event is kept; routing decides.
     """
     e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("int")
-    bucket = (F.when(k % 3 == 0, F.lit(DOCUMENTS_BUCKET))
-              .when(k % 3 == 1, F.lit(TMX_BUCKET)).otherwise(F.lit(OTHER_BUCKET)))
+    bucket = (F.when(k < 34, F.lit(DOCUMENTS_BUCKET))
+              .when(k < 67, F.lit(TMX_BUCKET)).otherwise(F.lit(OTHER_BUCKET)))
     key = F.concat(F.lit("uploads/"), F.col("user_id").cast("string"), F.lit("/"),
                    F.col("event_id").cast("string"), F.lit(".txt"))
     return e.select(
