@@ -40,8 +40,26 @@ def build_session(master: str | None = None, app: str = "tmweave",
     return spark
 
 
+def _context(spark: SparkSession):
+    """The SparkContext of a classic session (None for a Connect session)."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext
+        return None
+
+
 def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    sc = _context(spark)
+    master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+    return master.startswith("local")
+
+
+def parallelism(spark: SparkSession) -> int:
+    """Cores available to the session's jobs."""
+    sc = _context(spark)
+    if sc is not None:
+        return sc.defaultParallelism
+    return int(spark.conf.get("spark.default.parallelism", "8"))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -51,15 +69,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     executor).  Only a local-mode session without one gets a private folder, as in
     tests.
     """
-    sc = spark.sparkContext
-    path = spark.conf.get(CHECKPOINT_CONF, None) or sc.getCheckpointDir()
+    sc = _context(spark)
+    path = spark.conf.get(CHECKPOINT_CONF, None) or (sc.getCheckpointDir() if sc else None)
     if not path:
         if not _is_local(spark):
             raise RuntimeError(
                 f"{CHECKPOINT_CONF} is not set; point it at shared storage (HDFS, object store)")
         path = tempfile.mkdtemp(prefix="tmweave-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, path)
-    if not sc.getCheckpointDir():
+    if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return path
 
