@@ -55,6 +55,41 @@ def combine_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.round("confidence", 6).alias("confidence"), "sections")
 
 
+@register("combine_with_empty_documents", """
+WITH c AS (SELECT conv_id,
+                  string_agg(text, chr(10) || chr(10) ORDER BY turn) AS body,
+                  count(*) AS n,
+                  avg(CAST(length(text) % 64 AS DOUBLE) / 64.0) * 100.0 AS y
+           FROM conversations GROUP BY conv_id)
+SELECT d.doc_id AS document_id,
+       'translated/' || CAST(d.doc_id AS VARCHAR) || '_es.txt' AS output_key,
+       coalesce(c.body, '') AS body,
+       coalesce(c.n, 0) AS sections,
+       CASE WHEN c.y IS NULL OR isnan(c.y) THEN 'NaN'
+            WHEN c.y * 8 = floor(c.y * 8) AND CAST(c.y * 8 AS BIGINT) % 2 = 1
+              THEN printf('%.2f', ceil(c.y * 100) / 100)
+            ELSE printf('%.2f', c.y) END || '%' AS confidence_pct,
+       'documents/' || CAST(d.doc_id AS VARCHAR) || '.txt' AS original_document
+FROM documents d LEFT JOIN c ON c.conv_id = d.doc_id
+""")
+def combine_with_empty_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ``documents`` row is a document; conversations supply sections for
+    some of them.  Documents without sections keep an empty body, 0 sections and
+    NaN confidence (rendered as text by P11)."""
+    from tmweave.functions.text import confidence_percent
+
+    docs = T.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("document_id"),
+        F.concat(F.lit("documents/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+        .alias("original_key"),
+        F.lit(T.SOURCE_LANGUAGE).alias("source_language"),
+        F.lit(T.TARGET_LANGUAGE).alias("target_language"))
+    out = combine_sections(T.conversation_sections(spark, sf_dir), docs)
+    return out.select("document_id", "output_key", "body", "sections",
+                      confidence_percent("confidence").alias("confidence_pct"),
+                      F.col("metadata").getItem("original-document").alias("original_document"))
+
+
 # --------------------------------------------------------------------------- admission
 _AUDIT_CTE = """
 WITH ev AS (
