@@ -77,7 +77,8 @@ def tm_records(pairs: DataFrame, *, embed_target: bool = False, embedder=None,
 
 
 def tu_xml(source_lang, target_lang, source_text, target_text) -> Column:
-    """One ``<tu>`` element with two variants, text escaped for XML."""
+    """One ``<tu>`` element, text escaped for XML: two variants, or only the
+    source variant when the target text is NULL."""
     def esc(c):
         c = F.col(c) if isinstance(c, str) else c
         return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")),
@@ -87,8 +88,9 @@ def tu_xml(source_lang, target_lang, source_text, target_text) -> Column:
         return F.concat(F.lit('<tuv xml:lang="'), lang, F.lit('"><seg>'), esc(text),
                         F.lit("</seg></tuv>"))
 
-    return F.concat(F.lit("<tu>"), tuv(source_lang, source_text),
-                    tuv(target_lang, target_text), F.lit("</tu>"))
+    tgt = F.col(target_text) if isinstance(target_text, str) else target_text
+    second = F.when(tgt.isNotNull(), tuv(target_lang, tgt)).otherwise(F.lit(""))
+    return F.concat(F.lit("<tu>"), tuv(source_lang, source_text), second, F.lit("</tu>"))
 
 
 def parse_units(df: DataFrame, xml_col: str = "xml") -> DataFrame:

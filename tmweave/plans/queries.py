@@ -470,6 +470,27 @@ def tmx_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", "turn", "source_lang", "target_lang", "source_text", "target_text")
 
 
+@register("tmx_validation", """
+SELECT a.conv_id, a.turn, 'en-us' AS source_lang,
+       CASE WHEN b.text IS NULL THEN NULL ELSE 'es-es' END AS target_lang,
+       a.text AS source_text, b.text AS target_text,
+       CASE WHEN b.text IS NULL THEN 'Translation unit needs a source and a target variant' END
+         AS error
+FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1
+""")
+def tmx_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G4 + G5 on every turn: a unit per turn, whose target is the next turn; the
+    last turn of a conversation gives a unit with one variant, which is rejected."""
+    c = T.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"),
+                   F.col("text").alias("next_text"))
+    units = c.join(nxt, ["conv_id", "turn"], "left").select(
+        "conv_id", "turn",
+        X.tu_xml(F.lit("en-us"), F.lit("es-es"), "text", "next_text").alias("xml"))
+    return X.pair_segments(X.parse_units(units)).select(
+        "conv_id", "turn", "source_lang", "target_lang", "source_text", "target_text", "error")
+
+
 @register("ingest_tm", "WITH " + _PAIRS_SQL + """,
 tmp AS (SELECT DISTINCT source_lang, target_lang, source_text, target_text AS translation
         FROM pairs),
