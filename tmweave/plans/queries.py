@@ -143,6 +143,50 @@ def decode_object_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "bucket", "key", "document_id")
 
 
+@register("upload_notifications", "WITH " + _PAGE_KEYS + """
+, recs AS (
+  SELECT page_id, 0 AS record_pos, bucket, raw_key, 'ObjectCreated:Put' AS event_name,
+         CAST(length(html) AS BIGINT) AS size FROM pk JOIN pages USING (page_id)
+  UNION ALL
+  SELECT page_id, 1, 'translation-memory-docs', 'documents/' || CAST(page_id AS VARCHAR) || '.txt',
+         'ObjectCreated:CompleteMultipartUpload', CAST(length(html) * 2 AS BIGINT)
+  FROM pk JOIN pages USING (page_id))
+SELECT page_id, record_pos, bucket, url_decode(replace(raw_key, '+', ' ')) AS key,
+       coalesce(nullif(split_part(list_last(string_split(url_decode(replace(raw_key, '+', ' ')), '/')),
+                                  '.', 1), ''), 'unknown') AS document_id,
+       event_name, size
+FROM recs
+""")
+def upload_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 + P1 + P2: each page becomes an upload notification (JSON text) with two
+    records -- the page object and a document object -- parsed back and exploded
+    one row per record, in record order."""
+    from tmweave import schemas
+    from tmweave.sources.uploads import uploads_from_notifications
+
+    pages = T.table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    keys = T.page_uploads(spark, sf_dir, pages)
+    src = keys.join(pages.select("page_id", "html"), "page_id")
+
+    def record(bucket, key, name, size):
+        return F.struct(
+            F.lit("ObjectCreated:" + name).alias("eventName"),
+            F.struct(F.struct(bucket.alias("name")).alias("bucket"),
+                     F.struct(key.alias("key"), size.cast("bigint").alias("size")).alias("object"))
+            .alias("s3"))
+
+    notes = src.select("page_id", F.to_json(F.struct(F.array(
+        record(F.col("bucket"), F.col("raw_key"), "Put", F.length("html")),
+        record(F.lit(T.DOCUMENTS_BUCKET),
+               F.concat(F.lit("documents/"), F.col("page_id").cast("string"), F.lit(".txt")),
+               "CompleteMultipartUpload", F.length("html") * 2),
+    ).alias("Records"))).alias("body"))
+    parsed = notes.select("page_id", F.from_json("body", schemas.UPLOAD_NOTIFICATION).alias("n"))
+    ups = uploads_from_notifications(parsed.select("page_id", "n.Records"))
+    return A.decode_keys(ups).select("page_id", F.col("record_pos").cast("int").alias("record_pos"),
+                                     "bucket", "key", "document_id", "event_name", "size")
+
+
 ADMIT_TIMESTAMP = "2024-01-01T00:00:00.000Z"
 
 

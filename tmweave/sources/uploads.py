@@ -25,8 +25,11 @@ def read_upload_notifications(spark: SparkSession, path: str, *, streaming: bool
 
 
 def uploads_from_notifications(df: DataFrame) -> DataFrame:
-    rec = df.select(F.posexplode("Records").alias("record_pos", "r"))
+    """One row per element of ``Records`` (other columns of ``df`` are kept)."""
+    keep = [c for c in df.columns if c != "Records"]
+    rec = df.select(*keep, F.posexplode("Records").alias("record_pos", "r"))
     return rec.select(
+        *keep,
         F.col("r.s3.bucket.name").alias("bucket"),
         F.col("r.s3.object.key").alias("raw_key"),
         F.col("r.eventName").alias("event_name"),
