@@ -84,8 +84,8 @@ def test_tm_sink_is_idempotent(spark, tmpdir_path):
     d = write(os.path.join(tmpdir_path, "in"), "a.tmx", TWO_UNITS)
     out = os.path.join(tmpdir_path, "tm")
     recs = tm_records(pair_segments(read_tmx(spark, d)))
-    write_tm(recs, out)
-    write_tm(recs, out)
+    assert write_tm(recs, out).count() == 2
+    assert write_tm(recs, out).count() == 0
     tm = spark.read.parquet(out)
     assert tm.count() == 2
     assert set(tm.columns) >= {"tm_id", "source_text", "translation", "score", "embedding",
