@@ -112,3 +112,18 @@ def test_admission_outcomes_one_table(spark):
     out = A.admission_outcomes(up, m, timestamp=TS).orderBy("key").collect()
     assert [(r["admitted"], r["request"] is not None) for r in out] == [(True, True), (False, False)]
     assert F is not None
+
+
+def test_default_timestamp_is_fixed_per_call(spark):
+    import datetime as dt
+    import time
+
+    up = spark.createDataFrame([("b", "a.txt")], "bucket string, raw_key string")
+    m = manifest(spark, [("b", "a.txt", "text/plain")])
+    ok, _ = A.admit_uploads(up, m)
+    first = json.loads(ok.first()["request"])["timestamp"]
+    time.sleep(0.01)
+    assert json.loads(ok.first()["request"])["timestamp"] == first
+    assert dt.datetime.strptime(first, "%Y-%m-%dT%H:%M:%S.%fZ")
+    fixed = A.admit_uploads(up, m, timestamp=dt.datetime(2024, 5, 1, 12, 30, 1, 250000))[0]
+    assert json.loads(fixed.first()["request"])["timestamp"] == "2024-05-01T12:30:01.250Z"

@@ -101,14 +101,21 @@ def admit(df: DataFrame, mode: str = "quarantine", exclude_outputs: bool = True)
 
 
 def iso_timestamp(ts: _dt.datetime | str | None = None) -> Column:
-    """ISO-8601 UTC text with milliseconds, e.g. ``2024-01-01T00:00:00.000Z``."""
-    if ts is None:
-        c = F.current_timestamp()
-    elif isinstance(ts, str):
+    """ISO-8601 UTC text with milliseconds, e.g. ``2024-01-01T00:00:00.000Z``.
+
+    Without ``ts`` the time of the call is used, fixed as a literal so every
+    evaluation of the plan (and every task) stamps the same value.  A Column
+    (e.g. ``current_timestamp()``, evaluated per micro-batch in a stream) is
+    formatted as is.
+    """
+    if isinstance(ts, Column):
+        return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    if isinstance(ts, str):
         return F.lit(ts)
-    else:
-        c = F.lit(ts)
-    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    when = ts or _dt.datetime.now(_dt.timezone.utc)
+    if when.tzinfo is not None:
+        when = when.astimezone(_dt.timezone.utc).replace(tzinfo=None)
+    return F.lit(when.strftime("%Y-%m-%dT%H:%M:%S.") + f"{when.microsecond // 1000:03d}Z")
 
 
 def execution_request(admitted: DataFrame, timestamp=None) -> DataFrame:

@@ -38,9 +38,11 @@ def stream_admission(uploads: DataFrame, manifest: DataFrame, sink_path: str,
     rejection (``admitted`` flag and ``reason``).
 
     ``uploads`` is a streaming DataFrame with bucket and raw_key; ``manifest`` a
-    static (bucket, key, content_type) table joined to each micro-batch.
+    static (bucket, key, content_type) table joined to each micro-batch.  Requests
+    are stamped with their micro-batch's time unless ``timestamp`` is given.
     """
-    out = admission_outcomes(uploads, manifest, timestamp=timestamp)
+    ts = F.current_timestamp() if timestamp is None else timestamp
+    out = admission_outcomes(uploads, manifest, timestamp=ts)
     return _start(out, sink_path, checkpoint, available_now)
 
 
