@@ -143,8 +143,11 @@ def tm_from_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``label / 10``) with the text of the document of the same id as translation
     (NULL where no such document exists)."""
     e = table(spark, sf_dir, "embeddings")
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("tm_id"),
-                                                 F.col("text").alias("translation"))
+    # has_translation is derived before the join, so a search that needs only the
+    # flag does not move the texts.
+    d = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("tm_id"), F.col("text").alias("translation"),
+        (F.coalesce(F.col("text"), F.lit("")) != F.lit("")).alias("has_translation"))
     return (e.select(F.col("vec_id").alias("tm_id"), "embedding",
                      (F.col("label").cast("double") / F.lit(10.0)).alias("score"))
             .join(d, "tm_id", "left"))
