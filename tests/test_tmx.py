@@ -104,3 +104,9 @@ def test_model_failure_is_passed_on(spark, tmpdir_path):
     recs, _ = ingest_tmx(spark, d, embedder=Failing(), max_attempts=2, initial_backoff=0.0)
     with pytest.raises(Exception, match="model unavailable"):
         recs.collect()
+
+
+def test_read_failure_is_passed_on(spark, tmpdir_path):
+    with pytest.raises(Exception, match="(?i)path does not exist|PATH_NOT_FOUND"):
+        recs, _ = ingest_tmx(spark, os.path.join(tmpdir_path, "missing"))
+        recs.collect()
