@@ -1,7 +1,7 @@
 import os
 
 from tmweave.operators.tmx import pair_segments, tm_records
-from tmweave.plans.pipeline import admit_documents, combine_documents
+from tmweave.plans.composites import admit_documents, combine_documents
 from tmweave.sinks.tables import write_tm
 from tmweave.sources.tables import read_documents, read_tm
 from tmweave.sources.tmx import read_tmx

@@ -3,7 +3,7 @@ import os
 import pytest
 
 from tmweave.operators.tmx import pair_segments, tm_records
-from tmweave.plans.pipeline import ingest_tmx
+from tmweave.plans.composites import ingest_tmx
 from tmweave.sinks.tables import write_tm
 from tmweave.sources.tmx import EMPTY_FILE_ERROR, empty_files, read_tmx
 

@@ -21,7 +21,7 @@ from tmweave.functions.text import PROMPT_TEMPLATE, model_request
 from tmweave.operators.retrieval import retrieval_context, tm_search_side
 from tmweave.operators.translate import EchoCompleter, with_prompts
 from tmweave.operators.vectors import embed_text, topk_cosine
-from tmweave.plans import pipeline as P
+from tmweave.plans import composites as P
 from tmweave.plans import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
