@@ -39,15 +39,24 @@ def main() -> None:
      .select(hash_embedding(F.concat(F.lit("warm up text "), F.col("id").cast("string")))
              .alias("e"))
      .write.format("noop").mode("overwrite").save())
-    times: dict[str, float] = {}
+    times: dict[str, float | None] = {}
+    errors: dict[str, str] = {}
     for name in names:
         t0 = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - t0, 3)
+        try:
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            times[name] = round(time.perf_counter() - t0, 3)
+        except Exception as e:  # noqa: BLE001 - reported in the JSON line
+            times[name] = None
+            errors[name] = f"{type(e).__name__}: {str(e)[:300]}"
     spark.stop()
     sf = os.path.basename(sf_dir).removeprefix("sf")
-    print(json.dumps({"metric": "total_query_seconds", "value": round(sum(times.values()), 3),
-                      "unit": "sec", "queries": times, "sf": sf, "cpus": cpus}))
+    out = {"metric": "total_query_seconds",
+           "value": round(sum(t for t in times.values() if t is not None), 3),
+           "unit": "sec", "queries": times, "sf": sf, "cpus": cpus}
+    if errors:
+        out["errors"] = errors
+    print(json.dumps(out))
 
 
 if __name__ == "__main__":
