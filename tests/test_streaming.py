@@ -80,3 +80,17 @@ def test_admission_from_audit_events(spark, tmpdir_path):
     run_available_now(q, 300)
     rows = spark.read.parquet(f"{tmpdir_path}/out").collect()
     assert [(r["key"], r["admitted"], r["document_id"]) for r in rows] == [("documents/a b.txt", True, "a b")]
+
+
+def test_combine_fails_without_expected_count(spark, tmpdir_path):
+    import pytest
+
+    sections = spark.createDataFrame([(1, 0, "a", 0.5), (2, 0, "b", 0.5)],
+                                     "document_id long, section_id long, translated_text string, confidence double")
+    src = os.path.join(tmpdir_path, "s")
+    sections.write.parquet(src)
+    stream = spark.readStream.schema(sections.schema).parquet(src)
+    expected = spark.createDataFrame([(1, 1)], "document_id long, expected long")
+    q = stream_combine(stream, expected, f"{tmpdir_path}/out", f"{tmpdir_path}/ckpt")
+    with pytest.raises(Exception, match="no expected section count"):
+        run_available_now(q, 300)

@@ -96,6 +96,8 @@ def _combine_when_complete(key, batches, state):
     else:
         ids, pos, texts, confs, expected = [], [], [], [], None
     for pdf in batches:
+        if pdf["expected"].isna().any():
+            raise ValueError(f"no expected section count for document {key[0]!r}")
         ids += pdf["section_id"].astype("float64").tolist()
         pos += pdf["pos"].astype("int64").tolist()
         texts += pdf["translated_text"].tolist()
@@ -121,10 +123,12 @@ def stream_combine(sections: DataFrame, expected: DataFrame, sink_path: str,
     ``sections``: streaming (document_id, section_id, translated_text, confidence
     [, pos]); ``expected``: static (document_id, expected) section counts.  State
     per document holds only that document's sections and is removed on emit.
+    A section whose document has no expected count fails the query rather than
+    being dropped.
     """
     if "pos" not in sections.columns:
         sections = sections.withColumn("pos", F.lit(0).cast("bigint"))
-    s = sections.join(expected, "document_id")
+    s = sections.join(expected, "document_id", "left")
     out = s.groupBy("document_id").applyInPandasWithState(
         _combine_when_complete, COMBINED_SCHEMA, _STATE_SCHEMA, "append",
         GroupStateTimeout.NoTimeout)
