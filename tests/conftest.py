@@ -1,3 +1,5 @@
+"""Shared fixtures: one local Spark session with a private checkpoint folder."""
+
 import os
 import sys
 import tempfile

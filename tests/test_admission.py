@@ -1,3 +1,5 @@
+"""Admission goldens: notification records, content types, routing, failfast."""
+
 import json
 import os
 

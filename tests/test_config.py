@@ -1,3 +1,5 @@
+"""Configuration: defaults, environment, flag parsing, sender rule, merge."""
+
 import pytest
 
 from tmweave.config import Features, ModelConfig, default_config, load_config

@@ -1,3 +1,5 @@
+"""Column functions: keys, JavaScript-compatible number text, templates, JSON."""
+
 import json
 from decimal import ROUND_HALF_UP, Decimal
 

@@ -1,3 +1,5 @@
+"""Document and TM readers, admission and combine sinks."""
+
 import os
 
 from tmweave.operators.tmx import pair_segments, tm_records

@@ -1,3 +1,5 @@
+"""Streaming forms: barrier across micro-batches, admission, TMX ingest."""
+
 import os
 
 from pyspark.sql import functions as F

@@ -1,3 +1,5 @@
+"""TMX goldens: pairing, empty/malformed/short units, failures, idempotent sink."""
+
 import os
 
 import pytest

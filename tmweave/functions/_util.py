@@ -1,3 +1,5 @@
+"""Small helpers shared by the column functions."""
+
 from __future__ import annotations
 
 from pyspark.sql import Column
