@@ -90,6 +90,34 @@ def combine_with_empty_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("metadata").getItem("original-document").alias("original_document"))
 
 
+@register("translated_documents_sink", """
+SELECT conv_id AS document_id,
+       'translated/' || CAST(conv_id AS VARCHAR) || '_es.txt' AS output_key,
+       string_agg(text, chr(10) || chr(10) ORDER BY turn) AS body,
+       'es' AS target_language,
+       'en' AS meta_source_language,
+       'es' AS meta_target_language,
+       'documents/' || CAST(conv_id AS VARCHAR) || '.txt' AS meta_original_document
+FROM conversations
+GROUP BY conv_id
+""")
+def translated_documents_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C4 + K2: combined documents written partitioned by target language with
+    their string metadata (P5), then read back."""
+    from tmweave.plans.composites import combine_documents as combine_and_write
+    from tmweave.session import scratch_path
+
+    sections = T.conversation_sections(spark, sf_dir)
+    path = scratch_path(spark, "translated")
+    combine_and_write(sections, T.conversation_documents(sections), out_path=path)
+    out = spark.read.parquet(path)
+    meta = F.col("metadata")
+    return out.select("document_id", "output_key", "body", "target_language",
+                      meta.getItem("source-language").alias("meta_source_language"),
+                      meta.getItem("target-language").alias("meta_target_language"),
+                      meta.getItem("original-document").alias("meta_original_document"))
+
+
 # --------------------------------------------------------------------------- admission
 _AUDIT_CTE = """
 WITH ev AS (
