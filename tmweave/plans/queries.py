@@ -433,6 +433,26 @@ def build_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("document_id", "prompt", model_request("prompt").alias("request")))
 
 
+@register("model_messages", """
+SELECT item_id AS document_id,
+       json_object('inputText', text)::VARCHAR AS embedding_request,
+       json_object('completion', '[es] ' || text)::VARCHAR AS completion_reply,
+       json_extract_string(json_object('completion', '[es] ' || text), '$.completion') AS completion
+FROM benchmark
+""")
+def model_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P9 + P10: the embedding request body of every benchmark text, and a model
+    reply (the stand-in's answer as JSON) parsed back to its completion."""
+    from tmweave.functions.text import embedding_request, parse_completion
+
+    b = T.table(spark, sf_dir, "benchmark")
+    reply = F.to_json(F.struct(F.concat(F.lit("[es] "), F.col("text")).alias("completion")))
+    return (b.select(F.col("item_id").alias("document_id"),
+                     embedding_request("text").alias("embedding_request"),
+                     reply.alias("completion_reply"))
+            .withColumn("completion", parse_completion("completion_reply")))
+
+
 @register("translate_sections", "WITH " + _TM_CTE + ","
           + _hash_embedding_ctes("benchmark", "item_id", "text") + "," + _SEARCH_CTES + """
 SELECT b.item_id AS document_id, 0 AS section_id, b.text AS original_text,
