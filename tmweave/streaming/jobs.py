@@ -83,7 +83,7 @@ def stream_tmx(units: DataFrame, tm_path: str, checkpoint: str, *, embedder=None
 
 
 COMBINED_SCHEMA = "document_id long, body string, confidence double, sections long"
-_STATE_SCHEMA = ("section_ids array<double>, positions array<long>, texts array<string>, "
+_STATE_SCHEMA = ("section_ids array<long>, positions array<long>, texts array<string>, "
                  "confs array<double>, expected long")
 
 
@@ -98,7 +98,7 @@ def _combine_when_complete(key, batches, state):
     for pdf in batches:
         if pdf["expected"].isna().any():
             raise ValueError(f"no expected section count for document {key[0]!r}")
-        ids += pdf["section_id"].astype("float64").tolist()
+        ids += [int(v) for v in pdf["section_id"]]
         pos += pdf["pos"].astype("int64").tolist()
         texts += pdf["translated_text"].tolist()
         confs += pdf["confidence"].astype("float64").tolist()
@@ -107,7 +107,7 @@ def _combine_when_complete(key, batches, state):
         state.update((ids, pos, texts, confs, expected))
         return
     state.remove()
-    order = sorted(range(len(ids)), key=lambda i: (ids[i], pos[i]))
+    order = sorted(range(len(ids)), key=lambda i: (int(ids[i]), int(pos[i])))
     body = SECTION_SEPARATOR.join("" if texts[i] is None else texts[i] for i in order)
     vals = pd.Series(confs, dtype="float64")
     conf = float("nan") if len(vals) == 0 or vals.isna().any() else float(vals.sum() / len(vals))
