@@ -47,3 +47,19 @@ def test_shallow_merge_replaces_whole_group():
     assert c.models.translation_model == "anthropic.claude-v2"
     c2 = load_config({"features": Features(True), "sender_email": "a@b.c"}, env={})
     assert c2.notifications_enabled
+
+
+def test_ship_package_adds_an_importable_archive(spark):
+    import zipfile
+
+    from tmweave.session import ship_package
+
+    archive = ship_package(spark)
+    names = zipfile.ZipFile(archive).namelist()
+    assert "tmweave/__init__.py" in names and "tmweave/operators/vectors.py" in names
+
+    def probe(_):
+        import tmweave.config as c
+        return [c.DEFAULT_COLLECTION]
+
+    assert spark.sparkContext.parallelize([0], 1).mapPartitions(probe).collect() == ["translation-memory"]

@@ -100,3 +100,27 @@ def materialize(df, name: str):
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def ship_package(spark: SparkSession) -> str:
+    """Zip this package into the shared checkpoint folder and add it to the
+    executors' Python path (``addPyFile``), the usual way to deploy library code
+    to a cluster.  Functions are also pickled by value, so this is needed only
+    for code that imports the package on executors by name."""
+    import zipfile
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    target = scratch_path(spark, "pyfiles")
+    archive = os.path.join(target, "tmweave.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _dirs, files in os.walk(pkg_dir):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(root, name)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc = _context(spark)
+    if sc is None:
+        spark.addArtifacts(archive, pyfile=True)
+    else:
+        sc.addPyFile(archive)
+    return archive
