@@ -17,8 +17,8 @@ from tmweave.llm.common import SHINGLE_WORDS, SIMILARITY, components, saved, tab
 # 24 bands of 5: a pair of similarity 0.8 misses all bands with probability 7e-5, one of 0.9
 # with 4e-10; a pair of similarity 0.3 meets in one with probability 0.06.
 BANDS, ROWS = 24, 5
-STAR_ROUNDS = 8              # at most so many rounds with leaders drawn anew, while the pairs left
-ACROSS = 20                  # are more than this many per bucket entry; then all that are left meet
+BLOCK_NODES = 256            # texts of a bucket that are compared at once, two such blocks at most
+BLOCK_BYTES = 16 << 20       # and their bytes
 CHUNK = 400_000              # shingles that are handled at once
 
 WORD = re.compile(r"[^\W_]+")
@@ -126,19 +126,18 @@ def band_keys(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> n
 
 
 def sign(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
-    """``doc_id``, ``text_key`` (of the exact text), ``digest`` (of the weighted shingle set, null
+    """``doc_id``, ``text_key`` (of the exact text), ``bytes``, ``digest`` (of the weighted shingle set, null
     if empty) and ``bands`` for every row; one pass without a shuffle."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.md5(F.col(text).cast("binary"))
-                       .alias("text_key"), F.col(text).alias("t"))
+                       .alias("text_key"), F.octet_length(text).alias("bytes"), F.col(text).alias("t"))
 
-    def flush(ids, keys, sets):
+    def flush(part, sets):
         owner = np.repeat(np.arange(len(sets)), [len(h) for h, _ in sets])
         sig = dart_signatures(owner, np.concatenate([h for h, _ in sets]),
                               np.concatenate([c for _, c in sets]).astype(float), len(sets))
         digests = [hashlib.md5(h.tobytes() + c.tobytes()).digest() if len(h) else None
                    for h, c in sets]
-        return pd.DataFrame({"doc_id": ids, "text_key": keys, "digest": digests,
-                             "bands": list(band_keys(sig))})
+        return part[["doc_id", "text_key", "bytes"]].assign(digest=digests, bands=list(band_keys(sig)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary = _Vocabulary()
@@ -149,12 +148,11 @@ def sign(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
                 sets.append(one)
                 size += len(one[0])
                 if size >= CHUNK or i == len(b) - 1:
-                    yield flush(b["doc_id"].iloc[start:i + 1].reset_index(drop=True),
-                                b["text_key"].iloc[start:i + 1].reset_index(drop=True), sets)
+                    yield flush(b.iloc[start:i + 1], sets)
                     sets, start, size = [], i + 1, 0
 
     return rows.mapInPandas(run, f"doc_id {dict(rows.dtypes)['doc_id']}, text_key string, "
-                                 "digest binary, bands array<bigint>")
+                                 "bytes int, digest binary, bands array<bigint>")
 
 
 def similarity(a, b) -> float:
@@ -185,6 +183,127 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, k: int) -> Da
     return rows.mapInPandas(run, "a bigint, b bigint")
 
 
+def overlaps(sets: list) -> np.ndarray:
+    """Sums of minima of the counts for all pairs of (hashes, counts), by products of indicator
+    matrices over slices of the shingles that at least two sets have."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(h) for h, _ in sets])
+    count = np.concatenate([c for _, c in sets])
+    _, column, users = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True,
+                                 return_counts=True)
+    column = np.where(users > 1, np.cumsum(users > 1) - 1, -1)[column]
+    keep = column >= 0
+    owner, count, column = owner[keep], count[keep], column[keep]
+    order = np.argsort(column, kind="stable")
+    owner, count, column = owner[order], count[order], column[order]
+    low = np.zeros((n, n))
+    width = 4096
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        i, j = np.searchsorted(column, (start, start + width))
+        x = np.zeros((n, width), np.float32)
+        x[owner[i:j], column[i:j] - start] = count[i:j]
+        before = 0
+        for value in np.unique(count[i:j]):
+            layer = (x >= value).astype(np.float32)
+            low += float(value - before) * (layer @ layer.T)
+            before = value
+    return low
+
+
+def connections(group: pd.DataFrame, across: bool, vocabulary: dict, threshold: float,
+                k: int) -> pd.DataFrame:
+    """Edges that connect what the links of one block (or between the largest component and the
+    rest, ``across``) connect: at most one per node."""
+    sets = [weighted_shingles(t, vocabulary, k) for t in group["t"]]
+    low = overlaps(sets)
+    total = np.array([c.sum() for _, c in sets], float)
+    part, main = group["part"].to_numpy(), group["in_main"].to_numpy(bool)
+    with np.errstate(invalid="ignore"):
+        close = low >= threshold * (total[:, None] + total[None, :] - low)
+    close &= part[:, None] != part[None, :]
+    if across:
+        close &= main[:, None] != main[None, :]
+    i, j = np.nonzero(close)
+    label = np.arange(len(group))
+    while True:                                               # least label of the neighbours
+        nxt = label.copy()
+        np.minimum.at(nxt, i, label[j])
+        if (nxt == label).all():
+            break
+        label = nxt
+    node = group["node"].to_numpy()
+    some = label != np.arange(len(group))
+    return pd.DataFrame({"a": node[some], "b": node[label[some]]})
+
+
+def _blocks(open_: DataFrame) -> DataFrame:
+    """Deal the nodes of every open bucket to groups whose pairs together are all pairs in different
+    components.  The largest component of a bucket is compared with the rest only, block by
+    block, and the rest with itself; a group holds two blocks at most."""
+    per_part = open_.groupBy("key", "part").agg(F.count("*").alias("n"), F.sum("bytes").alias("w"))
+    buckets = per_part.groupBy("key").agg(F.max(F.struct("n", "part", "w")).alias("m"),
+                                          F.sum("n").alias("n"), F.sum("w").alias("w"))
+
+    def number(n, w):
+        return F.greatest(F.lit(1), F.ceil(n / BLOCK_NODES), F.ceil(w / BLOCK_BYTES)).cast("bigint")
+
+    n_rest = F.col("n") - F.col("m.n")
+    buckets = saved(buckets.select(
+        "key", F.col("m.part").alias("main"), n_rest.alias("n_rest"),
+        number(F.col("m.n"), F.col("m.w")).alias("main_blocks"),
+        number(n_rest, F.col("w") - F.col("m.w")).alias("rest_blocks")), "dup-buckets")
+    rows = open_.join(buckets, "key").withColumn("in_main", F.col("part") == F.col("main"))
+    zero = F.lit(0).cast("bigint")
+
+    def group(across, p, q):
+        return F.struct(F.lit(across).alias("across"), p.alias("p"), q.alias("q"))
+
+    def upto(n):
+        return F.sequence(zero, n - 1)
+
+    own_main = F.pmod(F.xxhash64("node"), F.col("main_blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("rest_blocks"))
+    none = F.filter(F.array(group(True, zero, zero)), lambda g: F.lit(False))
+    with_main = F.transform(upto(F.col("main_blocks")), lambda i: group(True, i, own))
+    with_rest = F.when(F.col("n_rest") > 1, F.transform(
+        upto(F.col("rest_blocks")),
+        lambda j: group(False, F.least(own, j), F.greatest(own, j)))).otherwise(none)
+    groups = F.when(F.col("in_main"), F.transform(
+        upto(F.col("rest_blocks")), lambda j: group(True, own_main, j))) \
+        .otherwise(F.concat(with_main, with_rest))
+    return rows.select("key", "node", "part", "in_main", F.explode(groups).alias("g")) \
+        .select("key", "g.*", "node", "part", "in_main")
+
+
+def linked_across(open_: DataFrame, texts: DataFrame, threshold: float, k: int) -> DataFrame:
+    """Edges between nodes of open buckets (``key``, ``node``, ``part``, ``bytes``) that connect all
+    components with a link between them."""
+    keys = ["key", "across", "p", "q"]
+    rows = _blocks(open_).join(texts.select("node", "t"), "node") \
+        .repartition(*keys).sortWithinPartitions(*keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vocabulary, held = _Vocabulary(), None                # held: the group that may go on
+        for b in batches:
+            b = b if held is None else pd.concat([held, b], ignore_index=True)
+            if not len(b):
+                continue
+            change = np.zeros(len(b) - 1, bool)
+            for c in keys:
+                v = b[c].to_numpy()
+                change |= v[1:] != v[:-1]
+            starts = [0, *(np.flatnonzero(change) + 1)]
+            out = [connections(b.iloc[s:e], bool(b["across"].iat[s]), vocabulary, threshold, k)
+                   for s, e in zip(starts, starts[1:])]
+            held = b.iloc[starts[-1]:]
+            if out:
+                yield pd.concat(out)
+        if held is not None and len(held):
+            yield connections(held, bool(held["across"].iat[0]), vocabulary, threshold, k)
+
+    return rows.mapInPandas(run, "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     threshold: float = SIMILARITY, k: int = SHINGLE_WORDS) -> DataFrame:
     """Near-duplicate classes: ``doc_id``, ``class_id`` (the least doc_id of the class, itself
@@ -198,15 +317,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     empty table gives an empty result; other columns are ignored.
 
     Candidates are the nodes that share a band.  All pairs of a band's bucket are never
-    written out: each node meets one leader per bucket, then what became connected is left
-    out, again with other leaders while many pairs would be left; at the end the pairs that are
-    still in different components meet in full, so no candidate pair is lost.  Texts are joined for verification only, one per node.
+    written out: each node meets the leader of its bucket, and what became connected is left
+    out.  The nodes of a bucket that are still in different components are compared in blocks
+    inside a task, which gives at most one edge per node; so no candidate link is lost.  Texts
+    are joined for verification only, one per node.
     """
     signed = saved(sign(docs, doc_id, text, k), "dup-signed")
     nodes = saved(signed.where("digest is not null").groupBy("digest")
-                  .agg(F.min("text_key").alias("text_key"), F.first("bands").alias("bands"))
+                  .agg(F.min("text_key").alias("text_key"), F.max("bytes").alias("bytes"),
+                       F.first("bands").alias("bands"))
                   .withColumn("node", F.monotonically_increasing_id()), "dup-nodes")
-    buckets = nodes.select("node", F.explode("bands").alias("key"))
+    buckets = nodes.select("node", "bytes", F.explode("bands").alias("key"))
     shared = saved(buckets.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("leader"))
                    .where("size > 1").select("key", "leader"), "dup-shared")
     members = saved(buckets.join(shared, "key"), "dup-members")
@@ -218,40 +339,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                   .join(saved(wanted, "dup-wanted"), "text_key")
                   .select("node", "t").dropDuplicates(["node"]), "dup-texts")
 
-    stars = saved(members.where("node <> leader").select(F.col("node").alias("a"),
-                                                         F.col("leader").alias("b")).distinct(),
-                  "dup-pairs")
+    stars = members.where("node <> leader").select(F.col("node").alias("a"),
+                                                   F.col("leader").alias("b")).distinct()
     links = saved(verified(stars, texts, threshold, k), "dup-links")
-    i = 0
-    while True:
-        parts = components(links, "dup")
-        member = members.select("key", "node").join(parts, "node", "left") \
-            .select("key", "node", F.coalesce("component", "node").alias("part"))
-        mixed = member.groupBy("key").agg(
-            F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("size"),
-            F.min_by(F.struct("node", "part"), F.xxhash64("key", "node", F.lit(i))).alias("lead")) \
-            .where("lo <> hi").select("key", "size", "lead")
-        open_ = saved(member.join(saved(mixed, "dup-mixed"), "key"), "dup-open")
-        main = saved(_main(open_), "dup-main")
-        work = main.agg(F.coalesce(F.sum(F.col("n") * (F.col("size") - F.col("n"))
-                                         + (F.col("size") - F.col("n")) ** 2), F.lit(0)).alias("w"),
-                        F.coalesce(F.sum("size"), F.lit(0)).alias("m")).first()
-        last = work["w"] <= ACROSS * work["m"] or i == STAR_ROUNDS
-        if last:
-            pairs = _across(open_, main)
-        else:
-            pairs = open_.where(F.col("part") != F.col("lead.part")) \
-                .select(F.col("node").alias("a"), F.col("lead.node").alias("b"))
-        pairs = saved(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-                      .distinct().join(stars, ["a", "b"], "left_anti"), "dup-pairs")
-        stars = stars.union(pairs)
-        found = saved(verified(pairs, texts, threshold, k), "dup-links")
-        links = links.union(found)
-        i += 1
-        if last:
-            break
-    if found.limit(1).count():
-        parts = components(links, "dup")
+    parts = saved(components(links, "dup"), "dup-parts")
+    member = members.select("key", "node", "bytes").join(parts, "node", "left") \
+        .select("key", "node", "bytes", F.coalesce("component", "node").alias("part"))
+    mixed = saved(member.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
+                  .where("lo <> hi").select("key"), "dup-mixed")
+    open_ = saved(member.join(mixed, "key"), "dup-open")
+    more = saved(linked_across(open_, texts, threshold, k), "dup-links")
+    parts = components(links.union(more), "dup")
     whole = saved(nodes.select("digest", "node").join(parts, "node", "left")
                   .select("digest", F.coalesce("component", "node").alias("part")), "dup-whole")
     rows = saved(signed.select("doc_id", "text_key", "digest").join(whole, "digest", "left"),
@@ -266,24 +364,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         (alone | one.eqNullSafe(F.col("first"))).alias("kept"), "text_key")
 
 
-def _main(open_: DataFrame) -> DataFrame:
-    """The largest component of every bucket: ``key``, ``main``, its ``n`` nodes of ``size``."""
-    return (open_.groupBy("key", "size", "part").agg(F.count("*").alias("n"))
-            .groupBy("key", "size").agg(F.max(F.struct("n", "part")).alias("m"))
-            .select("key", "size", F.col("m.n").alias("n"), F.col("m.part").alias("main")))
-
-
-def _across(open_: DataFrame, main: DataFrame) -> DataFrame:
-    """All pairs of a bucket in different components.  The largest component of a bucket meets
-    only the rest, so a bucket of one large component and few others gives few pairs."""
-    rows = saved(open_.select("key", "node", "part").join(main.select("key", "main"), "key"),
-                 "dup-rest")
-    rest = rows.where("part <> main").select("key", F.col("node").alias("a"), F.col("part").alias("pa"))
-    both = rows.select("key", F.col("node").alias("b"), F.col("part").alias("pb"),
-                       (F.col("part") == F.col("main")).alias("in_main"))
-    return rest.join(both, "key").where("pa <> pb and (in_main or a > b)").select("a", "b")
-
-
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each class: that with the least doc_id (null ids last).  Rows are
     told apart by id and text; of rows equal in both, one stays.  Wordless texts all stay."""
