@@ -6,36 +6,35 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tmweave.llm.common import saved, table
 
 TOKENIZER = "byte_bpe_50k.json"
-HEAD_UNITS = 200_000         # most frequent pre-tokens sent to every task
+HEAD_UNITS = 300_000         # most frequent pre-tokens sent to every task
 HEAD_CHARS = 40              # longest of those, so the table has a fixed bound
 LIMIT = 1024
 
-# A blank before a character that is not white space always begins a token of the
-# byte-level pattern, so the pieces between such places are counted on their own.
+# A blank before a character that is not white space always begins a pre-token, so a text may
+# be cut there first.  The pieces repeat much, and the library's pre-tokenizer runs on the
+# distinct ones.
 _CUT = re.compile(r" (?=\S)")
 _ODD = re.compile(r"\s\s")
 
 
-def pre_tokens(segment: str) -> list[str]:
-    """Pieces of ``segment``, each with its leading blank; their token counts add up
-    to that of the segment."""
+def chunks(segment: str) -> list[str]:
+    """Pieces of ``segment``, each with its leading blank."""
     if not segment:
         return []
     if _ODD.search(segment) or segment[-1] == " ":
         parts = _CUT.split(segment)
     else:
         parts = segment.split(" ")
-    first, rest = parts[0], parts[1:]
-    out = [" " + p for p in rest]
-    if first:
-        out.append(first)
+    out = [" " + p for p in parts[1:]]
+    if parts[0]:
+        out.append(parts[0])
     return out
 
 
@@ -45,8 +44,8 @@ def _special(path: str) -> list[str]:
 
 
 def _tally(text: str | None, special: list[str]) -> tuple[Counter, int]:
-    """Pre-token frequencies of a text, and how many special strings it holds.  The
-    library cuts texts at special strings before anything else."""
+    """Chunk frequencies of a text, and how many special strings it holds.  The library cuts
+    texts at special strings before anything else."""
     segments = [text or ""]
     n = 0
     if special and any(s in segments[0] for s in special):
@@ -55,10 +54,17 @@ def _tally(text: str | None, special: list[str]) -> tuple[Counter, int]:
         n, segments = len(cut) - 1, cut
     freq: Counter = Counter()
     for s in segments:
-        freq.update(pre_tokens(s))
+        freq.update(chunks(s))
     return freq, n
 
 
+def _splitter(path: str):
+    """The library's own pre-tokenizer: a chunk to its pre-tokens."""
+    from tokenizers import Tokenizer
+    split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+    return lambda chunk: [chunk[a:b] for _, (a, b) in split(chunk)]
+
+
 def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text",
                  doc_id: str = "doc_id", limit: int = LIMIT,
                  head_units: int = HEAD_UNITS) -> DataFrame:
@@ -69,7 +75,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text",
     0 tokens; repeated rows keep their rows; an empty table gives an empty result; other
     columns are ignored.
 
-    1. Frequencies of the distinct pre-tokens of all texts: summed per task, then by key.
+    1. Frequencies of the distinct pre-tokens (the library's own) of all texts: summed per task,
+       then by key.
     2. The tokenizer runs once per distinct pre-token; only the number is kept.
     3. Per text, frequencies times numbers are summed.  The numbers of the ``head_units``
        most frequent pre-tokens of at most ``HEAD_CHARS`` characters (a bounded table)
@@ -80,56 +87,89 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text",
     special = _special(tokenizer_path)
     rows = docs.select(F.col(doc_id).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("t"))
 
-    def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = _splitter(tokenizer_path)
+
+        def units(freq: Counter) -> Iterator[pa.RecordBatch]:
+            total: Counter = Counter()
+            for chunk, n in freq.items():
+                for u in split(chunk):
+                    total[u] += n
+            names, numbers = list(total), list(total.values())
+            for i in range(0, len(names), 100_000):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names[i:i + 100_000], pa.string()),
+                     pa.array(numbers[i:i + 100_000], pa.int64())], ["unit", "freq"])
+
         freq: Counter = Counter()
         for b in batches:
-            for t in b["t"]:
-                freq.update(_tally(t, special)[0])
-            if len(freq) > 500_000:      # pass on what is held, keep the memory bounded
-                yield pd.DataFrame({"unit": list(freq), "freq": list(freq.values())})
-                freq = Counter()
-        yield pd.DataFrame({"unit": list(freq), "freq": list(freq.values())},
-                           columns=["unit", "freq"]).astype({"freq": "int64"})
-
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for t in b.column("t"):
+                freq.update(_tally(t.as_py(), special)[0])
+                if len(freq) > 1_000_000:      # pass on what is held, keep the memory bounded
+                    yield from units(freq)
+                    freq = Counter()
+        yield from units(freq)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
         tok = Tokenizer.from_file(tokenizer_path)
         for b in batches:
-            out = []
-            for i in range(0, len(b), 1000):
-                out += [len(e) for e in tok.encode_batch(list(b["unit"][i:i + 1000]),
+            names, out = b.column("unit").to_pylist(), []
+            for i in range(0, len(names), 1000):
+                out += [len(e) for e in tok.encode_batch(names[i:i + 1000],
                                                          add_special_tokens=False)]
-            yield b.assign(n=pd.Series(out, index=b.index, dtype="int64"))
+            yield b.append_column("n", pa.array(out, pa.int64()))
 
-    units = saved(rows.select("t").mapInPandas(distinct, "unit string, freq bigint")
+    units = saved(rows.select("t").mapInArrow(distinct, "unit string, freq bigint")
                   .groupBy("unit").agg(F.sum("freq").alias("freq"))
-                  .mapInPandas(pieces, "unit string, freq bigint, n bigint"), "token-units")
-    head = (units.where(F.length("unit") <= HEAD_CHARS).orderBy(F.desc("freq"), "unit")
-            .limit(head_units).select("unit", "n").toPandas())
-    known = spark.sparkContext.broadcast(dict(zip(head["unit"], head["n"])))
-
-    def known_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers = known.value
+                  .mapInArrow(pieces, "unit string, freq bigint, n bigint")
+                  # Eight classes of frequency per power of two.
+                  .withColumn("cls", F.floor(F.log2("freq") * 8).cast("int")), "token-units")
+    # The head: the highest classes that hold at most head_units pre-tokens (some hundred rows).
+    short = units.where(F.length("unit") <= HEAD_CHARS)
+    least, room = None, head_units
+    for c in short.groupBy("cls").count().orderBy(F.desc("cls")).collect():
+        room -= c["count"]
+        if room < 0:
+            break
+        least = c["cls"]
+    head = short.where(F.col("cls") >= least).select("unit", "n").toArrow() if least is not None \
+        else pa.table({"unit": [], "n": []})
+    known = spark.sparkContext.broadcast(dict(zip(head["unit"].to_pylist(), head["n"].to_pylist())))
+
+    def known_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, numbers = _splitter(tokenizer_path), known.value
+        seen: dict = {}                        # chunk -> (tokens of its known part, the other units)
+
+        def parts(chunk: str):
+            if len(seen) > 500_000:
+                seen.clear()
+            units = split(chunk)
+            other = tuple(u for u in units if u not in numbers)
+            got = seen[chunk] = (sum(numbers.get(u, 0) for u in units), other)
+            return got
+
+        unit = pa.list_(pa.struct([("unit", pa.string()), ("c", pa.int64())]))
         for b in batches:
             sums, rest = [], []
-            for t in b["t"]:
-                freq, total = _tally(t, special)
-                other = []
-                for u, c in freq.items():
-                    n = numbers.get(u)
-                    if n is None:
-                        other.append({"unit": u, "c": c})
-                    else:
-                        total += n * c
+            for t in b.column("t"):
+                freq, total = _tally(t.as_py(), special)
+                other: Counter = Counter()
+                for chunk, c in freq.items():
+                    n, more = seen.get(chunk) or parts(chunk)
+                    total += n * c
+                    for u in more:
+                        other[u] += c
                 sums.append(total)
-                rest.append(other)
-            yield pd.DataFrame({"doc": b["doc"], "n_bytes": b["n_bytes"], "known": sums,
-                                "rest": rest})
+                rest.append([{"unit": u, "c": c} for u, c in other.items()])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc"), b.column("n_bytes"), pa.array(sums, pa.int64()),
+                 pa.array(rest, unit)], ["doc", "n_bytes", "known", "rest"])
 
     kind = dict(rows.dtypes)["doc"]
     known_part = saved(
         rows.withColumn("n_bytes", F.octet_length("t").cast("long"))
-        .mapInPandas(known_sums, f"doc {kind}, n_bytes bigint, known bigint, "
+        .mapInArrow(known_sums, f"doc {kind}, n_bytes bigint, known bigint, "
                                  "rest array<struct<unit:string,c:bigint>>")
         .withColumn("row", F.monotonically_increasing_id()), "token-known")
     rest = (known_part.where(F.size("rest") > 0).select("row", F.explode("rest").alias("r"))
