@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -207,15 +208,15 @@ def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text",
     """
     model = _model(saved(featurise(docs, text=text), "quality-x"), labels)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            s = np.full(len(p), 0.5)
-            if model is not None and len(p):
-                f = fourier(np.array([statistics(t) for t in p[text]]), model)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = np.full(len(b), 0.5)
+            if model is not None and len(b):
+                f = fourier(np.array([statistics(t.as_py()) for t in b.column(text)]), model)
                 s = np.clip(np.interp(f @ model["weights"], model["knots"], model["levels"]), 0, 1)
-            yield p[s >= threshold]
+            yield b.filter(pa.array(s >= threshold))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op5_quality(spark, sf_dir):
