@@ -19,6 +19,7 @@ from tmweave.llm.common import SHINGLE_WORDS, SIMILARITY, components, saved, tab
 BANDS, ROWS = 24, 5
 BLOCK_NODES = 256            # texts of a bucket that are compared at once, two such blocks at most
 BLOCK_BYTES = 16 << 20       # and their bytes
+BROADCAST_NODES = 500_000    # nodes that are sent to the texts (40 bytes each); else texts are shuffled
 CHUNK = 400_000              # shingles that are handled at once
 
 WORD = re.compile(r"[^\W_]+")
@@ -333,11 +334,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     members = saved(buckets.join(shared, "key"), "dup-members")
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi") \
         .select("node", "text_key")
-    # One text per node: copies of a text are cut before the join by a partial aggregate.
+    wanted = saved(wanted, "dup-wanted")
+    if wanted.count() <= BROADCAST_NODES:
+        wanted = F.broadcast(wanted)
     texts = saved(docs.select(F.md5(F.col(text).cast("binary")).alias("text_key"),
                               F.col(text).alias("t"))
-                  .join(saved(wanted, "dup-wanted"), "text_key")
-                  .select("node", "t").dropDuplicates(["node"]), "dup-texts")
+                  .join(wanted, "text_key").select("node", "t").dropDuplicates(["node"]), "dup-texts")
 
     stars = members.where("node <> leader").select(F.col("node").alias("a"),
                                                    F.col("leader").alias("b")).distinct()
