@@ -15,6 +15,8 @@ from tmweave.llm.common import saved, table
 TOKENIZER = "byte_bpe_50k.json"
 HEAD_UNITS = 300_000         # most frequent pre-tokens sent to every task
 HEAD_CHARS = 40              # longest of those, so the table has a fixed bound
+HELD_CHUNKS = 150_000        # distinct chunks that a task holds before it passes them on
+SLICE_ROWS = 500             # texts whose rare pre-tokens a task holds at once
 LIMIT = 1024
 
 # A blank before a character that is not white space always begins a pre-token, so a text may
@@ -105,7 +107,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text",
         for b in batches:
             for t in b.column("t"):
                 freq.update(_tally(t.as_py(), special)[0])
-                if len(freq) > 1_000_000:      # pass on what is held, keep the memory bounded
+                if len(freq) > HELD_CHUNKS:      # pass on what is held, keep the memory bounded
                     yield from units(freq)
                     freq = Counter()
         yield from units(freq)
@@ -142,29 +144,34 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text",
         seen: dict = {}                        # chunk -> (tokens of its known part, the other units)
 
         def parts(chunk: str):
-            if len(seen) > 500_000:
+            if len(seen) > HELD_CHUNKS:
                 seen.clear()
             units = split(chunk)
             other = tuple(u for u in units if u not in numbers)
             got = seen[chunk] = (sum(numbers.get(u, 0) for u in units), other)
             return got
 
-        unit = pa.list_(pa.struct([("unit", pa.string()), ("c", pa.int64())]))
         for b in batches:
-            sums, rest = [], []
-            for t in b.column("t"):
-                freq, total = _tally(t.as_py(), special)
-                other: Counter = Counter()
-                for chunk, c in freq.items():
-                    n, more = seen.get(chunk) or parts(chunk)
-                    total += n * c
-                    for u in more:
-                        other[u] += c
-                sums.append(total)
-                rest.append([{"unit": u, "c": c} for u, c in other.items()])
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc"), b.column("n_bytes"), pa.array(sums, pa.int64()),
-                 pa.array(rest, unit)], ["doc", "n_bytes", "known", "rest"])
+            for start in range(0, len(b), SLICE_ROWS):
+                part = b.slice(start, SLICE_ROWS)
+                sums, owner, names, counts = [], [0], [], []
+                for t in part.column("t"):
+                    freq, total = _tally(t.as_py(), special)
+                    other: Counter = Counter()
+                    for chunk, c in freq.items():
+                        n, more = seen.get(chunk) or parts(chunk)
+                        total += n * c
+                        for u in more:
+                            other[u] += c
+                    sums.append(total)
+                    names += other
+                    counts += other.values()
+                    owner.append(len(names))
+                rest = pa.ListArray.from_arrays(pa.array(owner, pa.int32()), pa.StructArray.from_arrays(
+                    [pa.array(names, pa.string()), pa.array(counts, pa.int64())], ["unit", "c"]))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc"), part.column("n_bytes"), pa.array(sums, pa.int64()), rest],
+                    ["doc", "n_bytes", "known", "rest"])
 
     kind = dict(rows.dtypes)["doc"]
     known_part = saved(
