@@ -54,14 +54,17 @@ class _Flow:
         self.gap = 0
         self.indent: list[int] = []
         self.mark: str | None = None
+        self.pre = False                     # the current line is preformatted
 
     def text(self, s: str, pre: bool) -> None:
         if pre:
             head, *more = s.split("\n")
             self.cur.append(head)
+            self.pre = True
             for line in more:
                 self.end(keep=True)
                 self.cur.append(line)
+                self.pre = True
             return
         s = SPACE.sub(" ", s)
         if s[:1] == " " and (not self.cur or self.cur[-1][-1:] in (" ", "")):
@@ -83,7 +86,8 @@ class _Flow:
     def end(self, keep: bool = False) -> None:
         line = "".join(self.cur)
         self.cur = []
-        line = line.rstrip() if keep else line.strip(" \t\n\r\f")
+        line = line.rstrip() if keep or self.pre else line.strip(" \t\n\r\f")
+        self.pre = False
         if line or keep and self.lines and not self.gap:
             self.put(line)
 

@@ -45,9 +45,11 @@ def _strength(rows: DataFrame, mean: str) -> DataFrame:
     sum(n m (1 - m) (1 + (n - 1) / (s + 1)))."""
     n, k, m = F.col("n"), F.col("k"), F.col(mean)
     v = n * m * (1 - m)
-    rho = (F.sum((k - n * m) * (k - n * m)) - F.sum(v)) / F.sum(v * (n - 1))
+    rho = F.try_divide(F.sum((k - n * m) * (k - n * m)) - F.sum(v), F.sum(v * (n - 1)))
     lo, hi = PRIOR_RANGE
-    return rows.agg(F.when(rho > 0, F.greatest(F.lit(lo), F.least(F.lit(hi), 1 / rho - 1)))
+    # Without groups of two trials nothing is known of the spread: the weakest prior.
+    return rows.agg(F.when(rho.isNull(), F.lit(lo))
+                    .when(rho > 0, F.greatest(F.lit(lo), F.least(F.lit(hi), F.try_divide(F.lit(1.0), rho) - 1)))
                     .otherwise(F.lit(hi)).alias("s"))
 
 
@@ -146,8 +148,8 @@ def op2_url_reputation(spark, sf_dir):
 def _posterior(level: str, rows: str) -> str:
     """SQL of one level: ``rows`` has the group, n, k and m."""
     return f"""
-{level}_s AS (SELECT CASE WHEN rho > 0 THEN greatest(2.0, least(1000.0, 1 / rho - 1)) ELSE 1000.0 END AS s
-  FROM (SELECT (sum((k - n * m) * (k - n * m)) - sum(n * m * (1 - m))) / sum(n * m * (1 - m) * (n - 1)) AS rho
+{level}_s AS (SELECT CASE WHEN rho IS NULL THEN 2.0 WHEN rho > 0 THEN greatest(2.0, least(1000.0, 1 / rho - 1)) ELSE 1000.0 END AS s
+  FROM (SELECT (sum((k - n * m) * (k - n * m)) - sum(n * m * (1 - m))) / nullif(sum(n * m * (1 - m) * (n - 1)), 0) AS rho
         FROM {rows})),
 {level}_p AS (SELECT r.*, (k + s * m) / (n + s) AS rate, s FROM {rows} r, {level}_s)"""
 
