@@ -103,15 +103,14 @@ def materialize(df, name: str):
 
 
 def ship_package(spark: SparkSession) -> str:
-    """Zip this package into the shared checkpoint folder and add it to the
-    executors' Python path (``addPyFile``), the usual way to deploy library code
-    to a cluster.  Functions are also pickled by value, so this is needed only
+    """Zip this package on the driver and add it to the executors' Python path
+    (``addPyFile`` serves it from there), the usual way to deploy library code to a
+    cluster.  Functions are also pickled by value, so this is needed only
     for code that imports the package on executors by name."""
     import zipfile
 
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    target = scratch_path(spark, "pyfiles")
-    archive = os.path.join(target, "tmweave.zip")
+    archive = os.path.join(tempfile.mkdtemp(prefix="tmweave-pyfiles-"), "tmweave.zip")
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as zf:
         for root, _dirs, files in os.walk(pkg_dir):
             for name in files:
