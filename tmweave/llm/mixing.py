@@ -121,19 +121,19 @@ def mix(docs: DataFrame, size: Column, weights=WEIGHTS, share: float = SHARE,
     pos = pos.withColumn("_taken", F.when(some & (F.col("target") > 0), F.col("size") * F.size(
         F.filter(epochs, lambda e: finish(e) <= 1))).otherwise(F.lit(0)).cast("long"))
     total = F.sum("source_size")
-    spent = (pos.agg(F.coalesce(F.sum("_taken"), F.lit(0)).alias("_spent"))
-             .crossJoin(targets.agg(F.least(share * total, repeats * total).alias("_all"),
-                                    F.sum("_n").alias("_rows")))        # one row each
-             .select((F.col("_all") - F.col("_spent")).alias("_left"),
-                     F.greatest(F.lit(1.0), F.col("_rows") / slot_rows).alias("_bins")))
-    left = saved(spent, "mix-left")
+    # Two sums reach the driver: the budget that is left, and the number of rows.
+    spent = pos.agg(F.coalesce(F.sum("_taken"), F.lit(0)).alias("s")).first()["s"]
+    sums = targets.agg(F.least(share * total, repeats * total).cast("double").alias("all"),
+                       F.sum("_n").alias("rows")).first()
+    left = F.lit((sums["all"] or 0.0) - spent)
     late = (pos.where(some & (F.col("target") > 0)).withColumn("_copy", F.explode(epochs))
             .withColumn("_finish", finish(F.col("_copy"))).where("_finish > 1")
-            .crossJoin(F.broadcast(left))       # one row
-            .withColumn("_bin", F.floor((F.col("_finish") - 1) * F.col("_bins")).cast("long")))
-    bins = late.groupBy("_bin", "_left").agg(F.sum("size").alias("_w"))
+            .withColumn("_bin", F.floor((F.col("_finish") - 1)
+                                        * F.lit(max(1.0, (sums["rows"] or 0) / slot_rows)))
+                        .cast("long")))
+    bins = late.groupBy("_bin").agg(F.sum("size").alias("_w"))
     bins = (bins.withColumn("_before", F.sum("_w").over(Window.orderBy("_bin")) - F.col("_w"))
-            .where("_before <= _left")
+            .where(F.col("_before") <= left)
             .select(F.col("_bin").alias("_b"), "_before"))
     bins = saved(bins, "mix-bins")
     order = (Window.partitionBy("_bin")
@@ -142,7 +142,7 @@ def mix(docs: DataFrame, size: Column, weights=WEIGHTS, share: float = SHARE,
              .rowsBetween(Window.unboundedPreceding, 0))
     rest = (late.join(bins, F.col("_bin") == F.col("_b"))
             .withColumn("_upto", F.col("_before") + F.sum("size").over(order))
-            .where("_upto <= _left").groupBy("_row").agg(F.sum("size").alias("_more")))
+            .where(F.col("_upto") <= left).groupBy("_row").agg(F.sum("size").alias("_more")))
     out = pos.join(rest, "_row", "left")
     if extra:
         out = out.join(sized.select("_row", *[f"k_{i}" for i in range(len(extra))]), "_row")
