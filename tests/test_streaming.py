@@ -96,3 +96,37 @@ def test_combine_fails_without_expected_count(spark, tmpdir_path):
     q = stream_combine(stream, expected, f"{tmpdir_path}/out", f"{tmpdir_path}/ckpt")
     with pytest.raises(Exception, match="no expected section count"):
         run_available_now(q, 300)
+
+
+def test_stream_tmx_records_errors(spark, tmpdir_path):
+    from tmweave.sources.tmx import read_tmx_pieces
+
+    src = os.path.join(tmpdir_path, "tmx")
+    os.makedirs(src)
+    good = '<tu><tuv xml:lang="en"><seg>g</seg></tuv><tuv xml:lang="es"><seg>h</seg></tuv></tu>'
+    for name, text in (("a", f"<tmx><body>{good}<tu><tuv><seg>s</seg></tuv></tu></body></tmx>"),
+                       ("b", f"<tmx><body>{good.replace('>g<', '>z<')}")):
+        with open(os.path.join(src, f"{name}.tmx"), "w") as f:
+            f.write(text)
+    q = stream_tmx(read_tmx_pieces(spark, src, streaming=True), f"{tmpdir_path}/tm",
+                   f"{tmpdir_path}/ckpt", errors_path=f"{tmpdir_path}/errors")
+    run_available_now(q, 300)
+    assert [r["source_text"] for r in spark.read.parquet(f"{tmpdir_path}/tm").collect()] == ["g"]
+    errors = spark.read.parquet(f"{tmpdir_path}/errors").collect()
+    assert {(os.path.basename(r["file_path"]), r["error"], r["units"]) for r in errors} == {
+        ("a.tmx", "Translation unit needs a source and a target variant", 1),
+        ("b.tmx", "Malformed TMX content", 0)}
+
+
+def test_combine_with_string_ids(spark, tmpdir_path):
+    sections = spark.createDataFrame(
+        [("report", 1, "b", 0.5), ("report", 0, "a", 0.5), ("x-1", 0, "c", 1.0)],
+        "document_id string, section_id long, translated_text string, confidence double")
+    src = os.path.join(tmpdir_path, "s")
+    sections.write.parquet(src)
+    expected = sections.groupBy("document_id").agg(F.count(F.lit(1)).alias("expected"))
+    q = stream_combine(spark.readStream.schema(sections.schema).parquet(src), expected,
+                       f"{tmpdir_path}/out", f"{tmpdir_path}/ckpt")
+    run_available_now(q, 300)
+    got = {(r["document_id"], r["body"]) for r in spark.read.parquet(f"{tmpdir_path}/out").collect()}
+    assert got == {("report", "a\n\nb"), ("x-1", "c")}

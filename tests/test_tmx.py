@@ -112,3 +112,77 @@ def test_read_failure_is_passed_on(spark, tmpdir_path):
     with pytest.raises(Exception, match="(?i)path does not exist|PATH_NOT_FOUND"):
         recs, _ = ingest_tmx(spark, os.path.join(tmpdir_path, "missing"))
         recs.collect()
+
+
+def unit(source, target):
+    return (f'<tu>\n<tuv xml:lang="en"><seg>{source}</seg></tuv>\n'
+            f'<tuv xml:lang="fr"><seg>{target}</seg></tuv>\n</tu>\n')
+
+
+def tmx(body):
+    return f'<?xml version="1.0"?>\n<tmx version="1.4"><header/><body>\n{body}</body></tmx>\n'
+
+
+def test_bad_units_leave_the_others(spark, tmpdir_path):
+    d = write(tmpdir_path, "a.tmx", tmx(unit("first", "premier") + "<tu><tuv><seg>x</tuv></tu>"
+                                        + unit("third", "troisieme")
+                                        + '<tu><tuv xml:lang="en"><seg>open</seg></tuv>'
+                                        + unit("fifth", "cinquieme")))
+    recs, errors = ingest_tmx(spark, d)
+    assert sorted(r["source_text"] for r in recs.collect()) == ["fifth", "first", "third"]
+    assert [(r["error"], r["units"]) for r in errors.collect()] == [("Malformed TMX content", 2)]
+
+
+def test_rejected_files_contribute_no_pair(spark, tmpdir_path):
+    d = os.path.join(tmpdir_path, "in")
+    write(d, "good.tmx", tmx(unit("good", "bon")))
+    write(d, "bodyless.tmx", f"<tmx>{unit('a', 'b')}</tmx>")
+    write(d, "cut.tmx", tmx(unit("kept", "non") + unit("cut", "non"))[:-25])
+    write(d, "unclosed.tmx", "<tmx><body>" + unit("u", "v"))
+    write(d, "page.tmx", "<html><body>" + unit("w", "x") + "</body></html>")
+    write(d, "none.tmx", "<tmx><body/></tmx>")
+    write(d, "empty.tmx", "")
+    recs, errors = ingest_tmx(spark, d)
+    assert [r["source_text"] for r in recs.collect()] == ["good"]
+    got = {(os.path.basename(r["file_path"]), r["error"]) for r in errors.collect()}
+    assert got == {(f, "Malformed TMX content") for f in
+                   ("bodyless.tmx", "cut.tmx", "unclosed.tmx", "page.tmx")} | {
+                       ("empty.tmx", EMPTY_FILE_ERROR)}
+
+
+def test_large_file_is_split(spark, tmpdir_path):
+    n = 8000
+    d = write(tmpdir_path, "big.tmx", tmx("".join(unit(f"s {i}", f"t {i}") for i in range(n))))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        units = read_tmx(spark, d)
+        assert units.rdd.getNumPartitions() > 1
+        pairs = pair_segments(units)
+        assert pairs.select("source_text").distinct().count() == n == pairs.count()
+        assert pairs.where("error is not null").count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_known_pairs_are_not_embedded_again(spark, tmpdir_path):
+    tm = os.path.join(tmpdir_path, "tm")
+    d1 = write(os.path.join(tmpdir_path, "one"), "a.tmx", tmx(unit("a", "x")))
+    d2 = write(os.path.join(tmpdir_path, "two"), "b.tmx", tmx(unit("a", "x") + unit("b", "y")))
+    assert ingest_tmx(spark, d1, tm, embedder=Double())[0].count() == 1
+
+    class OnlyNew:
+        def embed(self, texts):
+            assert texts == ["b"], texts
+            return [[0.5] * 5 for _ in texts]
+
+    assert [r["source_text"] for r in ingest_tmx(spark, d2, tm, embedder=OnlyNew())[0].collect()] == ["b"]
+
+
+def test_null_and_empty_language_are_two_pairs(spark, tmpdir_path):
+    rows = [(None, "fr", "a", "x", None), ("", "fr", "a", "x", None), ("", "fr", "a", "x", None)]
+    pairs = spark.createDataFrame(rows, "source_lang string, target_lang string, source_text string, "
+                                        "target_text string, error string")
+    out = os.path.join(tmpdir_path, "tm")
+    assert write_tm(tm_records(pairs), out).count() == 2
+    assert write_tm(tm_records(pairs), out).count() == 0

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tmweave.sources.tmx import CORRUPT
+from tmweave.sources.tmx import CORRUPT, MALFORMED_ERROR, parse_units  # noqa: F401
 
-# Error texts of invalid units.
-MALFORMED_ERROR = "Malformed TMX content"
+# Fixed value: error text of a unit without two variants.
 SHORT_UNIT_ERROR = "Translation unit needs a source and a target variant"
 DEFAULT_TM_SCORE = 1.0  # ours: stored score of a curated TMX pair
 
@@ -39,22 +38,26 @@ def pair_segments(units: DataFrame) -> DataFrame:
         unit_error().alias("error"))
 
 
-def tmx_errors(pairs: DataFrame, empty: DataFrame | None = None) -> DataFrame:
-    """G5 per file: (file_path, error) for every file that the pipeline would reject:
-    empty files, malformed content, units without two variants."""
+def tmx_errors(pairs: DataFrame, *files: DataFrame) -> DataFrame:
+    """(file_path, error, units) for every file and kind of error: units that are malformed
+    or lack a variant, with their number, and the file errors given as ``files``
+    (file_path, error)."""
     bad = (pairs.filter(F.col("error").isNotNull())
-           .groupBy("file_path").agg(F.min("error").alias("error")))
-    return bad if empty is None else bad.unionByName(empty)
+           .select("file_path", "error", F.lit(1).cast("bigint").alias("units")))
+    for f in files:
+        bad = bad.unionByName(f.select("file_path", "error", F.lit(0).cast("bigint").alias("units")))
+    return bad.groupBy("file_path", "error").agg(F.sum("units").alias("units"))
 
 
 def tm_id(*cols) -> Column:
     """Stable id of a TM pair from its languages and texts (64-bit xxhash).
 
-    The same pair always gets the same id, which makes the TM sink idempotent
-    without reading stored texts.  Two different pairs share an id with
-    probability about n^2 / 2^65 (about 1e-4 for 1e8 entries); they would then be
-    treated as one record."""
-    return F.xxhash64(*[F.coalesce(F.col(c), F.lit("")) for c in cols])
+    NULL and empty text give different ids.  Two different pairs share an id with
+    probability about n^2 / 2^65 (about 1e-4 for 1e8 entries); the TM sink compares
+    whole pairs, so it keeps both."""
+    nulls = F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in cols])
+    return F.xxhash64(*[F.coalesce(F.col(c), F.lit("")) for c in cols],
+                      F.when(nulls.contains("1"), nulls))
 
 
 def tm_records(pairs: DataFrame, *, embed_target: bool = False, embedder=None,
@@ -96,14 +99,3 @@ def tu_xml(source_lang, target_lang, source_text, target_text) -> Column:
     tgt = F.col(target_text) if isinstance(target_text, str) else target_text
     second = F.when(tgt.isNotNull(), tuv(target_lang, tgt)).otherwise(F.lit(""))
     return F.concat(F.lit("<tu>"), tuv(source_lang, source_text), second, F.lit("</tu>"))
-
-
-def parse_units(df: DataFrame, xml_col: str = "xml") -> DataFrame:
-    """``from_xml`` of ``<tu>`` strings into the reader's unit shape."""
-    from tmweave import schemas
-    parsed = F.from_xml(F.col(xml_col), schemas.TMX_UNIT,
-                        {"ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE"})
-    return (df.withColumn("_u", parsed)
-            .withColumn("tuv", F.col("_u.tuv"))
-            .withColumn(CORRUPT, F.when(F.col("_u").isNull(), F.col(xml_col)))
-            .drop("_u", xml_col))

@@ -654,10 +654,10 @@ def stream_combine_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("stream_tmx", ORACLE_SQL["ingest_tm"])
 def stream_tmx_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R2: consecutive conversation turns written by Spark as TMX unit files, read
-    back by the streaming XML source and appended to a TM store per micro-batch
+    back as a stream, unit by unit, and appended to a TM store per micro-batch
     (idempotent sink)."""
     from tmweave.session import scratch_path
-    from tmweave.sources.tmx import read_tmx
+    from tmweave.sources.tmx import read_tmx_pieces
     from tmweave.streaming import run_available_now, stream_tmx
 
     c = T.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
@@ -666,7 +666,7 @@ def stream_tmx_q(spark: SparkSession, sf_dir: str) -> DataFrame:
         X.tu_xml(F.lit("en-us"), F.lit("es-es"), "text", "next_text").alias("value"))
     base = scratch_path(spark, "stream-tmx")
     T.write_tmx_documents(units, f"{base}/in")
-    q = stream_tmx(read_tmx(spark, f"{base}/in", streaming=True), f"{base}/tm",
+    q = stream_tmx(read_tmx_pieces(spark, f"{base}/in", streaming=True), f"{base}/tm",
                    f"{base}/checkpoint")
     run_available_now(q)
     tm = spark.read.parquet(f"{base}/tm")

@@ -8,26 +8,67 @@ from pyspark.sql import functions as F
 from tmweave import schemas
 
 CORRUPT = "_corrupt_record"
-# Fixed value: error text for an empty or unreadable TMX file.
+# Error texts of empty, unreadable and malformed TMX files.
 EMPTY_FILE_ERROR = "TMX file is empty or could not be read"
+MALFORMED_ERROR = "Malformed TMX content"
 
 
-def read_tmx(spark: SparkSession, path: str, *, streaming: bool = False) -> DataFrame:
-    """S4 + G3: one row per ``<tu>`` with its file, parsed by Spark's XML source.
+UNIT_START = r"<tu[\s>/]"
+
 
-    Surrounding spaces of ``seg`` text are kept and entities decoded; a unit that
-    cannot be parsed keeps its raw text in ``_corrupt_record``.  Files are split
-    and parsed in parallel; a file without units yields no rows.
+def read_tmx_pieces(spark: SparkSession, path: str, *, streaming: bool = False) -> DataFrame:
+    """Text of TMX files (UTF-8), cut behind every ``</tu>``: columns ``piece`` and ``file_path``.
+
+    The text source splits large files, so one file may be read by many tasks.  The rows of a
+    file hold all of its text, its head and its end included.
     """
     r = spark.readStream if streaming else spark.read
-    df = (r.format("xml")
-          .option("rowTag", "tu")
-          .option("ignoreSurroundingSpaces", "false")
-          .option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", CORRUPT)
-          .schema(f"{schemas.TMX_UNIT}, {CORRUPT} string")
-          .load(path))
-    return df.withColumn("file_path", F.col("_metadata.file_path"))
+    return (r.option("lineSep", "</tu>").text(path)
+            .select(F.col("value").alias("piece"), F.col("_metadata.file_path").alias("file_path")))
+
+
+def tmx_units(pieces: DataFrame) -> DataFrame:
+    """S4 + G3: one row per ``<tu>`` of ``read_tmx_pieces``, each parsed alone.
+
+    Surrounding spaces of ``seg`` text are kept and entities decoded; a unit that cannot be
+    parsed, or is not closed, keeps its raw text in ``_corrupt_record`` and leaves the units
+    around it untouched.  A piece without ``<tu>`` gives no row.
+    """
+    parts = F.filter(F.split("piece", f"(?={UNIT_START})"), lambda p: p.rlike(f"^{UNIT_START}"))
+    units = (pieces.select("file_path", F.posexplode(parts).alias("_i", "xml"),
+                           F.size(parts).alias("_n"))
+             # Only the last unit of a piece lost its end tag to the cut.
+             .withColumn("xml", F.when(F.col("_i") == F.col("_n") - 1,
+                                       F.concat("xml", F.lit("</tu>"))).otherwise(F.col("xml"))))
+    return parse_units(units.select("file_path", "xml")).select("tuv", CORRUPT, "file_path")
+
+
+def read_tmx(spark: SparkSession, path: str, *, streaming: bool = False) -> DataFrame:
+    """The units (``tmx_units``) of the TMX files under ``path``."""
+    return tmx_units(read_tmx_pieces(spark, path, streaming=streaming))
+
+
+def file_errors(pieces: DataFrame) -> DataFrame:
+    """G5 per file: (file_path, error) of every file without ``tmx`` and ``body`` elements that
+    both open and close.  Such a file contributes no pair."""
+    def seen(pattern):
+        return F.max(F.col("piece").rlike(pattern))
+
+    whole = (seen(r"<tmx[\s>]") & seen(r"<body[\s>/]") & seen(r"</tmx\s*>")
+             & seen(r"</body\s*>|<body\s*/>"))
+    return (pieces.groupBy("file_path").agg(whole.alias("whole")).where(~F.col("whole"))
+            .select("file_path", F.lit(MALFORMED_ERROR).alias("error")))
+
+
+def parse_units(df: DataFrame, xml_col: str = "xml") -> DataFrame:
+    """``from_xml`` of ``<tu>`` strings into the reader's unit shape."""
+    parsed = F.from_xml(F.col(xml_col), f"{schemas.TMX_UNIT}, {CORRUPT} string",
+                        {"ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE",
+                         "columnNameOfCorruptRecord": CORRUPT})
+    return (df.withColumn("_u", parsed)
+            .withColumn("tuv", F.col("_u.tuv"))
+            .withColumn(CORRUPT, F.col(f"_u.{CORRUPT}"))
+            .drop("_u", xml_col))
 
 
 def empty_files(spark: SparkSession, path: str) -> DataFrame:

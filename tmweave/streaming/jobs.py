@@ -58,31 +58,42 @@ def stream_admission_from_events(events: DataFrame, documents_bucket: str,
                             available_now=available_now)
 
 
-def stream_tmx(units: DataFrame, tm_path: str, checkpoint: str, *, embedder=None,
-               embed_target: bool = False, available_now: bool = True) -> StreamingQuery:
-    """R2: each new TMX file extends the TM.  ``units`` comes from
-    ``read_tmx(..., streaming=True)``; each micro-batch is paired, embedded and
-    appended with the idempotent TM sink, so a replayed batch adds nothing."""
-    from tmweave.operators.tmx import pair_segments, tm_records
-    from tmweave.sinks.tables import write_tm
-
-    def batch(df: DataFrame, _epoch: int) -> None:
-        # The batch is read by the record build and by the sink's novelty check:
-        # keep it for the batch's lifetime instead of parsing the files twice.
-        df.persist()
-        try:
-            write_tm(tm_records(pair_segments(df), embed_target=embed_target,
-                                embedder=embedder), tm_path)
-        finally:
-            df.unpersist()
-
-    w = units.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+def stream_tmx(files: DataFrame, tm_path: str, checkpoint: str, *, embedder=None,
+               embed_target: bool = False, errors_path: str | None = None,
+               available_now: bool = True) -> StreamingQuery:
+    """R2: each new TMX file extends the TM.  ``files`` comes from
+    ``read_tmx_pieces(..., streaming=True)``, whose micro-batches hold whole files, or is
+    already cut into units (``read_tmx``; then no file can be rejected).
+
+    Each micro-batch is paired, reduced to new pairs, embedded and appended with the
+    idempotent TM sink, so a replayed batch adds nothing.  Rejected files and units go to
+    ``errors_path`` (file_path, error, units), one folder per batch, which a replay
+    overwrites.
+    """
+    from tmweave.operators.tmx import pair_segments, tm_records, tmx_errors
+    from tmweave.sinks.tables import new_pairs, write_tm
+    from tmweave.sources.tmx import file_errors, tmx_units
+
+    def batch(df: DataFrame, epoch: int) -> None:
+        if "piece" in df.columns:
+            rejected = [file_errors(df)]
+            pairs = pair_segments(tmx_units(df))
+        else:
+            rejected, pairs = [], pair_segments(df)
+        if errors_path is not None:
+            (tmx_errors(pairs, *rejected).write.mode("overwrite")
+             .parquet(f"{errors_path.rstrip('/')}/batch={epoch}"))
+        for r in rejected:
+            pairs = pairs.join(r, "file_path", "left_anti")
+        ok = new_pairs(pairs.filter(F.col("error").isNull()), tm_path)
+        write_tm(tm_records(ok, embed_target=embed_target, embedder=embedder), tm_path)
+
+    w = files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     if available_now:
         w = w.trigger(availableNow=True)
     return w.start()
 
 
-COMBINED_SCHEMA = "document_id long, body string, confidence double, sections long"
 _STATE_SCHEMA = ("section_ids array<long>, positions array<long>, texts array<string>, "
                  "confs array<double>, expected long")
 
@@ -128,8 +139,11 @@ def stream_combine(sections: DataFrame, expected: DataFrame, sink_path: str,
     """
     if "pos" not in sections.columns:
         sections = sections.withColumn("pos", F.lit(0).cast("bigint"))
+    id_type = sections.schema["document_id"].dataType.simpleString()
     s = sections.join(expected, "document_id", "left")
     out = s.groupBy("document_id").applyInPandasWithState(
-        _combine_when_complete, COMBINED_SCHEMA, _STATE_SCHEMA, "append",
+        _combine_when_complete,
+        f"document_id {id_type}, body string, confidence double, sections long",
+        _STATE_SCHEMA, "append",
         GroupStateTimeout.NoTimeout)
     return _start(out, sink_path, checkpoint, available_now)
