@@ -102,15 +102,17 @@ FROM conversations
 GROUP BY conv_id
 """)
 def translated_documents_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C4 + K2: combined documents written partitioned by target language with
-    their string metadata (P5), then read back."""
+    """C4 + K2: combined documents written twice, partitioned by target language with
+    their string metadata (P5), then read back: the second run replaces the first."""
     from tmweave.plans.composites import combine_documents as combine_and_write
     from tmweave.session import scratch_path
+    from tmweave.sinks.tables import read_translated
 
     sections = T.conversation_sections(spark, sf_dir)
     path = scratch_path(spark, "translated")
-    combine_and_write(sections, T.conversation_documents(sections), out_path=path)
-    out = spark.read.parquet(path)
+    for _ in range(2):
+        combine_and_write(sections, T.conversation_documents(sections), out_path=path)
+    out = read_translated(spark, path)
     meta = F.col("metadata")
     return out.select("document_id", "output_key", "body", "target_language",
                       meta.getItem("source-language").alias("meta_source_language"),
@@ -118,6 +120,28 @@ def translated_documents_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
                       meta.getItem("original-document").alias("meta_original_document"))
 
 
+@register("combine_shared_stems", """
+SELECT 'report' || CAST(conv_id % 7 AS VARCHAR) AS document_id,
+       'documents/' || CAST(conv_id AS VARCHAR) || '/report' || CAST(conv_id % 7 AS VARCHAR)
+         || '.txt' AS original_key,
+       string_agg(text, chr(10) || chr(10) ORDER BY turn) AS body, count(*) AS sections
+FROM conversations
+GROUP BY conv_id
+""")
+def combine_shared_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1, J3 over documents whose file stems repeat (seven ids in all): each keeps its own
+    sections, told apart by the execution."""
+    sections = T.conversation_sections(spark, sf_dir).withColumnRenamed(
+        "document_id", "execution_id")
+    stem = F.concat(F.lit("report"), (F.col("execution_id") % 7).cast("string"))
+    docs = sections.select("execution_id").distinct().select(
+        "execution_id", stem.alias("document_id"),
+        F.concat(F.lit("documents/"), F.col("execution_id").cast("string"), F.lit("/"), stem,
+                 F.lit(".txt")).alias("original_key"))
+    return combine_sections(sections, docs, key="execution_id").select(
+        "document_id", "original_key", "body", "sections")
+
+
 # --------------------------------------------------------------------------- admission
 _AUDIT_CTE = """
 WITH ev AS (
@@ -583,6 +607,67 @@ def tmx_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", "turn", "source_lang", "target_lang", "source_text", "target_text", "error")
 
 
+_TMX_FILE_SQL = """
+u AS (SELECT a.conv_id, a.turn, a.conv_id % 5 AS kind, a.text AS source_text,
+             b.text AS target_text
+      FROM conversations a LEFT JOIN conversations b
+        ON b.conv_id = a.conv_id AND b.turn = a.turn + 1),
+e AS (SELECT *, CASE WHEN kind = 1 AND turn % 3 = 1 THEN 'Malformed TMX content'
+                     WHEN target_text IS NULL
+                       THEN 'Translation unit needs a source and a target variant' END AS error
+      FROM u)"""
+
+
+def conversation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as the pieces of a TMX file, as ``read_tmx_pieces`` gives them.  By
+    ``conv_id % 5``: whole; some units malformed; cut off at the end; another root; no body."""
+    c = T.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next_text"))
+    kind = F.col("conv_id") % 5
+    xml = X.tu_xml(F.lit("en-us"), F.lit("es-es"), "text", "next_text")
+    unit = F.when((kind == 1) & (F.col("turn") % 3 == 1), F.replace(xml, F.lit("</seg>"), F.lit(""))) \
+        .otherwise(xml)
+    units = c.join(nxt, ["conv_id", "turn"], "left").select(
+        "conv_id", F.regexp_replace(unit, "</tu>$", "").alias("piece"))
+    ends = c.select("conv_id").distinct().select(
+        "conv_id",
+        F.when(kind == 3, "<html><body>").when(kind == 4, "<tmx><header/>")
+        .otherwise("<tmx><header/><body>").alias("head"),
+        F.when(kind == 2, "").when(kind == 3, "</body></html>").when(kind == 4, "</tmx>")
+        .otherwise("</body></tmx>").alias("tail"))
+    ends = ends.select("conv_id", F.explode(F.array("head", "tail")).alias("piece"))
+    return units.unionByName(ends).select("piece", F.col("conv_id").cast("string").alias("file_path"))
+
+
+@register("tmx_files", "WITH " + _TMX_FILE_SQL + """
+SELECT conv_id, source_text, target_text FROM e WHERE kind < 2 AND error IS NULL
+""")
+def tmx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs that TMX files contribute; rejected files give none, bad units leave
+    the others of their file."""
+    from tmweave.sources.tmx import file_errors, tmx_units
+
+    pieces = conversation_files(spark, sf_dir)
+    return (X.pair_segments(tmx_units(pieces)).where("error is null")
+            .join(file_errors(pieces), "file_path", "left_anti")
+            .select(F.col("file_path").cast("bigint").alias("conv_id"), "source_text", "target_text"))
+
+
+@register("tmx_file_errors", "WITH " + _TMX_FILE_SQL + """,
+bad AS (SELECT conv_id, error, 1 AS units FROM e WHERE error IS NOT NULL
+        UNION ALL
+        SELECT DISTINCT conv_id, 'Malformed TMX content', 0 FROM e WHERE kind >= 2)
+SELECT conv_id, error, CAST(sum(units) AS BIGINT) AS units FROM bad GROUP BY conv_id, error
+""")
+def tmx_file_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file and kind of error, with the number of units concerned."""
+    from tmweave.sources.tmx import file_errors, tmx_units
+
+    pieces = conversation_files(spark, sf_dir)
+    errors = X.tmx_errors(X.pair_segments(tmx_units(pieces)), file_errors(pieces))
+    return errors.select(F.col("file_path").cast("bigint").alias("conv_id"), "error", "units")
+
+
 @register("ingest_tm", "WITH " + _PAIRS_SQL + """,
 tmp AS (SELECT DISTINCT source_lang, target_lang, source_text, target_text AS translation
         FROM pairs),
