@@ -103,6 +103,22 @@ def test_redaction(spark):
     assert got == [(1, "a [SECRET] b", 1), (1, "é [SECRET] [SECRET]", 4), (2, None, 2), (3, "clean", 3)]
 
 
+def test_two_part_credentials_of_an_env_file(spark):
+    env = f"AWS_ACCESS_KEY_ID={KEY}\nAWS_SECRET_ACCESS_KEY={SECRET}"
+    long = "aB3+" * 21 + "xY=="
+    far = f"{KEY}\n\n" + "y " * 300 + f"\n\nkey:{SECRET} at https://h.example/x"
+    texts = [env, f"{KEY} AccountKey={long}", far, f"AWS_SECRET_ACCESS_KEY={SECRET}",
+             f'"accessKeyId": "{KEY}", "SecretAccessKey": "a-b_c.d~e"', f"{KEY} " + "A" * 50 + "_x", f"AKIA{KEY}{KEY} x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for scope, want_far in ((None, [SECRET, "https://h.example/x"]), (secret_scan.SCOPE, [])):
+        got = {r["doc_id"]: [texts[r["doc_id"]][s["start"]:s["stop"]] for s in r["spans"] if s["kind"] > 2]
+               for r in secret_scan.scan(df, scope=scope).collect()}
+        assert got == {0: [f"ACCESS_KEY_ID={KEY}", f"SECRET_ACCESS_KEY={SECRET}"], 1: [long], 2: want_far, 3: [],
+                       4: [f'accessKeyId": "{KEY}', 'SecretAccessKey": "a-b_c.d~e'], 5: [], 6: []}
+    out = {r["doc_id"]: r["text"] for r in secret_scan.redact(df, scope=None).collect()}
+    assert out[0] == "AWS_[SECRET]\nAWS_[SECRET]" and SECRET not in out[2] and KEY not in out[2]
+
+
 # -- mixtures ---------------------------------------------------------------------
 def brute_targets(sizes, weights=(1, 2, 3)):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
