@@ -200,6 +200,24 @@ def test_render(html, text):
     assert page_text.render(html) == text
 
 
+@pytest.mark.parametrize("css, text", [
+    ("@media print{.noprint,body{display:none}}", "tab on"),
+    ("@media print{.a{color:red}.tab{display:none}} .on{display:none}", "tab"),
+    ("@media screen{.tab{display:none}}", "on"), ("@media (max-width: 600px){.tab{display:none}}", "tab on"),
+    (".tab{display:none} @media screen and (min-width:600px){.tab{display:block}}", "tab\non"),
+    ("@media not print{.tab{display:none}}", "on"), ("@import 'x.css'; @font-face{src:url(a)} .tab{display:none}", "on"),
+    (".tab{display:none} .tab{display:inline}", "tab on"), (".tab{display:inline} .tab{display:none}", "on"),
+    (".tab{display:none!important} .tab{display:inline}", "on"), ("span{display:none} .on{display:inline}", "on"),
+    (".tab.x{display:inline} .tab{display:none}", "tab on"), ("#t{visibility:hidden} .tab{visibility:visible}", "on"),
+    (".tab{content:'}';display:none} /* .on{display:none} */", "on"), (".tab:hover{display:none}", "tab on"),
+    ("@layer a{.tab{display:none}} @supports (display:grid){.on{display:none}}", ""), ("@media print{.tab{display:none}", "tab on")])
+def test_style_sheets_as_on_a_screen(css, text):
+    page = f"<html><head><style>{css}</style></head><body><span class='tab x' id=t>tab</span> <span class=on>on</span>"
+    got = page_text.render(page)
+    assert " ".join(got.split()) == " ".join(text.split())
+    assert page_text.render(page.replace("<style>", "<style media=print>")) == "tab on"
+
+
 def test_pages_keep_their_rows(spark):
     df = spark.createDataFrame([(1, "<p>a"), (1, "<p>a"), (None, None), (2, "<div>" * 20_000 + "x")],
                                "page_id long, html string").withColumn("text", F.lit("clash"))

@@ -38,13 +38,89 @@ MARKUP = re.compile(
     r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*"[^"]*(?:"|\Z)|=\s*'[^']*(?:'|\Z)|=)*+)(>|\Z)""", re.S)
 ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 SPACE = re.compile(r"[ \t\n\r\f]{2,}|[\t\n\r\f]")   # what collapsing changes
-NONE = re.compile(r"display\s*:\s*none", re.I)
-UNSEEN = re.compile(r"visibility\s*:\s*(?:hidden|collapse)", re.I)
-SEEN = re.compile(r"visibility\s*:\s*visible", re.I)
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+CSS_NOISE = re.compile(r"""/\*.*?(?:\*/|\Z)|<!--|-->|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'""", re.S)
+BRACE = re.compile(r"[{}]")
+DECLARED = re.compile(r"(?:\A|;)\s*(display|visibility)\s*:\s*([a-z-]+)[^;!]*(!\s*important)?", re.I)
+COMPOUND = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)")
+FEATURE = re.compile(r"(min-|max-)?(width|height)\s*(:|>=|<=|>|<|=)\s*([\d.]+)(px|em|rem)")
+VIEW = {"width": 1280.0, "height": 800.0}    # the screen that media queries are asked about
+HOLDS = frozenset("orientation:landscape prefers-color-scheme:light hover:hover pointer:fine color".split())
 WIDE = 60                    # cells longer than this do not widen their column
 
 
+def _feature(asked: str) -> bool:
+    """Whether a media feature holds on the screen ``VIEW``; unknown ones do not."""
+    asked = asked.strip()
+    if asked.replace(" ", "") in HOLDS:
+        return True
+    m = FEATURE.fullmatch(asked)
+    if m is None:
+        turned = re.fullmatch(r"([\d.]+(?:px|em|rem))\s*(<=|<|>=|>)\s*(width|height)(.*)", asked)
+        if turned is None:
+            return False
+        first = turned[3] + turned[2].translate(str.maketrans("<>", "><")) + turned[1]
+        return _feature(first) and (not turned[4].strip() or _feature(turned[3] + turned[4]))
+    try:
+        have, want = VIEW[m[2]], float(m[4]) * (1 if m[5] == "px" else 16)
+    except ValueError:
+        return False
+    how = {"min-": ">=", "max-": "<="}.get(m[1], m[3])
+    return {">=": have >= want, "<=": have <= want, ">": have > want, "<": have < want}.get(how, have == want)
+
+
+def on_screen(query: str) -> bool:
+    """Whether a media query list holds on a screen of the size ``VIEW``."""
+    if not query.strip():
+        return True
+    for one in " ".join(query.lower().split()).split(","):
+        m = re.fullmatch(r"\s*(not\s+|only\s+)?([a-z-]+)?((?:\s*(?:\band\b)?\s*\([^()]*\))*)\s*", one)
+        if m is None or not (m[2] or m[3]):
+            continue
+        holds = (m[2] or "all") in ("all", "screen") and all(map(_feature, re.findall(r"\(([^()]*)\)", m[3])))
+        if holds != ((m[1] or "").strip() == "not"):
+            return True
+    return False
+
+
+def css_rules(css: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of the rules that hold on a screen, in order: blocks of @media
+    that hold, of @supports without "not" and of @layer are entered, other at-rules skipped."""
+    todo = [(css, 0)]
+    while todo:
+        css, at = todo.pop()
+        m = re.compile(r"[{};]").search(css, at)
+        if m is None:
+            continue
+        head, at = css[at:m.start()].strip(), m.end()
+        if m[0] != "{":
+            todo.append((css, at))
+            continue
+        depth = 1
+        for b in BRACE.finditer(css, at):
+            depth += 1 if b[0] == "{" else -1
+            if not depth:
+                break
+        inner, at = (css[at:b.start()], b.end()) if not depth else (css[at:], len(css))
+        todo.append((css, at))
+        if not head.startswith("@"):
+            flat, depth, last = [], 0, 0                 # without nested rules
+            for b in BRACE.finditer(inner):
+                if b[0] == "{":
+                    if not depth:
+                        flat.append(inner[last:b.start()])
+                    depth += 1
+                elif depth:
+                    depth -= 1
+                    last = b.end()
+            yield head, ";".join(flat if depth else [*flat, inner[last:]])
+            continue
+        name, _, query = re.sub(r"^@([\w-]+)", r"\1 ", head).partition(" ")
+        name = name.lower()
+        if (name == "media" and on_screen(query) or name == "layer"
+                or name == "supports" and not re.search(r"\bnot\b", query)):
+            todo.append((inner, 0))
+
+
 class _Flow:
     """Lines of one block flow: inline text, margins between blocks, indents, list marks."""
 
@@ -163,32 +239,63 @@ class _Builder:
         self.open: dict[str, int] = {}
         self.flows = [_Flow()]
         self.tables: list[_Table] = []
-        self.hide: dict[str, str] = {}       # selector -> declaration of display or visibility
+        # One name of a selector -> all its names -> property -> (weight, value).
+        self.rules: dict[str, dict[frozenset, dict[str, tuple]]] = {}
+        self.order = 0
 
     # -- visibility -------------------------------------------------------------
     def styles(self, css: str) -> None:
-        css = re.sub(r"/\*.*?\*/", "", css, flags=re.S)
-        for names, body in RULE.findall(css):
-            if NONE.search(body) or UNSEEN.search(body):
-                for s in names.split(","):
-                    if re.fullmatch(r"[.#]?[\w-]+", s.strip()):
-                        self.hide[s.strip()] = body
+        """Store the last and weightiest display and visibility of every compound selector."""
+        for names, body in css_rules(CSS_NOISE.sub(lambda m: "''" if m[0][0] in "\"'" else " ", css)):
+            found = DECLARED.findall(body.replace(";", ";;"))
+            if not found:
+                continue
+            self.order += 1
+            for s in names.split(","):
+                m = COMPOUND.fullmatch(s.strip())
+                if m is None or not m[0]:
+                    continue
+                rest = re.findall(r"[.#][\w-]+", m[2])
+                all_names = frozenset(rest + ([m[1].lower()] if m[1] and (m[1] != "*" or not rest) else []))
+                ids = sum(x[0] == "#" for x in rest)
+                weight = (ids, len(rest) - ids, int(bool(m[1]) and m[1] != "*"))
+                key = rest[-1] if rest else m[1].lower()
+                own = self.rules.setdefault(key, {}).setdefault(all_names, {})
+                for name, value, important in found:
+                    new = ((bool(important), 0, weight, self.order), value.lower())
+                    own[name.lower()] = max(own.get(name.lower(), new), new, key=lambda x: x[0])
+
+    def style(self, tag: str, attrs: dict) -> dict[str, str]:
+        """Display and visibility that style sheets and the style attribute declare."""
+        best: dict[str, tuple] = {}
+        for name, value, important in DECLARED.findall(attrs.get("style", "").replace(";", ";;")):
+            new = ((bool(important), 1, (), 0), value.lower())
+            best[name.lower()] = max(new, best.get(name.lower(), new), key=lambda x: x[0])
+        if self.rules:
+            names = {"*", tag, "#" + attrs.get("id", "")} | {"." + c for c in attrs.get("class", "").split()}
+            for n in names:
+                for needed, own in self.rules.get(n, {}).items():
+                    if needed <= names:
+                        for name, new in own.items():
+                            best[name] = max(best.get(name, new), new, key=lambda x: x[0])
+        return {name: value for name, (_, value) in best.items()}
 
     def seen(self, tag: str, attrs: dict, top: dict | None) -> tuple[bool, bool]:
         """(rendered, visible) of a new element."""
         shown = top is None or top["shown"]
         visible = top is None or top["visible"]
-        style = attrs.get("style", "")
-        if self.hide:
-            names = [tag, "#" + attrs.get("id", "")] + ["." + c for c in attrs.get("class", "").split()]
-            style = ";".join([self.hide[n] for n in names if n in self.hide] + [style])
-        if tag in HIDDEN or "hidden" in attrs or tag == "dialog" and "open" not in attrs:
+        style = self.style(tag, attrs) if self.rules or "style" in attrs else {}
+        display, visibility = style.get("display"), style.get("visibility")
+        if tag in HIDDEN or display == "none":
+            shown = False
+        elif display is None and ("hidden" in attrs or tag == "dialog" and "open" not in attrs):
             shown = False
         if top is not None and top["tag"] == "details" and not top["open"] and tag != "summary":
             shown = False
-        if style:
-            shown = shown and not NONE.search(style)
-            visible = bool(SEEN.search(style)) or visible and not UNSEEN.search(style)
+        if visibility in ("visible", "initial"):
+            visible = True
+        elif visibility in ("hidden", "collapse"):
+            visible = False
         return shown, visible
 
     # -- tree -------------------------------------------------------------------
@@ -400,7 +507,8 @@ def render(html: str | None) -> str:
             stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at)
             inner = html[at:stop.start()] if stop else html[at:]
             if tag == "style":
-                b.styles(inner)
+                if on_screen(attrs.get("media", "")):
+                    b.styles(inner)
             elif tag not in ("script",):
                 b.text(unescape(inner) if tag in ESCAPABLE else inner)
             at = stop.end() if stop else end
@@ -416,8 +524,9 @@ def extract_text(pages: DataFrame, html: str = "html", keep=("page_id",)) -> Dat
     Blocks stand on lines of their own, paragraphs, headings, lists and tables after a blank
     line; list items are marked and indented; cells of a column start at the same place.
     Elements that a browser does not show (head, scripts, hidden attribute, display none,
-    invisible, closed details and dialogs, simple class, id and tag rules of style sheets)
-    give no text.  Null and empty pages give the empty string; repeated rows keep their rows;
+    invisible, closed details and dialogs, rules of style sheets in the page) give no text.
+    Of style sheets, selectors of one tag, its classes and ids count, by weight and order, as
+    on a screen of the size ``VIEW``; those with combinators, attributes or pseudo-classes do not. Null and empty pages give the empty string; repeated rows keep their rows;
     an empty table gives an empty result; other columns are ignored.  Work is row-local,
     without a shuffle; depth and length of a page are bounded by its memory alone.
     """
