@@ -200,6 +200,19 @@ def test_render(html, text):
     assert page_text.render(html) == text
 
 
+@pytest.mark.parametrize("html, text", [
+    ("a <math><mi>x</mi><mo>+</mo><mn>1</mn><annotation>TeX</annotation></math> b", "a x+1 b"),
+    ("<svg><title>t</title><defs/><rect/><text x=1>Jan</text><text>F<tspan>eb</tspan></text>no<desc>d</desc></svg>after", "Jan\nFeb\nafter"),
+    ("<svg><foreignObject><p>in</p></foreignObject><defs><text>no</text></defs></svg>z", "in\n\nz"),
+    ("<svg><path d=x><p>out", "out"), ("<svg/>x", "x"), ("<svg><title/><text>a</text></svg>", "a"),
+    ("Size<select>no<option>S<option selected>M<optgroup label=g><option>L</select>now", "Size M now"),
+    ("<select><option disabled>pick<option>one</option><option>two</select>", "one"),
+    ("<select multiple><option>a<option label=bee>b</select>c", "a\nbee\nc"), ("<select hidden><option>a</select>c", "c"),
+    ("<select><option>a<select><p>b", "a\n\nb"), ("<table><tr><td><select><option>q</table>r", "q\n\nr")])
+def test_formulas_drawings_and_selects(html, text):
+    assert page_text.render(html) == text
+
+
 @pytest.mark.parametrize("css, text", [
     ("@media print{.noprint,body{display:none}}", "tab on"),
     ("@media print{.a{color:red}.tab{display:none}} .on{display:none}", "tab"),

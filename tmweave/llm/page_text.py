@@ -24,7 +24,15 @@ CLOSES_P = (BLOCK | {"table"}) - frozenset("body html option optgroup legend".sp
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 HIDDEN = frozenset("head script style template noscript title datalist audio video canvas iframe "
-                   "object svg math rp noembed noframes select".split())
+                   "object rp noembed noframes annotation annotation-xml mphantom".split())
+# Parts of a drawing that are not drawn themselves; elements that leave a drawing or formula;
+# those of them that hold HTML; those whose own text is not shown, and those that show it again.
+UNDRAWN = frozenset("defs desc metadata symbol clippath mask marker pattern lineargradient radialgradient filter".split())
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li "
+                     "listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+HOLDS_HTML = frozenset("foreignobject mi mo mn ms mtext".split())
+MUTE = frozenset("svg select".split())
+SPEAKS = frozenset("text foreignobject option".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 ESCAPABLE = frozenset("textarea title".split())
 PRE = frozenset("pre textarea listing xmp plaintext".split())
@@ -231,6 +239,17 @@ class _Table:
         return out
 
 
+def inside(el: dict | None) -> bool:
+    """Whether children of ``el`` belong to a drawing or formula."""
+    return bool(el and el["space"]) and el["tag"] not in HOLDS_HTML
+
+
+def listbox(el: dict) -> bool:
+    """Whether a select shows all its options."""
+    size = el["attrs"].get("size", "")
+    return "multiple" in el["attrs"] or size.isascii() and size.isdigit() and int(size[:9]) > 1
+
+
 class _Builder:
     """Open elements of the tree; every start and end drives the layout."""
 
@@ -302,8 +321,12 @@ class _Builder:
     def push(self, tag: str, attrs: dict) -> None:
         top = self.stack[-1] if self.stack else None
         shown, visible = self.seen(tag, attrs, top)
+        space = tag if tag in ("svg", "math") else top["space"] if inside(top) else ""
+        if space == "svg" and tag in UNDRAWN:
+            shown = False
         el = {"tag": tag, "shown": shown, "visible": visible, "open": "open" in attrs,
-              "pre": tag in PRE or bool(top and top["pre"]), "attrs": attrs}
+              "pre": tag in PRE or bool(top and top["pre"]), "attrs": attrs, "space": space,
+              "mute": tag in MUTE or bool(top and top["mute"]) and tag not in SPEAKS}
         if shown:
             self.enter(el)
         if tag not in VOID:
@@ -331,6 +354,13 @@ class _Builder:
     def start(self, tag: str, attrs: dict) -> None:
         if tag in ("html", "body") and self.open.get(tag):
             return
+        if tag in BREAKOUT:
+            while self.stack and inside(self.stack[-1]):
+                self.pop()
+        if tag in ("select", "input", "textarea") and self.open.get("select"):
+            self.close(("select",), SCOPE)
+            if tag == "select":                  # a start tag in a select only ends it
+                return
         if tag not in IN_HEAD and tag != "html":
             if self.open.get("head") and tag != "head" and not self.open.get("template"):
                 self.close(("head",), ())
@@ -387,6 +417,8 @@ class _Builder:
             self.close((tag,), ())
         elif tag in TABLE_PARTS:
             self.close((tag,), ("table",))
+        elif tag == "select":
+            self.close((tag,), SCOPE)
         elif tag in BLOCK:
             self.close((tag,), SCOPE - {tag})
         else:
@@ -430,6 +462,20 @@ class _Builder:
         elif tag in ("td", "th"):
             self.flows.append(_Flow())
             el["cell"] = self.flow
+        elif tag == "select":
+            el["options"] = []
+            if listbox(el):
+                flow.space(0)
+        elif tag == "option" and self.open.get("select"):
+            el["select"] = next(x for x in reversed(self.stack) if x["tag"] == "select")
+            self.flows.append(_Flow())
+            el["option"] = self.flow
+        elif tag == "optgroup" and self.open.get("select"):
+            owner = next(x for x in reversed(self.stack) if x["tag"] == "select")
+            if listbox(owner) and el["attrs"].get("label"):
+                owner["options"].append((el["attrs"]["label"], {}))
+        elif tag == "text" and el["space"] == "svg":
+            flow.space(0)
         elif tag in BLOCK:
             flow.space(1 if tag in SPACED else 0)
 
@@ -442,6 +488,26 @@ class _Builder:
                     v = el["attrs"].get(name, "1")
                     return max(1, min(most, int(v))) if re.fullmatch(r"\d{1,9}", v) else 1
                 self.tables[-1].cell(lines, number("colspan", 1000), number("rowspan", 65534))
+        elif "option" in el:
+            line = " ".join(self.flows.pop().done())
+            line = el["attrs"].get("label") or line
+            if el["visible"]:
+                el["select"]["options"].append((line, el["attrs"]))
+        elif tag == "select":
+            shown = el["options"]
+            if not listbox(el):                # the last one selected, else the first that can be
+                shown = ([x for x in shown if "selected" in x[1]][-1:]
+                         or [x for x in shown if "disabled" not in x[1]][:1])
+            for line, _ in shown:
+                if listbox(el):
+                    self.flow.space(0)
+                self.flow.text(f" {line} ", False)
+            if listbox(el):
+                self.flow.space(0)
+        elif tag == "optgroup" and self.open.get("select"):
+            pass
+        elif tag == "text" and el["space"] == "svg":
+            self.flow.space(0)
         elif "table" in el:
             self.flow.end()
             while self.tables and self.tables.pop() is not el["table"]:
@@ -467,7 +533,7 @@ class _Builder:
     def text(self, s: str) -> None:
         top = self.stack[-1] if self.stack else None
         if top is None or top["shown"] and top["visible"]:
-            if top is not None and top["tag"] == "details" and not top["open"]:
+            if top is not None and (top["mute"] or top["tag"] == "details" and not top["open"]):
                 return
             self.flow.text(s, bool(top and top["pre"]))
         elif top["tag"] == "head" and s.strip():       # text ends the head
@@ -498,6 +564,9 @@ def render(html: str | None) -> str:
         for name, x, y, z in ATTR.findall(m[3]):
             attrs.setdefault(name.lower(), unescape(x or y or z))
         b.start(tag, attrs)
+        if m[3].endswith("/") and b.stack and b.stack[-1]["space"] and b.stack[-1]["tag"] == tag:
+            b.pop()                              # closes itself only in drawings and formulas
+            continue
         if tag in PRE and html.startswith("\n", at):
             at += 1
         if tag == "plaintext":
