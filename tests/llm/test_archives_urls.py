@@ -59,6 +59,37 @@ def test_frames_read_the_dictionary_and_report_damage():
     assert list(warc.frames(bytes(broken)))[-1][1].startswith("damaged frame")
 
 
+def test_reading_goes_on_after_damage():
+    records = [warc.record_bytes(f"u{i}", "response", b"some words of a dictionary %d" % i, "0" * 64, None, 28)
+               for i in range(4)]
+    parts = [archive([r]) for r in records]
+    head = parts[0][:8 + int.from_bytes(parts[0][4:8], "little")]
+    parts = [p[len(head):] for p in parts]
+    broken = bytearray(parts[1])
+    broken[-6] ^= 255
+    data = head + parts[0] + bytes(broken) + parts[2] + b"junk" + warc.ZSTD_MAGIC + parts[3]
+    got = list(warc.frames(data))
+    assert [raw for raw, _ in got] == [records[0], None, records[2], None, records[3]]
+    assert got[1][1].startswith("damaged frame") and got[3][1] == "not a Zstandard frame"
+    cut = head + parts[0] + parts[1][:9] + parts[2]
+    assert [raw for raw, _ in warc.frames(cut)] == [records[0], None, records[2]]
+    bad = bytearray(head)
+    bad[12:] = bytes(len(head) - 12)
+    assert list(warc.frames(bytes(bad) + parts[0]))[0][1].startswith("damaged dictionary")
+
+
+def test_archives_of_any_name(spark, tmpdir_path):
+    import os
+    one = warc.record_bytes("u", "response", b"abc", hashlib.sha256(b"abc").hexdigest(), None, 3)
+    os.mkdir(f"{tmpdir_path}/segment")
+    for name in ("CC-MAIN-1.warc.zst", "segment/CC-MAIN-2.warc.zst", "_SUCCESS", ".hidden"):
+        with open(f"{tmpdir_path}/{name}", "wb") as f:
+            f.write(archive([one]))
+    got = warc.read_warc(spark, tmpdir_path).collect()
+    assert sorted(r["archive"].split("/")[-1] for r in got) == ["CC-MAIN-1.warc.zst", "CC-MAIN-2.warc.zst"]
+    assert all(r["uri"] == "u" and r["error"] is None for r in got)
+
+
 @pytest.mark.parametrize("raw, error", [
     (b"HTTP/1.1 200 OK\r\n\r\n", "not a WARC record"),
     (b"WARC/1.1\r\nWARC-Type: response\r\n\r\n\r\n\r\n", "missing header"),

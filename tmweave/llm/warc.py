@@ -108,41 +108,65 @@ def write_warc(pages: DataFrame, path: str, uri: str, payload: str,
      .write.option("lineSep", SEPARATOR).text(path))
 
 
+def _frame(data: bytes, at: int, zd) -> tuple[bytes | None, int, str | None]:
+    """Content, end and error of the Zstandard frame at ``at``."""
+    import zstandard
+    out, one, pos = [], zstandard.ZstdDecompressor(dict_data=zd).decompressobj(), at
+    try:
+        while not one.eof and pos < len(data):
+            out.append(one.decompress(data[pos:pos + 16384]))
+            pos += 16384
+    except zstandard.ZstdError as e:
+        return None, at, f"damaged frame: {e}"
+    if not one.eof:
+        return None, at, "truncated frame"
+    return b"".join(out), min(pos, len(data)) - len(one.unused_data), None
+
+
+def _next_record(data: bytes, at: int, zd) -> int:
+    """Start of the first frame from ``at`` on that holds a WARC record, or the end."""
+    at = data.find(ZSTD_MAGIC, at)
+    while at >= 0:
+        raw, _, error = _frame(data, at, zd)
+        if error is None and parse_record(raw)["error"] != "not a WARC record":
+            return at
+        at = data.find(ZSTD_MAGIC, at + 1)
+    return len(data)
+
+
 def frames(data: bytes) -> Iterator[tuple[bytes | None, str | None]]:
     """Content of every Zstandard frame of an archive (the dictionary is loaded from the
-    leading skippable frame, other skippable frames are passed over), or an error and the end."""
+    leading skippable frame, other skippable frames are passed over).  Damage gives one error,
+    then reading goes on at the next frame that holds a record."""
     import zstandard
     at, zd = 0, None
     while at < len(data):
-        magic = data[at:at + 4]
+        magic, error = data[at:at + 4], None
         if magic in SKIPPABLE:
             size = int.from_bytes(data[at + 4:at + 8], "little")
             if at + 8 + size > len(data):
-                yield None, "truncated skippable frame"
-                return
-            if at == 0 and magic == DICT_MAGIC and size:
-                stored = data[8:8 + size]
-                if stored[:4] == ZSTD_MAGIC:
-                    stored = zstandard.ZstdDecompressor().decompressobj().decompress(stored)
-                zd = zstandard.ZstdCompressionDict(stored)
-            at += 8 + size
+                error = "truncated skippable frame"
+            else:
+                if at == 0 and magic == DICT_MAGIC and size:
+                    stored, bad = data[8:8 + size], None
+                    if stored[:4] == ZSTD_MAGIC:
+                        stored, _, bad = _frame(stored, 0, None)
+                    if bad is None:
+                        zd = zstandard.ZstdCompressionDict(stored)
+                    else:
+                        yield None, f"damaged dictionary: {bad}"
+                at += 8 + size
+                continue
+        elif magic != ZSTD_MAGIC:
+            error = "not a Zstandard frame"
+        else:
+            raw, end, error = _frame(data, at, zd)
+        if error is not None:
+            yield None, error
+            at = _next_record(data, at + 1, zd)
             continue
-        if magic != ZSTD_MAGIC:
-            yield None, "not a Zstandard frame"
-            return
-        out, one, pos = [], zstandard.ZstdDecompressor(dict_data=zd).decompressobj(), at
-        try:
-            while not one.eof and pos < len(data):
-                out.append(one.decompress(data[pos:pos + 16384]))
-                pos += 16384
-        except zstandard.ZstdError as e:
-            yield None, f"damaged frame: {e}"
-            return
-        if not one.eof:
-            yield None, "truncated frame"
-            return
-        at = min(pos, len(data)) - len(one.unused_data)
-        yield b"".join(out), None
+        at = end
+        yield raw, None
 
 
 def parse_record(raw: bytes) -> dict:
@@ -188,9 +212,10 @@ def read_warc(spark: SparkSession, path: str, payload: bool = False) -> DataFram
     ``record_id``, ``refers_to_id``, ``payload_bytes``, ``payload_digest``, ``error``, and with
     ``payload`` the block (null for revisits).
 
-    Files are read by Spark (any store) one archive at a time; a record that fails a check
-    keeps its row with ``error`` set, and a damaged frame ends its archive with such a row.
-    An archive must fit a task's memory (the writer makes one per input split); no archives
+    Every file of the path and the folders below it is an archive, whatever its name (names
+    that begin with "_" or "." are skipped).  Files are read by Spark (any store) one archive
+    at a time; a record that fails a check keeps its row with ``error`` set, and a damaged
+    stretch gives one such row before the next record that can be read.  An archive must fit a task's memory (the writer makes one per input split); no archives
     give an empty result.
     """
     schema = RECORD + (", payload binary" if payload else "")
@@ -210,7 +235,7 @@ def read_warc(spark: SparkSession, path: str, payload: bool = False) -> DataFram
                 if rows:
                     yield pd.DataFrame(rows, columns=names).astype({"payload_bytes": "Int64"})
 
-    return (spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
             .select("path", "content").mapInPandas(read, schema))
 
 
