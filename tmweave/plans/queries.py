@@ -6,6 +6,7 @@ statement over the same parquet tables; output column names match.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,10 +20,11 @@ from tmweave.operators.combine import combine_sections
 from tmweave.operators.sections import split_sections
 from tmweave.functions.text import PROMPT_TEMPLATE, model_request
 from tmweave.operators.retrieval import retrieval_context, tm_search_side
-from tmweave.operators.translate import EchoCompleter, with_prompts
+from tmweave.operators.translate import EchoCompleter, RejectingCompleter, with_prompts
 from tmweave.operators.vectors import embed_text, topk_cosine
 from tmweave.plans import composites as P
 from tmweave.plans import tables as T
+from tmweave.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -520,6 +522,36 @@ def translate_documents_q(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "context_lines")
 
 
+@register("translate_with_failures", """
+WITH secs AS (
+  SELECT doc_id, tgt, generate_subscripts(parts, 1) - 1 AS section_id, unnest(parts) AS section
+  FROM (SELECT doc_id, CASE WHEN lang = 'es' THEN 'en' ELSE 'es' END AS tgt,
+               string_split(text, chr(10)) AS parts FROM documents))
+SELECT doc_id AS document_id, CAST(NULL AS INTEGER) AS section_id, CAST(NULL AS VARCHAR) AS error,
+       string_agg('[' || tgt || '] ' || section, chr(10) || chr(10) ORDER BY section_id) AS body
+FROM secs GROUP BY doc_id HAVING NOT bool_or(length(section) % 16 = 5)
+UNION ALL
+SELECT doc_id, CAST(section_id AS INTEGER), 'ValueError: rejected', NULL
+FROM secs WHERE length(section) % 16 = 5
+""")
+def translate_with_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both tables of a run whose model rejects some sections: published documents (no
+    section_id) and failed sections."""
+    path = scratch_path(spark, "failures") + "/translated"
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")              # the rejected sections are meant
+        P.run_translation(T.document_requests(spark, sf_dir), T.tm_from_embeddings(spark, sf_dir),
+                          RejectingCompleter(), load_config(env={}), translated_path=path,
+                          recipient_col="document_id", link_col="original_key", delimiter="\n",
+                          max_attempts=1)
+    none = F.lit(None)
+    published = spark.read.parquet(path).select(
+        "document_id", none.cast("int").alias("section_id"), none.cast("string").alias("error"), "body")
+    failed = spark.read.parquet(P.failed_table(path)).select(
+        "document_id", F.col("section_id").cast("int"), "error", none.cast("string").alias("body"))
+    return published.union(failed)
+
+
 # --------------------------------------------------------------------------- notify
 _SENDER = "test@example.com"
 _NOTE_FIELDS = dict(document_id="conv_id", source_language="'en'", target_language="'es'",
