@@ -102,6 +102,19 @@ def test_records_are_validated(raw, error):
     assert warc.parse_record(raw)["error"].startswith(error)
 
 
+def test_public_suffixes(spark):
+    want = {"a.b.com.sg": "com.sg", "com.sg": "com.sg", "x.github.io": "github.io", "a.co.kr": "co.kr",
+            "a.b.ck": "b.ck", "www.ck": "ck", "a.www.ck": "ck", "ck": "ck", "a.example.com": "com", "": "",
+            "1.2.3.4": "4", "a.unknown": "unknown", "a." * 3000 + "co.uk": "co.uk", "a.": ""}
+    hosts = spark.createDataFrame([(h,) for h in want], "host string")
+    assert {r["host"]: r["suffix"] for r in urls.with_suffix(hosts).collect()} == want
+    assert {r["suffix"] for r in urls.with_suffix(hosts.where("host = 'a.co.kr'"), ()).collect()} == {"kr"}
+    counts = spark.createDataFrame([("a.com.sg", 50, 50), ("b.com.sg", 50, 0), ("www.b.com.sg", 0, 0)],
+                                   "host string, n long, k long")
+    rate = {r["host"]: r["rate"] for r in urls.reputations(counts).collect()}
+    assert rate["www.b.com.sg"] < 0.2 < 0.8 < rate["a.com.sg"]
+
+
 def judged(spark, rows, outcomes=(), **options):
     p = spark.createDataFrame(rows, "page_id long, url string, host string, verdict int")
     o = spark.createDataFrame(list(outcomes), "url string, bad int")

@@ -6,13 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tmweave.llm.common import saved, table
+from tmweave.llm.suffixes import RULES as SUFFIXES
 
 # The rules of the query, as host/path prefix and verdict.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"),
          ("net/es/", "block"), ("net/fr/", "block"))
-# Public suffixes of two labels; every other suffix is the last label.
-SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp",
-            "com.br", "com.mx", "co.in", "com.cn", "co.za")
 BLOCK_RATE = 0.25            # a host is blocked if its rate of bad pages is above this
 Z = 1.2816                   # with a posterior probability of at least 0.9
 PRIOR_RANGE = (2.0, 1000.0)  # pseudo-counts of a fitted prior
@@ -26,9 +24,26 @@ def host_path(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(u, r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def _suffix(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+def with_suffix(hosts: DataFrame, suffixes=SUFFIXES) -> DataFrame:
+    """``hosts`` (distinct ``host``) with ``suffix``: of the rules that fit an end of the host an
+    exception, else the longest; the last label without one.  The rules are a table joined to
+    the ends of the hosts, as many labels of them as the longest rule has."""
+    given = []
+    for r in suffixes:
+        end = r.lstrip("!").removeprefix("*.")
+        size = end.count(".") + 1
+        given.append((end, size - 1 if r[0] == "!" else size + 1 if r[0] == "*" else size, int(r[0] == "!")))
+    most = max((end.count(".") + 1 for end, _, _ in given), default=1)
+    rules = hosts.sparkSession.createDataFrame(given, "end string, labels int, over int")
+    parts = F.split(F.col("host"), r"\.")
+    n = F.size(parts)
+    ends = F.transform(F.sequence(F.greatest(F.lit(1), n - most + 1), n), lambda i: F.array_join(
+        F.slice(parts, i, n), "."))
+    found = (hosts.select("host", n.alias("n"), F.explode(ends).alias("end")).join(rules, "end")
+             .where("labels <= n").groupBy("host").agg(F.max(F.struct("over", "labels")).alias("best")))
+    labels = F.coalesce(F.col("best.labels"), F.lit(1))
+    return (hosts.join(found, "host", "left")
+            .withColumn("suffix", F.array_join(F.slice(parts, n - labels + 1, labels), ".")).drop("best"))
 
 
 def _domain(host: Column, suffix: Column) -> Column:
@@ -53,7 +68,7 @@ def _strength(rows: DataFrame, mean: str) -> DataFrame:
                     .otherwise(F.lit(hi)).alias("s"))
 
 
-def reputations(hosts: DataFrame) -> DataFrame:
+def reputations(hosts: DataFrame, suffixes=SUFFIXES) -> DataFrame:
     """Posterior of every host's rate of bad pages.
 
     ``hosts``: ``host``, ``n`` (labelled pages), ``k`` (bad ones), one row per host.  Level by
@@ -63,7 +78,7 @@ def reputations(hosts: DataFrame) -> DataFrame:
     deviations below).  Hosts without outcomes keep their parent's mean.
     """
     # A host of the form of a suffix is its own domain; numbers and names alike.
-    hosts = hosts.withColumn("suffix", _suffix(F.col("host")))
+    hosts = with_suffix(saved(hosts, "rep-counts"), suffixes)
     hosts = saved(hosts.withColumn("domain", _domain(F.col("host"), F.col("suffix"))), "rep-hosts")
     top = hosts.agg(((F.sum("k") + 1) / (F.sum("n") + 2)).alias("m"))
     levels = [("suffix", hosts.groupBy("suffix")), ("domain", hosts.groupBy("domain", "suffix")),
@@ -89,12 +104,12 @@ def reputations(hosts: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, block_rate: float = BLOCK_RATE,
-          keep=("page_id",)) -> DataFrame:
+          keep=("page_id",), suffixes=SUFFIXES) -> DataFrame:
     """Verdict on every url: ``keep`` columns, ``host``, ``path``, ``rule``, ``verdict``,
     ``rate``, ``low``.
 
     ``pages``: ``url`` and the ``keep`` columns.  ``outcomes``: ``url`` and ``bad`` (0 or 1;
-    null rows do not count).  ``rules``: pairs of host/path prefix and allow or block; a rule
+    null rows do not count).  ``suffixes``: rules in the form of the Public Suffix List.  ``rules``: pairs of host/path prefix and allow or block; a rule
     fits its host and all subdomains if the path starts with its path; the longest wins.
     Without a rule, a host is blocked if the lower posterior bound of its rate of bad pages
     is above ``block_rate``.  Urls that are null or have no ``://`` have an empty host and
@@ -115,7 +130,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, block_rate: float
     counts = (rows.select("host", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("k"))
               .union(seen.select("host", F.lit(1).cast("long"), F.col("bad")))
               .groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k")))
-    post = reputations(counts)
+    post = reputations(counts, suffixes)
     given = spark.createDataFrame(
         [(r.partition("/")[0], r[r.index("/"):], r, v) for r, v in rules],
         "r_host string, path string, rule string, verdict string")
