@@ -318,9 +318,9 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longes
     return (scored.join(parts, ["lang", "phrase"], "left")
             .where(f"coalesce(100 * longer < {int(covered_percent)} * a, true)")
             .select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
-            .withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= top)
+            .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
             .join(sizes, "lang")
-            .select("lang", "rank", "phrase", "a", "l", "r", "n", "score"))
+            .select("lang", F.col("rank").cast("long"), "phrase", "a", "l", "r", "n", "score"))
 
 
 def op11_phrase_collocations(spark, sf_dir):
