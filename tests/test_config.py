@@ -49,6 +49,12 @@ def test_shallow_merge_replaces_whole_group():
     assert c2.notifications_enabled
 
 
+def test_partial_group_drops_the_environments_values():
+    env = {"BEDROCK_TRANSLATION_MODEL": "from-env", "BEDROCK_EMBEDDING_MODEL": "from-env"}
+    c = load_config({"models": {"embedding_model": "e"}}, env=env)
+    assert c.models == ModelConfig("e", "anthropic.claude-v2")
+
+
 def test_ship_package_adds_an_importable_archive(spark):
     import zipfile
 

@@ -4,7 +4,7 @@ import os
 
 from tmweave.operators.tmx import pair_segments, tm_records
 from tmweave.plans.composites import admit_documents, combine_documents
-from tmweave.sinks.tables import write_tm
+from tmweave.sinks.tables import read_runs, write_run, write_tm
 from tmweave.sources.tables import read_documents, read_tm
 from tmweave.sources.tmx import read_tmx
 
@@ -38,11 +38,23 @@ def test_admit_and_combine_write_their_sinks(spark, tmpdir_path):
                               "bucket string, key string, content_type string")
     admit_documents(up, m, requests_path=f"{tmpdir_path}/req", rejected_path=f"{tmpdir_path}/rej",
                     timestamp="t")
-    assert [r["document_id"] for r in spark.read.parquet(f"{tmpdir_path}/req").collect()] == ["a"]
-    assert spark.read.parquet(f"{tmpdir_path}/rej").first()["reason"] == "Unsupported file type: image/png"
+    assert [r["document_id"] for r in read_runs(spark, f"{tmpdir_path}/req").collect()] == ["a"]
+    assert read_runs(spark, f"{tmpdir_path}/rej").first()["reason"] == "Unsupported file type: image/png"
     secs = spark.createDataFrame([("a", 0, "Hola", 0.9)],
                                  "document_id string, section_id int, translated_text string, confidence double")
     docs = spark.createDataFrame([("a", "es")], "document_id string, target_language string")
     combine_documents(secs, docs, out_path=f"{tmpdir_path}/out")
     r = spark.read.parquet(f"{tmpdir_path}/out").first()
     assert (r["body"], r["output_key"], r["target_language"]) == ("Hola", "translated/a_es.txt", "es")
+
+
+def test_runs_replace_themselves_and_show_when_committed(spark, tmpdir_path):
+    path = f"{tmpdir_path}/runs"
+    one, two = (spark.createDataFrame([(i,)], "n int") for i in (1, 2))
+    write_run(one, path, "007")
+    write_run(two, path, "007")
+    write_run(one, path, "8")
+    # An attempt that was never committed.
+    one.selectExpr("n + 9 as n", "'8' as run", "'x' as attempt").write.mode("append") \
+        .partitionBy("attempt").parquet(f"{path}/rows")
+    assert sorted(tuple(r) for r in read_runs(spark, path).select("run", "n").collect()) == [("007", 2), ("8", 1)]

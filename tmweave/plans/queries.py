@@ -16,15 +16,17 @@ from tmweave.operators import admission as A
 from tmweave.config import Features, load_config
 from tmweave.operators import notify as N
 from tmweave.operators import tmx as X
-from tmweave.operators.combine import combine_sections
+from tmweave.operators.combine import collect_results, combine_sections
 from tmweave.operators.sections import split_sections
 from tmweave.functions.text import PROMPT_TEMPLATE, model_request
 from tmweave.operators.retrieval import retrieval_context, tm_search_side
+from tmweave.operators.tm_index import build_index, probes_for, search_index
 from tmweave.operators.translate import EchoCompleter, RejectingCompleter, with_prompts
 from tmweave.operators.vectors import embed_text, topk_cosine
 from tmweave.plans import composites as P
 from tmweave.plans import tables as T
 from tmweave.session import scratch_path
+from tmweave.sinks.tables import read_runs, start_executions, write_outbox
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -423,6 +425,26 @@ def topk_similar_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _topk_query(spark, sf_dir, query_blocks=4, tm_blocks=4)
 
 
+@register("topk_approx", """
+SELECT (SELECT count(*) FROM embeddings) AS queries,
+       (SELECT sum(least(5, (SELECT count(*) FROM embeddings))) FROM embeddings)::BIGINT AS true_hits,
+       true AS recall_reached, true AS fewer_cells
+""")
+def topk_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V4: probed search on the index of the exact one, its recall measured against V2.  The
+    number of probes is estimated for a recall of 0.95; ``recall_reached`` says that 0.9 was."""
+    e = T.table(spark, sf_dir, "embeddings")
+    q = e.select(F.col("vec_id").alias("query_id"), "embedding")
+    index = build_index(e, tm_id="vec_id", blocks=4)
+    probes = probes_for(index, q, 5, 0.95)
+    near = search_index(q, index, 5, probes=probes).select("query_id", "tm_id", F.lit(1).alias("hit"))
+    exact = topk_cosine(q, e, 5, tm_id="vec_id", tm_blocks=1)
+    found = exact.join(near, ["query_id", "tm_id"], "left")
+    return found.agg(F.countDistinct("query_id").alias("queries"), F.count(F.lit(1)).alias("true_hits"),
+                     (F.sum("hit") >= 0.9 * F.count(F.lit(1))).alias("recall_reached")) \
+        .withColumn("fewer_cells", F.lit(probes < len(index.centres)))
+
+
 # --------------------------------------------------------------------------- retrieval
 @register("retrieval_context", "WITH " + _TM_CTE + """,
 qv AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),""" + _SEARCH_CTES + """
@@ -547,7 +569,7 @@ def translate_with_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None)
     published = spark.read.parquet(path).select(
         "document_id", none.cast("int").alias("section_id"), none.cast("string").alias("error"), "body")
-    failed = spark.read.parquet(P.failed_table(path)).select(
+    failed = read_runs(spark, P.failed_table(path)).select(
         "document_id", F.col("section_id").cast("int"), "error", none.cast("string").alias("body"))
     return published.union(failed)
 
@@ -590,6 +612,46 @@ def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.notify(combined, cfg)
 
 
+@register("collected_results", """
+SELECT 's3://' || CAST(conv_id AS VARCHAR) AS execution_id,
+       string_agg(text, '|' ORDER BY turn) AS texts, count(*) AS sections
+FROM conversations GROUP BY conv_id
+""")
+def collected_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5: section results of each execution in item order; all documents share one stem."""
+    sections = (T.conversation_sections(spark, sf_dir)
+                .withColumn("execution_id", F.concat(F.lit("s3://"), F.col("document_id").cast("string")))
+                .withColumn("document_id", F.lit("report")))
+    got = collect_results(sections, value_cols=["translated_text"], key="execution_id")
+    items = F.transform("translated_sections", lambda s: s["translated_text"])
+    return got.select("execution_id", F.array_join(items, "|", "").alias("texts"),
+                      F.size("translated_sections").cast("long").alias("sections"))
+
+
+@register("requests_and_outbox", """
+SELECT conv_id AS document_id, 'user' || CAST(conv_id AS VARCHAR) || '@example.com' AS recipient,
+       2 AS requests, 1 AS mails
+FROM conversations GROUP BY conv_id
+""")
+def requests_and_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3, K4: a run written twice counts once, a second run adds its own requests."""
+    docs = T.conversation_sections(spark, sf_dir).select("document_id").distinct()
+    base = scratch_path(spark, "run-sinks")
+    name = F.col("document_id").cast("string")
+    requests = docs.select(F.lit("b").alias("bucket"), name.alias("key"), "document_id",
+                           F.to_json(F.struct("document_id")).alias("request"))
+    for run in ("monday", "monday", "tuesday"):
+        start_executions(requests, f"{base}/requests", run)
+    notes = docs.select("document_id", F.concat(F.lit("user"), name, F.lit("@example.com")).alias("recipient"))
+    for _ in range(2):
+        write_outbox(notes, f"{base}/outbox", "monday")
+    asked = read_runs(spark, f"{base}/requests").groupBy("document_id").agg(
+        F.count(F.lit(1)).cast("int").alias("requests"))
+    mailed = read_runs(spark, f"{base}/outbox").groupBy("document_id", "recipient").agg(
+        F.count(F.lit(1)).cast("int").alias("mails"))
+    return mailed.join(asked, "document_id").select("document_id", "recipient", "requests", "mails")
+
+
 # --------------------------------------------------------------------------- TMX
 _PAIRS_SQL = """
 pairs AS (SELECT a.conv_id, a.turn, 'en-us' AS source_lang, 'es-es' AS target_lang,
