@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from tmweave.session import materialize
 
@@ -21,6 +22,30 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, f"llm-{name}")
 
 
+def free(name: str, *taken) -> str:
+    """``name``, made longer until no column in ``taken`` has it (in any case)."""
+    names = {c.lower() for columns in taken for c in columns}
+    while name.lower() in names:
+        name += "_"
+    return name
+
+
+def located(docs: DataFrame, name: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with columns that tell its rows apart, the same whenever it is read: file and place in
+    the file.  Where ``docs`` isn't read from files directly, it is written first."""
+    keys = [free("_file", docs.columns), free("_place", docs.columns)]
+
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.select("*", F.col("_metadata.file_path").alias(keys[0]),
+                         F.col("_metadata.row_index").alias(keys[1]))
+    if "_metadata" not in docs.columns:
+        try:
+            return keyed(docs), keys
+        except AnalysisException:
+            pass                                   # not a table of files
+    return keyed(saved(docs, name)), keys
+
+
 def word_hashes(text: Column) -> Column:
     """64-bit hashes of the lower-cased words (runs of letters and digits)."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"),

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tmweave.llm.common import SHINGLE_WORDS, SIMILARITY, saved, shingle_hashes, table
+from tmweave.llm.common import free, SHINGLE_WORDS, SIMILARITY, saved, shingle_hashes, table
 
 BROADCAST_ROWS = 2_000_000   # item shingles that may be sent to every executor (8 bytes each)
 
@@ -77,10 +77,10 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = SIMILARIT
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
     """``docs`` without the documents that hold a test item.  Documents are told apart by the md5
     of their text, so null and repeated doc_ids do no harm."""
-    key = F.md5(F.col(text).cast("binary"))
-    bad = contaminated(docs.select(key.alias("doc_id"), text), items, text=text, **options)
-    bad = saved(bad.select(F.col("doc_id").alias("_bad")).distinct(), "bench-bad")
-    return docs.join(bad, F.md5(docs[text].cast("binary")) == F.col("_bad"), "left_anti")
+    key, name = F.md5(F.col(text).cast("binary")), free("_bad", docs.columns)
+    bad = contaminated(docs.select(key.alias("doc_id"), F.col(text).alias("text")), items, text="text", **options)
+    bad = saved(bad.select(F.col("doc_id").alias(name)).distinct(), "bench-bad")
+    return docs.join(bad, F.md5(docs[text].cast("binary")) == bad[name], "left_anti")
 
 
 def op3_decontamination(spark, sf_dir):

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tmweave.llm.common import saved, table
+from tmweave.llm.common import located, saved, table
 
 WEIGHTS = (1, 2, 3)          # by code point order of the source, repeating, null last
 SHARE = 1.0                  # budget as a part of all words
 MAX_REPEATS = 3
 SLOT_ROWS = 10_000           # rows that one ordered slot of a source holds on average
 SEED = "mix-1"
+RESULT = ("size", "source_size", "target", "taken")
 
 
 def word_count(text: Column) -> Column:
@@ -66,7 +67,7 @@ def mix(docs: DataFrame, size: Column, weights=WEIGHTS, share: float = SHARE,
     exceed the total budget.
 
     Returns the ``keep`` columns, ``size``, ``source_size``, ``target``, ``taken`` (size times
-    the copies taken), one row per input row.  Null sources form one source, the
+    the copies taken), one row per input row; a ``keep`` column of these four names is left out.  Null sources form one source, the
     last.  Documents of size 0 are returned with ``taken`` 0.  Equal doc_ids (or null
     ones) keep their rows; ties order by doc_id, size, then row key.  Empty tables
     give an empty result; other columns are ignored.
@@ -76,9 +77,11 @@ def mix(docs: DataFrame, size: Column, weights=WEIGHTS, share: float = SHARE,
     A source with a third of all rows is thus many slots.  The truncation is split
     the same way, by ranges of finish time.
     """
+    keep = [c for c in keep if c not in RESULT]
     extra = [c for c in keep if c not in ("doc_id", "source")]
-    carried = [F.col(c).alias(f"k_{i}") for i, c in enumerate(extra)]
-    sized = saved(docs.select("doc_id", "source", size.alias("size"), *carried)
+    keyed, at = located(docs, "mix-docs") if extra else (docs, [])
+    sized = saved(keyed.select("doc_id", "source", size.alias("size"),
+                               *[F.col(c).alias(f"at_{i}") for i, c in enumerate(at)])
                   .withColumn("_h", F.md5(F.concat(F.lit(seed + ":"),
                                                    F.coalesce(F.col("doc_id").cast("string"),
                                                               F.lit("")))))
@@ -94,7 +97,7 @@ def mix(docs: DataFrame, size: Column, weights=WEIGHTS, share: float = SHARE,
     # The first 15 hex digits as a number below 2^60, cut into equal ranges.
     slot = F.floor(F.conv(F.substring("_h", 1, 15), 16, 10).cast("decimal(20,0)")
                    * F.col("_slots") / F.lit(1 << 60)).cast("long")
-    rows = saved(sized.drop(*[f"k_{i}" for i in range(len(extra))]).join(t, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    rows = saved(sized.drop(*[f"at_{i}" for i in range(len(at))]).join(t, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
                  .withColumn("_slot", slot).drop("_slots"), "mix-slots")
     # Offsets: words of the slots before, per source (a few rows per 10,000 documents).
     slots = (rows.groupBy("source", "_slot").agg(F.sum("size").alias("_w"))
@@ -143,12 +146,18 @@ def mix(docs: DataFrame, size: Column, weights=WEIGHTS, share: float = SHARE,
     rest = (late.join(bins, F.col("_bin") == F.col("_b"))
             .withColumn("_upto", F.col("_before") + F.sum("size").over(order))
             .where(F.col("_upto") <= left).groupBy("_row").agg(F.sum("size").alias("_more")))
-    out = pos.join(rest, "_row", "left")
-    if extra:
-        out = out.join(sized.select("_row", *[f"k_{i}" for i in range(len(extra))]), "_row")
-    return out.select(*[F.col(f"k_{extra.index(c)}").alias(c) if c in extra else F.col(c) for c in keep],
-                      "size", "source_size", "target",
-                      (F.col("_taken") + F.coalesce("_more", F.lit(0))).cast("long").alias("taken"))
+    out = pos.join(rest, "_row", "left").select(
+        "_row", "doc_id", "source", "size", "source_size", "target",
+        (F.col("_taken") + F.coalesce("_more", F.lit(0))).cast("long").alias("taken"))
+    if not extra:
+        return out.select(*keep, *RESULT)
+    # Each row back to its place; a text moves once, with its row, and is never copied to disk.
+    out = saved(out.join(sized.select("_row", *[f"at_{i}" for i in range(len(at))]), "_row"), "mix-taken")
+    other = keyed.select(*at, *extra).toDF(*[f"at_{i}" for i in range(len(at))],
+                                           *[f"k_{i}" for i in range(len(extra))])
+    back = other.join(out, [f"at_{i}" for i in range(len(at))])
+    return back.select(*[F.col(f"k_{extra.index(c)}").alias(c) if c in extra else F.col(c) for c in keep],
+                       *RESULT)
 
 
 def op9_mix_sources(spark, sf_dir):

@@ -20,6 +20,7 @@ BANDS, ROWS = 24, 5
 BLOCK_NODES = 256            # texts of a bucket that are compared at once, two such blocks at most
 BLOCK_BYTES = 16 << 20       # and their bytes
 BROADCAST_NODES = 500_000    # nodes that are sent to the texts (40 bytes each); else texts are shuffled
+BROADCAST_GONE = 2_000_000   # ids and digests, some 100 bytes each
 CHUNK = 400_000              # shingles that are handled at once
 
 WORD = re.compile(r"[^\W_]+")
@@ -368,7 +369,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each class: that with the least doc_id (null ids last).  Rows are
-    told apart by id and text; of rows equal in both, one stays.  Wordless texts all stay."""
+    told apart by id and text; of rows equal in both, one stays.  Wordless texts all stay.
+
+    The rows that go are known by id and digest; up to ``BROADCAST_GONE`` of them (counted) are sent
+    to the tasks, so no text is moved.  Beyond, texts are shuffled once to meet them."""
     classes = saved(near_duplicates(docs, doc_id, text), "dup-result")
     key = [F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")]
     gone = saved(classes.where(~F.col("kept")).select(*key).distinct(), "dup-gone")
@@ -377,6 +381,8 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
         return (docs[doc_id].eqNullSafe(other["_id"])
                 & F.md5(docs[text].cast("binary")).eqNullSafe(other["_key"]))
 
+    if gone.count() <= BROADCAST_GONE:
+        gone = F.broadcast(gone)
     rest = docs.join(gone, same(gone), "left_anti")
     again = saved(classes.where("kept and class_size > 1").groupBy("doc_id", "text_key").count()
                   .where("count > 1").select(*key), "dup-again")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tmweave.llm.common import saved, table
+from tmweave.llm.common import free, located, saved, table
 
 # The base patterns.  The length rules of access and hex are part of
 # their patterns (a run is taken whole or not at all); that of assign is a filter,
@@ -68,16 +68,22 @@ def _spans(text: Column, pattern: str, kind: int, keep=None, hint: str | None =
     return F.when(some, spans).otherwise(F.array().cast(SPAN))
 
 
+def _base(t: Column) -> Column:
+    return F.concat(
+        _spans(t, ASSIGN, 0, lambda m: F.length(F.regexp_extract(m, ASSIGN, 1)) >= ASSIGN_MIN),
+        _spans(t, ACCESS, 1, hint="AKIA"),
+        _spans(t, HEX, 2))
+
+
+def _weak(t: Column) -> Column:
+    return F.concat(_spans(t, WEAK_ACCESS, 3), _spans(t, WEAK_SECRET, 4),
+                    _spans(t, ENDPOINT, 5, hint="://"))
+
+
 def parts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``_base`` and ``_weak``: spans in the text, by kind."""
     t = F.coalesce(F.col(text), F.lit(""))
-    return (docs
-            .withColumn("_base", F.concat(
-                _spans(t, ASSIGN, 0, lambda m: F.length(F.regexp_extract(m, ASSIGN, 1)) >= ASSIGN_MIN),
-                _spans(t, ACCESS, 1, hint="AKIA"),
-                _spans(t, HEX, 2)))
-            .withColumn("_weak", F.concat(_spans(t, WEAK_ACCESS, 3), _spans(t, WEAK_SECRET, 4),
-                                          _spans(t, ENDPOINT, 5, hint="://"))))
+    return docs.withColumn("_base", _base(t)).withColumn("_weak", _weak(t))
 
 
 def _needs(kind: Column, a: Column, b: Column) -> Column:
@@ -85,6 +91,13 @@ def _needs(kind: Column, a: Column, b: Column) -> Column:
     return ((kind == 3) & b) | ((kind == 4) & a) | ((kind == 5) & a & b)
 
 
+def _whole(base: Column, weak: Column) -> Column:
+    """The weak spans with their complements anywhere in the text."""
+    a, b = (F.exists(base, lambda s: s["kind"].isin(*kinds)) | F.exists(weak, lambda s: s["kind"].isin(*kinds))
+            for kinds in ((1, 3), (0, 2, 4)))
+    return F.filter(weak, lambda s: _needs(s["kind"], a, b))
+
+
 def linked(found: DataFrame, scope: int | None = SCOPE) -> DataFrame:
     """Weak parts with their complements nearby: ``_row``, ``_linked`` spans.
 
@@ -99,12 +112,7 @@ def linked(found: DataFrame, scope: int | None = SCOPE) -> DataFrame:
     """
     weak = found.where(F.size("_weak") > 0)
     if scope is None:
-        every = F.concat("_base", "_weak")
-        weak = weak.select("_row", "_weak",
-                           F.exists(every, lambda s: s["kind"].isin(1, 3)).alias("a"),
-                           F.exists(every, lambda s: s["kind"].isin(0, 2, 4)).alias("b"))
-        return (weak.select("_row", F.array_sort(F.filter(
-                    "_weak", lambda s: _needs(s["kind"], F.col("a"), F.col("b")))).alias("_linked"))
+        return (weak.select("_row", F.array_sort(_whole(F.col("_base"), F.col("_weak"))).alias("_linked"))
                 .where(F.size("_linked") > 0))
     every = (weak.select("_row", F.explode(F.concat("_base", "_weak")).alias("s"))
              .select("_row", F.col("s.start").alias("o_start"), F.col("s.stop").alias("o_stop"),
@@ -162,35 +170,46 @@ def op8_secret_scan(spark, sf_dir):
         _joined(F.col("spans")).alias("spans"))
 
 
+def _cut(spans: Column, t: Column, mask: str) -> Column:
+    """The text with each span, or group of overlapping spans, replaced by ``mask``."""
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+    done = F.aggregate(spans, start, lambda acc, s: F.struct(
+        F.greatest(acc["at"], s["stop"]).alias("at"),
+        F.when(s["stop"] <= acc["at"], acc["out"])
+        .when(s["start"] < acc["at"], acc["out"])
+        .otherwise(F.concat(acc["out"], F.substring(t, (acc["at"] + 1).cast("int"),
+                                                    (s["start"] - acc["at"]).cast("int")),
+                            F.lit(mask))).alias("out")))
+    return F.concat(done["out"], F.substring(t, (done["at"] + 1).cast("int"), F.length(t)))
+
+
 def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]",
            scope: int | None = SCOPE) -> DataFrame:
     """``docs`` with every secret span of the text replaced by ``mask`` (overlapping
-    spans by one).  Rows, order of columns and null texts stay as they are.
+    spans by one).  Rows, repeated ones too, order of columns and null texts stay as they are;
+    an empty table stays empty; columns of any name are kept.
 
-    Spans of one text come from the same patterns; linking is a step of its own,
-    whose result (spans of the few texts with weak parts) is joined back by row key.
+    With ``scope`` None, linking needs a text's own parts alone: one pass over the table, nothing
+    is written or shuffled.  With a scope, links are a step of their own, whose spans are joined
+    back by the place of the row; texts are written only where ``docs`` isn't read from files.
     """
-    keyed = saved(parts(docs, text).withColumn("_row", F.monotonically_increasing_id()),
-                  "secret-docs")
-    more = saved(linked(keyed.select("_row", "_base", "_weak"), scope), "secret-links")
-    none = F.array().cast(SPAN)
-
-    def cut(spans: Column, t: Column) -> Column:
-        start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-        done = F.aggregate(spans, start, lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["stop"]).alias("at"),
-            F.when(s["stop"] <= acc["at"], acc["out"])
-            .when(s["start"] < acc["at"], acc["out"])
-            .otherwise(F.concat(acc["out"], F.substring(t, (acc["at"] + 1).cast("int"),
-                                                        (s["start"] - acc["at"]).cast("int")),
-                                F.lit(mask))).alias("out")))
-        return F.concat(done["out"], F.substring(t, (done["at"] + 1).cast("int"), F.length(t)))
-
-    spans = F.array_sort(F.concat("_base", F.coalesce("_linked", none)))
-    return (keyed.join(more, "_row", "left")
-            .withColumn(text, F.when(F.size(spans) > 0, cut(spans, F.col(text)))
+    if scope is None:
+        t = F.coalesce(F.col(text), F.lit(""))
+        # A one-element array binds the parts to a variable: they are found once.
+        spans = F.transform(F.array(F.struct(_base(t).alias("base"), _weak(t).alias("weak"))),
+                            lambda p: F.array_sort(F.concat(p["base"], _whole(p["base"], p["weak"]))))
+        new = F.transform(spans, lambda s: F.when(F.size(s) > 0, _cut(s, F.col(text), mask))
+                          .otherwise(F.col(text)))[0]
+        return docs.withColumn(text, new)
+    keyed, at = located(docs, "secret-docs")
+    found = parts(keyed.select(F.struct(*at).alias("_row"), F.col(text).alias("_text")), "_text")
+    found = saved(found.drop("_text").where(F.size("_base") + F.size("_weak") > 0), "secret-parts")
+    more = linked(found, scope)
+    name = free("_spans", keyed.columns)
+    spans = saved(found.join(more, "_row", "left").select(
+        *[F.col(f"_row.{c}").alias(c) for c in at],
+        F.array_sort(F.concat("_base", F.coalesce("_linked", F.array().cast(SPAN)))).alias(name)), "secret-links")
+    return (keyed.join(spans, at, "left")
+            .withColumn(text, F.when(F.size(name) > 0, _cut(F.col(name), F.col(text), mask))
                         .otherwise(F.col(text)))
-            .select(docs.columns))
-
-
-
+            .select(*[F.col(f"`{c}`") for c in docs.columns]))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,7 +18,11 @@ from tmweave.llm.common import saved, table
 TOKENIZER = "byte_bpe_50k.json"
 HEAD_UNITS = 300_000         # most frequent pre-tokens sent to every task
 HEAD_CHARS = 40              # longest of those, so the table has a fixed bound
-HELD_CHUNKS = 150_000        # distinct chunks that a task holds before it passes them on
+HELD_CHUNKS = 80_000         # distinct chunks that a task holds before it passes them on
+BATCH_UNITS = 25_000         # pre-tokens passed on together
+STABLE = "\u0860"
+# Fixed value: the pattern of the byte-level pre-tokenizer.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SLICE_ROWS = 500             # texts whose rare pre-tokens a task holds at once
 LIMIT = 1024
 
@@ -61,10 +68,25 @@ def _tally(text: str | None, special: list[str]) -> tuple[Counter, int]:
 
 
 def _splitter(path: str):
-    """The library's own pre-tokenizer: a chunk to its pre-tokens."""
+    """From a chunk to its pre-tokens, as the library's own pre-tokenizer cuts it.
+
+    Where that is the byte-level one with its own pattern, chunks of characters below ``STABLE``, whose
+    classes no Unicode version changes any more, are cut by that pattern directly.
+    """
     from tokenizers import Tokenizer
     split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
-    return lambda chunk: [chunk[a:b] for _, (a, b) in split(chunk)]
+    with open(path, encoding="utf-8") as f:
+        kind = json.load(f).get("pre_tokenizer") or {}
+    if kind.get("type") != "ByteLevel" or kind.get("add_prefix_space") or not kind.get("use_regex", True):
+        return lambda chunk: [chunk[a:b] for _, (a, b) in split(chunk)]
+    import regex
+    find = regex.compile(BYTE_LEVEL).findall
+
+    def pieces(chunk: str) -> list[str]:
+        if chunk.isascii() or max(chunk) < STABLE:
+            return find(chunk)
+        return [chunk[a:b] for _, (a, b) in split(chunk)]
+    return pieces
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text",
@@ -97,11 +119,12 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text",
             for chunk, n in freq.items():
                 for u in split(chunk):
                     total[u] += n
-            names, numbers = list(total), list(total.values())
-            for i in range(0, len(names), 100_000):
+            freq.clear()                         # one of the two tables at a time
+            items = iter(total.items())
+            while part := list(islice(items, BATCH_UNITS)):
+                names, numbers = zip(*part)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names[i:i + 100_000], pa.string()),
-                     pa.array(numbers[i:i + 100_000], pa.int64())], ["unit", "freq"])
+                    [pa.array(names, pa.string()), pa.array(numbers, pa.int64())], ["unit", "freq"])
 
         freq: Counter = Counter()
         for b in batches:
@@ -109,10 +132,10 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text",
                 freq.update(_tally(t.as_py(), special)[0])
                 if len(freq) > HELD_CHUNKS:      # pass on what is held, keep the memory bounded
                     yield from units(freq)
-                    freq = Counter()
         yield from units(freq)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"      # a task is one core
         from tokenizers import Tokenizer
         tok = Tokenizer.from_file(tokenizer_path)
         for b in batches:
