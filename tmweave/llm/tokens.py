@@ -18,9 +18,11 @@ from tmweave.llm.common import saved, table
 TOKENIZER = "byte_bpe_50k.json"
 HEAD_UNITS = 300_000         # most frequent pre-tokens sent to every task
 HEAD_CHARS = 40              # longest of those, so the table has a fixed bound
-HELD_CHUNKS = 80_000         # distinct chunks that a task holds before it passes them on
+HELD_UNITS = 150_000         # distinct pre-tokens that a task holds before it passes them on
+HELD_CHUNKS = 20_000         # pieces of other texts whose pre-tokens a task remembers
+WHOLE_CHARS = 1 << 20        # longer texts are cut BATCH_UNITS pre-tokens at a time
 BATCH_UNITS = 25_000         # pre-tokens passed on together
-STABLE = "\u0860"
+STABLE = "\u0530"
 # Fixed value: the pattern of the byte-level pre-tokenizer.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SLICE_ROWS = 500             # texts whose rare pre-tokens a task holds at once
@@ -52,41 +54,50 @@ def _special(path: str) -> list[str]:
     return [t.content for t in Tokenizer.from_file(path).get_added_tokens_decoder().values()]
 
 
-def _tally(text: str | None, special: list[str]) -> tuple[Counter, int]:
-    """Chunk frequencies of a text, and how many special strings it holds.  The library cuts
-    texts at special strings before anything else."""
-    segments = [text or ""]
-    n = 0
-    if special and any(s in segments[0] for s in special):
-        cut = re.split("|".join(re.escape(s) for s in sorted(special, key=len, reverse=True)),
-                       segments[0])
-        n, segments = len(cut) - 1, cut
-    freq: Counter = Counter()
-    for s in segments:
-        freq.update(chunks(s))
-    return freq, n
+def _tallier(path: str, special: list[str]):
+    """From a text to the frequencies of its pre-tokens, as the library cuts it, and the number of
+    special strings in it (the library cuts texts at those before anything else).
 
-
-def _splitter(path: str):
-    """From a chunk to its pre-tokens, as the library's own pre-tokenizer cuts it.
-
-    Where that is the byte-level one with its own pattern, chunks of characters below ``STABLE``, whose
-    classes no Unicode version changes any more, are cut by that pattern directly.
+    Where the library's pre-tokenizer is the byte-level one with its own pattern, texts of
+    characters below ``STABLE``, whose classes no Unicode version changes any more, are cut by that
+    pattern directly, some pre-tokens at a time.  Other texts are cut at blanks first, and the
+    library cuts the distinct pieces.
     """
+    import regex
     from tokenizers import Tokenizer
     split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
     with open(path, encoding="utf-8") as f:
         kind = json.load(f).get("pre_tokenizer") or {}
-    if kind.get("type") != "ByteLevel" or kind.get("add_prefix_space") or not kind.get("use_regex", True):
-        return lambda chunk: [chunk[a:b] for _, (a, b) in split(chunk)]
-    import regex
-    find = regex.compile(BYTE_LEVEL).findall
-
-    def pieces(chunk: str) -> list[str]:
-        if chunk.isascii() or max(chunk) < STABLE:
-            return find(chunk)
-        return [chunk[a:b] for _, (a, b) in split(chunk)]
-    return pieces
+    direct = kind.get("type") == "ByteLevel" and not kind.get("add_prefix_space") \
+        and kind.get("use_regex", True)
+    pattern, late = regex.compile(BYTE_LEVEL), re.compile(f"[^\0-{chr(ord(STABLE) - 1)}]")
+    cut = re.compile("|".join(re.escape(s) for s in sorted(special, key=len, reverse=True)))
+    seen: dict = {}
+
+    def units(chunk: str) -> list[str]:
+        if len(seen) > HELD_CHUNKS:
+            seen.clear()
+        got = seen[chunk] = [chunk[a:b] for _, (a, b) in split(chunk)]
+        return got
+
+    def tally(text: str) -> tuple[Counter, int]:
+        segments = cut.split(text) if special and any(s in text for s in special) else [text]
+        freq: Counter = Counter()
+        for s in segments:
+            if direct and (s.isascii() or not late.search(s)):
+                if len(s) <= WHOLE_CHARS:
+                    freq.update(pattern.findall(s))
+                    continue
+                found = (m.group() for m in pattern.finditer(s))
+                while part := list(islice(found, BATCH_UNITS)):
+                    freq.update(part)
+                continue
+            for chunk, n in Counter(chunks(s)).items():
+                for u in seen.get(chunk) or units(chunk):
+                    freq[u] += n
+        return freq, len(segments) - 1
+
+    return tally
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text",
@@ -112,27 +123,23 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text",
     rows = docs.select(F.col(doc_id).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("t"))
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = _splitter(tokenizer_path)
-
-        def units(freq: Counter) -> Iterator[pa.RecordBatch]:
-            total: Counter = Counter()
-            for chunk, n in freq.items():
-                for u in split(chunk):
-                    total[u] += n
-            freq.clear()                         # one of the two tables at a time
-            items = iter(total.items())
+        tally = _tallier(tokenizer_path, special)
+
+        def passed(freq: Counter) -> Iterator[pa.RecordBatch]:
+            items = iter(freq.items())
             while part := list(islice(items, BATCH_UNITS)):
                 names, numbers = zip(*part)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(names, pa.string()), pa.array(numbers, pa.int64())], ["unit", "freq"])
+            freq.clear()
 
-        freq: Counter = Counter()
+        total: Counter = Counter()
         for b in batches:
             for t in b.column("t"):
-                freq.update(_tally(t.as_py(), special)[0])
-                if len(freq) > HELD_CHUNKS:      # pass on what is held, keep the memory bounded
-                    yield from units(freq)
-        yield from units(freq)
+                total.update(tally(t.as_py())[0])
+                if len(total) > HELD_UNITS:      # pass on what is held, keep the memory bounded
+                    yield from passed(total)
+        yield from passed(total)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"      # a task is one core
@@ -163,29 +170,20 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text",
     known = spark.sparkContext.broadcast(dict(zip(head["unit"].to_pylist(), head["n"].to_pylist())))
 
     def known_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, numbers = _splitter(tokenizer_path), known.value
-        seen: dict = {}                        # chunk -> (tokens of its known part, the other units)
-
-        def parts(chunk: str):
-            if len(seen) > HELD_CHUNKS:
-                seen.clear()
-            units = split(chunk)
-            other = tuple(u for u in units if u not in numbers)
-            got = seen[chunk] = (sum(numbers.get(u, 0) for u in units), other)
-            return got
-
+        tally, numbers = _tallier(tokenizer_path, special), known.value
         for b in batches:
             for start in range(0, len(b), SLICE_ROWS):
                 part = b.slice(start, SLICE_ROWS)
                 sums, owner, names, counts = [], [0], [], []
                 for t in part.column("t"):
-                    freq, total = _tally(t.as_py(), special)
-                    other: Counter = Counter()
-                    for chunk, c in freq.items():
-                        n, more = seen.get(chunk) or parts(chunk)
-                        total += n * c
-                        for u in more:
-                            other[u] += c
+                    freq, total = tally(t.as_py())
+                    other = {}
+                    for u, c in freq.items():
+                        n = numbers.get(u)
+                        if n is None:
+                            other[u] = c
+                        else:
+                            total += n * c
                     sums.append(total)
                     names += other
                     counts += other.values()
