@@ -130,3 +130,18 @@ def test_combine_with_string_ids(spark, tmpdir_path):
     run_available_now(q, 300)
     got = {(r["document_id"], r["body"]) for r in spark.read.parquet(f"{tmpdir_path}/out").collect()}
     assert got == {("report", "a\n\nb"), ("x-1", "c")}
+
+
+def test_mean_does_not_depend_on_arrival_and_equals_the_batch(spark):
+    import itertools
+    import math
+
+    from tmweave.operators.combine import combine_sections
+    from tmweave.streaming.jobs import _mean
+
+    confs = [0.1, 0.2, 0.3, 1e-7, 0.7]
+    assert len({_mean(list(p)) for p in itertools.permutations(confs)}) == 1
+    df = spark.createDataFrame([("d", i, "t", c) for i, c in enumerate(confs)],
+                               "document_id string, section_id int, translated_text string, confidence double")
+    assert combine_sections(df).first()["confidence"] == _mean(confs)
+    assert math.isnan(_mean([])) and math.isnan(_mean([0.5, float("nan")]))

@@ -3,6 +3,9 @@ comes from the checkpoint plus a file sink (or batch-id keyed writes)."""
 
 from __future__ import annotations
 
+import math
+from decimal import ROUND_HALF_UP, Decimal, localcontext
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -98,6 +101,16 @@ _STATE_SCHEMA = ("section_ids array<long>, positions array<long>, texts array<st
                  "confs array<double>, expected long")
 
 
+def _mean(confs: list[float]) -> float:
+    """The mean as ``combine_sections`` gives it: the shortest digits summed as decimals, so the
+    order of arrival doesn't show; NaN for none or any that is missing or not finite."""
+    if not confs or not all(math.isfinite(c) for c in confs):
+        return float("nan")
+    with localcontext(prec=60, rounding=ROUND_HALF_UP):
+        total = sum(Decimal(repr(float(c))).quantize(Decimal("1e-18")) for c in confs)
+    return float(total) / len(confs)
+
+
 def _combine_when_complete(key, batches, state):
     """Hold a document's sections until ``expected`` have arrived, then emit the
     combined row and drop the state."""
@@ -120,8 +133,7 @@ def _combine_when_complete(key, batches, state):
     state.remove()
     order = sorted(range(len(ids)), key=lambda i: (int(ids[i]), int(pos[i])))
     body = SECTION_SEPARATOR.join("" if texts[i] is None else texts[i] for i in order)
-    vals = pd.Series(confs, dtype="float64")
-    conf = float("nan") if len(vals) == 0 or vals.isna().any() else float(vals.sum() / len(vals))
+    conf = _mean(confs)
     yield pd.DataFrame({"document_id": [key[0]], "body": [body], "confidence": [conf],
                         "sections": [len(ids)]})
 
