@@ -95,7 +95,9 @@ def _whole(base: Column, weak: Column) -> Column:
     """The weak spans with their complements anywhere in the text."""
     a, b = (F.exists(base, lambda s: s["kind"].isin(*kinds)) | F.exists(weak, lambda s: s["kind"].isin(*kinds))
             for kinds in ((1, 3), (0, 2, 4)))
-    return F.filter(weak, lambda s: _needs(s["kind"], a, b))
+    # Bound to a variable: looked up once for a text, not for each of its spans.
+    return F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))),
+                       lambda r: F.filter(weak, lambda s: _needs(s["kind"], r["a"], r["b"])))[0]
 
 
 def linked(found: DataFrame, scope: int | None = SCOPE) -> DataFrame:
