@@ -145,3 +145,59 @@ def test_mean_does_not_depend_on_arrival_and_equals_the_batch(spark):
                                "document_id string, section_id int, translated_text string, confidence double")
     assert combine_sections(df).first()["confidence"] == _mean(confs)
     assert math.isnan(_mean([])) and math.isnan(_mean([0.5, float("nan")]))
+
+
+def _stream(spark, df, path):
+    """One file per ``batch``, taken in order, one a micro-batch."""
+    for i in sorted(r[0] for r in df.select("batch").distinct().collect()):
+        df.filter(F.col("batch") == i).drop("batch").coalesce(1).write.mode("append").parquet(path)
+    return (spark.readStream.schema(df.drop("batch").schema).option("maxFilesPerTrigger", 1).parquet(path))
+
+
+def test_combine_counts_from_a_stream_with_empty_documents(spark, tmpdir_path):
+    sections = spark.createDataFrame(
+        [(0, "a", 1, "a1", 0.1), (1, "a", 0, "a0", 0.2), (2, "a", 2, None, 0.7), (1, "b", 0, "b0", None),
+         (2, "a", 1, "a1", 0.1)],                          # the last row: a section sent again
+        "batch int, document_id string, section_id int, translated_text string, confidence double")
+    requests = spark.createDataFrame([(0, "empty", 0), (0, "never", 2), (2, "a", 3), (0, "b", 1)],
+                                     "batch int, document_id string, expected int")
+    q = stream_combine(_stream(spark, sections, f"{tmpdir_path}/s"), _stream(spark, requests, f"{tmpdir_path}/r"),
+                       f"{tmpdir_path}/out", f"{tmpdir_path}/ckpt")
+    run_available_now(q, 300)
+    got = {r["document_id"]: r for r in spark.read.parquet(f"{tmpdir_path}/out").collect()}
+    docs = spark.createDataFrame([("a",), ("b",), ("empty",)], "document_id string")
+    want = {r["document_id"]: r for r in combine_sections(
+        sections.drop("batch").distinct(), docs).collect()}
+    assert set(got) == set(want)
+    for d, w in want.items():
+        assert (got[d]["body"], got[d]["sections"], repr(got[d]["confidence"])) == (
+            w["body"], w["sections"], repr(w["confidence"]))
+        assert got[d]["complete"] and got[d]["expected"] == w["sections"]
+
+
+def test_combine_counts_from_the_sections_and_gives_up_late_documents(spark, tmpdir_path):
+    import time
+
+    import pytest
+
+    schema = "document_id long, section_id long, translated_text string, confidence double, expected long"
+    sink = "document_id long, body string, sections long, expected long, complete boolean"
+    src = f"{tmpdir_path}/s"
+    rows = [(1, 0, "a", 0.5, 2), (2, 0, "x", 0.5, None), (2, 1, "y", 0.5, 2)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(src)
+
+    def start(**options):
+        return stream_combine(spark.readStream.schema(schema).parquet(src), None, f"{tmpdir_path}/out",
+                              f"{tmpdir_path}/ckpt", timeout_s=1, **options)
+    with pytest.raises(ValueError, match="timeout_s"):
+        start()
+    q, got, end = start(available_now=False), {}, time.time() + 60
+    try:
+        while len(got) < 2 and time.time() < end and q.exception() is None:
+            time.sleep(1)
+            if os.path.isdir(f"{tmpdir_path}/out/_spark_metadata"):
+                got = {r["document_id"]: (r["body"], r["sections"], r["expected"], r["complete"])
+                       for r in spark.read.schema(sink).parquet(f"{tmpdir_path}/out").collect()}
+    finally:
+        q.stop()
+    assert got == {1: (None, 1, 2, False), 2: ("x\n\ny", 2, 2, True)}

@@ -830,6 +830,35 @@ def stream_combine_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+@register("stream_combine_requests", """
+SELECT CAST(document_id AS VARCHAR) AS document_id, body, sections, confidence_pct
+FROM (""" + ORACLE_SQL["combine_with_empty_documents"] + ")")
+def stream_combine_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R3 with the section counts of a request stream: every ``documents`` row is a request (0
+    sections where no conversation supplies any), ids are strings, and the sections come in three
+    runs of the stream, every third turn each."""
+    from tmweave.functions.text import confidence_percent
+    from tmweave.session import scratch_path
+    from tmweave.streaming import run_available_now, stream_combine
+
+    sections = T.conversation_sections(spark, sf_dir).withColumn(
+        "document_id", F.col("document_id").cast("string"))
+    counts = sections.groupBy("document_id").agg(F.count(F.lit(1)).alias("expected"))
+    requests = (T.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"))
+                .join(counts, "document_id", "left")
+                .select("document_id", F.coalesce("expected", F.lit(0).cast("bigint")).alias("expected")))
+    base = scratch_path(spark, "stream-combine")
+    requests.write.parquet(f"{base}/requests")
+    for i in range(3):
+        sections.filter(F.col("section_id") % 3 == i).write.mode("append").parquet(f"{base}/sections")
+        run_available_now(stream_combine(
+            spark.readStream.schema(sections.schema).parquet(f"{base}/sections"),
+            spark.readStream.schema(requests.schema).parquet(f"{base}/requests"),
+            f"{base}/out", f"{base}/checkpoint"))
+    return spark.read.parquet(f"{base}/out").where("complete").select(
+        "document_id", "body", "sections", confidence_percent("confidence").alias("confidence_pct"))
+
+
 @register("stream_tmx", ORACLE_SQL["ingest_tm"])
 def stream_tmx_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R2: consecutive conversation turns written by Spark as TMX unit files, read

@@ -4,13 +4,15 @@ comes from the checkpoint plus a file sink (or batch-id keyed writes)."""
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 from decimal import ROUND_HALF_UP, Decimal, localcontext
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tmweave.operators.admission import admission_outcomes
 from tmweave.operators.combine import SECTION_SEPARATOR
@@ -97,10 +99,6 @@ def stream_tmx(files: DataFrame, tm_path: str, checkpoint: str, *, embedder=None
     return w.start()
 
 
-_STATE_SCHEMA = ("section_ids array<long>, positions array<long>, texts array<string>, "
-                 "confs array<double>, expected long")
-
-
 def _mean(confs: list[float]) -> float:
     """The mean as ``combine_sections`` gives it: the shortest digits summed as decimals, so the
     order of arrival doesn't show; NaN for none or any that is missing or not finite."""
@@ -111,51 +109,142 @@ def _mean(confs: list[float]) -> float:
     return float(total) / len(confs)
 
 
-def _combine_when_complete(key, batches, state):
-    """Hold a document's sections until ``expected`` have arrived, then emit the
-    combined row and drop the state."""
-    if state.exists:
-        ids, pos, texts, confs, expected = state.get
-        ids, pos, texts, confs = list(ids), list(pos), list(texts), list(confs)
-    else:
-        ids, pos, texts, confs, expected = [], [], [], [], None
-    for pdf in batches:
-        if pdf["expected"].isna().any():
-            raise ValueError(f"no expected section count for document {key[0]!r}")
-        ids += [int(v) for v in pdf["section_id"]]
-        pos += pdf["pos"].astype("int64").tolist()
-        texts += pdf["translated_text"].tolist()
-        confs += pdf["confidence"].astype("float64").tolist()
-        expected = int(pdf["expected"].iloc[0])
-    if len(ids) < expected:
-        state.update((ids, pos, texts, confs, expected))
-        return
-    state.remove()
-    order = sorted(range(len(ids)), key=lambda i: (int(ids[i]), int(pos[i])))
-    body = SECTION_SEPARATOR.join("" if texts[i] is None else texts[i] for i in order)
-    conf = _mean(confs)
-    yield pd.DataFrame({"document_id": [key[0]], "body": [body], "confidence": [conf],
-                        "sections": [len(ids)]})
-
-
-def stream_combine(sections: DataFrame, expected: DataFrame, sink_path: str,
-                   checkpoint: str, *, available_now: bool = True) -> StreamingQuery:
+class _FanIn(StatefulProcessor):
+    """The barrier of one document: a map entry per section, and the counts."""
+
+    def __init__(self, timeout_s: float | None):
+        self.timeout_s = timeout_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getMapState("sections", "section_id long, pos long", "text string, confidence double")
+        self.counts = handle.getValueState("counts", "arrived long, expected long, deadline long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known = self.counts.exists()
+        arrived, expected, deadline = self.counts.get() if known else (0, None, None)
+        new = {}
+        for pdf in rows:
+            for place, pos, text, conf, count in zip(*(pdf[c] for c in _INPUT)):
+                if not pd.isna(count):
+                    expected = int(count) if expected is None else max(expected, int(count))
+                if not pd.isna(place):
+                    new[int(place), int(pos)] = (text, None if pd.isna(conf) else float(conf))
+        fresh = [k for k in new if not (arrived and self.held.containsKey(k))]
+        arrived += len(fresh)
+        if expected is not None and arrived >= expected:
+            if known:
+                new = {**dict(self._sections()), **new}
+                self._forget()
+            yield _combined(key, new, expected, True)
+            return
+        for k, v in new.items():
+            self.held.updateValue(k, v)
+        if not known and self.timeout_s is not None:
+            deadline = int(timerValues.getCurrentProcessingTimeInMs()) + int(self.timeout_s * 1000)
+            self.handle.registerTimer(deadline)
+        self.counts.update((arrived, expected, deadline))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # A timer that outlived its document finds no state, or that of a later start.
+        if not self.counts.exists():
+            return
+        _, expected, deadline = self.counts.get()
+        if deadline > expiredTimerInfo.getExpiryTimeInMs():
+            return
+        held = dict(self._sections())
+        self._forget()
+        yield _combined(key, held, expected, False)
+
+    def close(self) -> None:
+        pass
+
+    def _sections(self):
+        for k, v in self.held.iterator():
+            yield (int(k[0]), int(k[1])), (v[0], v[1])
+
+    def _forget(self) -> None:
+        self.held.clear()
+        self.counts.clear()
+
+
+_INPUT = ("section_id", "pos", "translated_text", "confidence", "expected")
+
+
+def _combined(key, sections: dict, expected: int | None, complete: bool) -> pd.DataFrame:
+    order = sorted(sections)
+    body = SECTION_SEPARATOR.join(sections[k][0] or "" for k in order) if complete else None
+    confs = [float("nan") if sections[k][1] is None else sections[k][1] for k in order]
+    return pd.DataFrame({"document_id": [key[0]], "body": pd.Series([body], dtype=object),
+                         "confidence": [_mean(confs)], "sections": [len(order)],
+                         "expected": pd.Series([expected], dtype="Int64"), "complete": [complete]})
+
+
+@contextmanager
+def _rocksdb(spark):
+    """Keyed state (a map entry each) needs the RocksDB state store; a query keeps the setting that
+    its session had when it started."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def stream_combine(sections: DataFrame, expected: DataFrame | None, sink_path: str,
+                   checkpoint: str, *, timeout_s: float | None = None,
+                   available_now: bool = True) -> StreamingQuery:
     """The fan-in barrier.  A document is combined once all its sections have
     arrived, possibly over many micro-batches.
 
     ``sections``: streaming (document_id, section_id, translated_text, confidence
-    [, pos]); ``expected``: static (document_id, expected) section counts.  State
-    per document holds only that document's sections and is removed on emit.
-    A section whose document has no expected count fails the query rather than
-    being dropped.
+    [, pos]).  Where its documents' section counts come from, by ``expected``: None, the
+    column ``expected`` of the sections themselves (null where a row doesn't know it); a
+    stream (document_id, expected), such as that of the requests, whose rows may come before
+    or after the sections and which also gives the documents without sections (empty body,
+    NaN confidence); a static table of them, where a section whose document is missing fails
+    the query rather than being dropped.  Of several counts the largest holds.
+
+    The state is a map with an entry per (section_id, pos), so a section that arrives writes
+    itself alone, and one that arrives twice before its document is complete counts once (the
+    later row holds).  It is dropped on emit: a section that comes after starts anew.  With
+    ``timeout_s``, a document that isn't complete that long after its first row is given up:
+    ``complete`` false, no body, the number of ``sections`` that came.  Its timers keep a query
+    going, so it needs ``available_now=False``.
+
+    The sink has document_id, body, confidence (as ``combine_sections``), sections, expected,
+    complete.
     """
+    if timeout_s is not None and available_now:
+        raise ValueError("timeout_s needs available_now=False: timers keep the query running")
     if "pos" not in sections.columns:
         sections = sections.withColumn("pos", F.lit(0).cast("bigint"))
     id_type = sections.schema["document_id"].dataType.simpleString()
-    s = sections.join(expected, "document_id", "left")
-    out = s.groupBy("document_id").applyInPandasWithState(
-        _combine_when_complete,
-        f"document_id {id_type}, body string, confidence double, sections long",
-        _STATE_SCHEMA, "append",
-        GroupStateTimeout.NoTimeout)
-    return _start(out, sink_path, checkpoint, available_now)
+    rows = sections
+    if expected is not None and not expected.isStreaming:
+        rows = rows.join(expected, "document_id", "left").withColumn("expected", F.when(
+            F.col("expected").isNull(), F.raise_error(F.concat(
+                F.lit("no expected section count for document "),
+                F.coalesce(F.col("document_id").cast("string"), F.lit("null")))))
+            .otherwise(F.col("expected")))
+    elif expected is not None:
+        rows = rows.withColumn("expected", F.lit(None).cast("bigint"))
+    rows = rows.select("document_id", F.col("section_id").cast("bigint"), F.col("pos").cast("bigint"),
+                       F.col("translated_text").cast("string"), F.col("confidence").cast("double"),
+                       F.col("expected").cast("bigint"))
+    if expected is not None and expected.isStreaming:
+        none = [F.lit(None).cast(t).alias(c) for c, t in zip(_INPUT, ("bigint", "bigint", "string", "double"))]
+        rows = rows.union(expected.select(F.col("document_id").cast(id_type), *none,
+                                          F.col("expected").cast("bigint")))
+    out = rows.groupBy("document_id").transformWithStateInPandas(
+        _FanIn(timeout_s), f"document_id {id_type}, body string, confidence double, sections long, "
+        "expected long, complete boolean", "append", "none" if timeout_s is None else "processingTime")
+    # Arrow hands a NaN of pandas over as null.
+    out = out.withColumn("confidence", F.coalesce("confidence", F.lit(float("nan"))))
+    with _rocksdb(sections.sparkSession):
+        return _start(out, sink_path, checkpoint, available_now)
