@@ -151,3 +151,21 @@ def test_posteriors_shrink_to_domain_and_suffix(spark):
 def test_no_pages_and_no_outcomes(spark):
     assert judged(spark, []) == {}
     assert judged(spark, [(1, "http://a.org/", None, 0)])[1]["verdict"] in ("allow", "block")
+
+
+def test_one_response_a_payload_whatever_its_ids(spark, tmpdir_path):
+    html = "x" * 200
+    rows = [(1, html, "u1", None), (1, html, "u1", None), (None, html, "urn:page:", None), (None, "y" * 200, "urn:page:", None),
+            (None, "y" * 200, "urn:page:", None), (5, "s", "u5", None), (5, "s", "u5", None)]
+    for i, df in enumerate((pages(spark, rows), pages(spark, rows).limit(0))):
+        path = f"{tmpdir_path}/{i}"
+        warc.write_warc(df, path, "uri", "html")
+        got = sorted((r["payload_bytes"], r["payload_digest"][:4], r["record_type"])
+                     for r in warc.read_warc(spark, path).collect())
+        if i:
+            assert got == []
+            continue
+        assert [k for n, _, k in got if n == 1] == ["response"] * 2
+        large = [(d, k) for n, d, k in got if n == 200]
+        assert len(large) == 5 and sorted(k for _, k in large) == ["response"] * 2 + ["revisit"] * 3
+        assert len({d for d, k in large if k == "response"}) == 2

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tmweave.llm.common import table
+from tmweave.llm.common import located, table
 from tmweave.session import scratch_path
 
 # Fixed values of the format.
@@ -60,10 +60,11 @@ def write_warc(pages: DataFrame, path: str, uri: str, payload: str,
                min_revisit: int = MIN_REVISIT) -> None:
     """Write one record per row to ``path``, one archive per partition.
 
-    ``uri``: string column that names the record (unique; ordered as ``order`` below by its
-    value in ``page_no`` when present); ``payload``: string or binary column, null is empty.
-    Of rows with equal payloads of at least ``min_revisit`` bytes, that with the least
-    ``page_no`` is a response and the others are revisits that refer to it.
+    ``uri``: string column that names the record; ``payload``: string or binary column, null is
+    empty.  Of rows with equal payloads of at least ``min_revisit`` bytes, exactly one is a
+    response: that with the least ``page_no`` (nulls last), of those that repeat it the first by
+    uri, file and place.  The others are revisits that refer to its uri.  Other columns are
+    ignored; an empty table writes no record.
 
     Digests are grouped first (a partial minimum per task, 50 bytes a row) and joined back by
     digest; the payloads move once.  Groups are many rows to one, so a hot digest is split by
@@ -72,13 +73,14 @@ def write_warc(pages: DataFrame, path: str, uri: str, payload: str,
     import zstandard
 
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
-    rows = pages.select(F.col("page_no"), F.col(uri).alias("uri"), body.alias("body"),
+    pages, at = located(pages, "warc-pages")
+    rows = pages.select(F.struct(*at).alias("key"), F.col("page_no"), F.col(uri).alias("uri"), body.alias("body"),
                         F.octet_length(body).cast("long").alias("size"))
     large = rows.where(F.col("size") >= min_revisit).select(
-        F.sha2("body", 256).alias("d"), "page_no", "uri")
-    first = (large.groupBy("d").agg(F.min(F.struct(F.col("page_no").isNull(), "page_no", "uri"))
+        F.sha2("body", 256).alias("d"), "page_no", "uri", "key")
+    first = (large.groupBy("d").agg(F.min(F.struct(F.col("page_no").isNull(), "page_no", "uri", "key"))
                                     .alias("f"), F.count("*").alias("c"))
-             .where("c > 1").select("d", F.col("f.uri").alias("first")))
+             .where("c > 1").select("d", F.col("f.uri").alias("first"), F.col("f.key").alias("first_key")))
     sample = [bytes(r[0]) for r in rows.where("size > 0").select(
         F.substring("body", 1, DICT_SAMPLE_BYTES)).limit(DICT_SAMPLE).collect()]
     dictionary = train_dictionary(sample)
@@ -93,15 +95,17 @@ def write_warc(pages: DataFrame, path: str, uri: str, payload: str,
         z = zstandard.ZstdCompressor(level=3, dict_data=zd, write_checksum=True)
         for b in batches:
             out = []
-            for name, data, digest, first_uri in zip(b["uri"], b["body"], b["digest"], b["first"]):
-                kind = "response" if first_uri is None or first_uri == name else "revisit"
+            for name, data, digest, first_uri, own in zip(b["uri"], b["body"], b["digest"], b["first"],
+                                                          b["own"]):
+                kind = "response" if own else "revisit"
                 out.append(z.compress(record_bytes(name, kind, bytes(data), digest, first_uri,
                                                    len(data))))
             yield pd.DataFrame({"frame": out})
 
     (rows.withColumn("digest", F.sha2("body", 256))
      .join(first, F.col("digest") == F.col("d"), "left")
-     .select("uri", "body", "digest", "first")
+     .select("uri", "body", "digest", "first", F.coalesce(F.col("key") == F.col("first_key"), F.lit(True))
+             .alias("own"))
      .mapInPandas(archive, "frame binary")
      # The text writer copies the bytes of a string unchanged.
      .select(F.col("frame").cast("string").alias("value"))
