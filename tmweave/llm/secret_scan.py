@@ -30,6 +30,39 @@ KINDS = ("assign", "access", "hex", "weak_access", "weak_secret", "endpoint")
 SCOPE = 200                  # code points between complementary parts; None: the whole text
 
 SPAN = "array<struct<start:bigint,kind:int,stop:bigint>>"
+BLOCK = 64                   # items folded at a time: arrays that grow stay short
+CUT_BLOCK = 512              # pieces cut from one region of a text
+
+
+def _bind(value: Column, use) -> Column:
+    """``use(value)``; a one-element array binds it to a variable, so it is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _blocks(items: Column, size: int) -> Column:
+    last = F.greatest(F.floor((F.size(items) - 1) / size), F.lit(0).cast("bigint")).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(items, i * size + 1, size))
+
+
+def _with_prefix(items: Column, value, plus) -> Column:
+    """Every item as (before, item): ``before`` is the value of all earlier ones by ``plus`` from 0.
+    Blocks are folded first, then the items of each block from there: linear but for the blocks' own
+    number, whose array alone grows."""
+    zero = F.lit(0).cast("bigint")
+
+    def before(start: Column, part: Column, of) -> Column:
+        return F.aggregate(
+            part, F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("out")),
+            lambda acc, x: F.struct(plus(acc["at"], of(x)).cast("bigint").alias("at"),
+                                    F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+
+    def placed(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(
+            b, zero, lambda acc, x: plus(acc, value(x)).cast("bigint")))
+        return F.flatten(F.zip_with(blocks, before(zero, totals, lambda x: x), lambda b, at: F.zip_with(
+            before(at, b, value), b, lambda n, x: F.struct(n.alias("before"), x.alias("item")))))
+
+    return _bind(items, lambda xs: _bind(_blocks(xs, BLOCK), placed))
 
 
 def _spans(text: Column, pattern: str, kind: int, keep=None, hint: str | None = None) -> Column:
@@ -40,17 +73,12 @@ def _spans(text: Column, pattern: str, kind: int, keep=None, hint: str | None =
     gaps = F.split(text, pattern, -1)
 
     def placed(pairs: Column) -> Column:
-        step = F.aggregate(
-            pairs, F.struct(F.lit(0).cast("bigint").alias("at"),
-                            F.array().cast(SPAN).alias("out")),
-            lambda acc, p: F.struct(
-                (acc["at"] + F.length(p["g"]) + F.length(p["m"])).cast("bigint").alias("at"),
-                F.concat(acc["out"], F.array(F.struct(
-                    (acc["at"] + F.length(p["g"])).cast("bigint").alias("start"),
-                    F.lit(kind).alias("kind"),
-                    (acc["at"] + F.length(p["g"]) + F.length(p["m"])).cast("bigint")
-                    .alias("stop")))).alias("out")))
-        return step["out"]
+        sizes = F.transform(pairs, lambda p: F.struct(F.length(p["g"]).cast("bigint").alias("g"),
+                                                      F.length(p["m"]).cast("bigint").alias("m")))
+        return F.transform(
+            _with_prefix(sizes, lambda x: x["g"] + x["m"], lambda x, y: x + y),
+            lambda p: F.struct((p["before"] + p["item"]["g"]).alias("start"), F.lit(kind).alias("kind"),
+                               (p["before"] + p["item"]["g"] + p["item"]["m"]).alias("stop")))
 
     def pairs(m: Column) -> Column:
         return F.zip_with(m, F.slice(gaps, 1, F.size(m)),
@@ -81,9 +109,10 @@ def _weak(t: Column) -> Column:
 
 
 def parts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``_base`` and ``_weak``: spans in the text, by kind."""
+    """``docs`` with ``_base`` and ``_weak``, spans in the text by kind, and ``_size``, its length."""
     t = F.coalesce(F.col(text), F.lit(""))
-    return docs.withColumn("_base", _base(t)).withColumn("_weak", _weak(t))
+    return (docs.withColumn("_base", _base(t)).withColumn("_weak", _weak(t))
+            .withColumn("_size", F.length(t).cast("bigint")))
 
 
 def _needs(kind: Column, a: Column, b: Column) -> Column:
@@ -103,26 +132,36 @@ def _whole(base: Column, weak: Column) -> Column:
 def linked(found: DataFrame, scope: int | None = SCOPE) -> DataFrame:
     """Weak parts with their complements nearby: ``_row``, ``_linked`` spans.
 
-    ``found``: ``_row``, ``_base``, ``_weak``.  Roles: access (access, weak_access),
+    ``found``: ``_row``, ``_base``, ``_weak``, ``_size``.  Roles: access (access, weak_access),
     secret (assign, hex, weak_secret), endpoint.  An access needs a secret, a secret an
-    access, an endpoint both: anywhere in the text if ``scope`` is None (row-local, one
-    pass over the parts), else at most ``scope`` code points away.  An interval join:
-    each part is filed under the bins of ``scope`` code points that its widened
-    interval meets, weak parts under the bin of their own start and their
-    neighbours; equal (row, bin) are joined, which bounds a key by what fits into a
+    access, an endpoint both, in its scope: the interval of the whole text if ``scope`` is
+    None, else at most ``scope`` code points away.  An interval join.  Over the whole text, the
+    parts of a role are first reduced to the extent that they take in their text, a row per
+    text, and a scope joins the extents that it meets.  Else each part is filed under the bins of
+    ``scope`` code points that its widened interval meets, weak parts under the bins of
+    their own; equal (row, bin) are joined, which bounds a key by what fits into a
     few bins of one text.
     """
     weak = found.where(F.size("_weak") > 0)
-    if scope is None:
-        return (weak.select("_row", F.array_sort(_whole(F.col("_base"), F.col("_weak"))).alias("_linked"))
-                .where(F.size("_linked") > 0))
     every = (weak.select("_row", F.explode(F.concat("_base", "_weak")).alias("s"))
              .select("_row", F.col("s.start").alias("o_start"), F.col("s.stop").alias("o_stop"),
                      F.col("s.kind").alias("o_kind"))
-             .withColumn("_bin", F.explode(F.sequence(
-                 F.floor(F.col("o_start") / scope) - 1, F.floor(F.col("o_stop") / scope) + 1)))
              .withColumn("o_role", F.when(F.col("o_kind").isin(1, 3), 1)
                          .when(F.col("o_kind") == 5, 3).otherwise(2)))
+    if scope is None:
+        extents = every.groupBy("_row").agg(*[
+            f(F.when(F.col("o_role") == role, F.col(f"o_{end}"))).alias(f"{name}_{end}")
+            for name, role in (("a", 1), ("b", 2)) for f, end in ((F.min, "start"), (F.max, "stop"))])
+        scopes = weak.select("_row", F.explode("_weak").alias("s"), F.lit(0).cast("bigint").alias("scope_start"),
+                             F.col("_size").alias("scope_stop"))
+
+        def met(name: str) -> Column:
+            return F.coalesce((F.col(f"{name}_start") < F.col("scope_stop"))
+                              & (F.col(f"{name}_stop") > F.col("scope_start")), F.lit(False))
+        return (scopes.join(extents, "_row").where(_needs(F.col("s.kind"), met("a"), met("b")))
+                .groupBy("_row").agg(F.array_sort(F.collect_list("s")).alias("_linked")))
+    every = every.withColumn("_bin", F.explode(F.sequence(
+        F.floor(F.col("o_start") / scope) - 1, F.floor(F.col("o_stop") / scope) + 1)))
     mine = (weak.select("_row", F.explode("_weak").alias("s"))
             .withColumn("_bin", F.explode(F.sequence(
                 F.floor(F.col("s.start") / scope), F.floor(F.col("s.stop") / scope)))))
@@ -174,15 +213,23 @@ def op8_secret_scan(spark, sf_dir):
 
 def _cut(spans: Column, t: Column, mask: str) -> Column:
     """The text with each span, or group of overlapping spans, replaced by ``mask``."""
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(spans, start, lambda acc, s: F.struct(
-        F.greatest(acc["at"], s["stop"]).alias("at"),
-        F.when(s["stop"] <= acc["at"], acc["out"])
-        .when(s["start"] < acc["at"], acc["out"])
-        .otherwise(F.concat(acc["out"], F.substring(t, (acc["at"] + 1).cast("int"),
-                                                    (s["start"] - acc["at"]).cast("int")),
-                            F.lit(mask))).alias("out")))
-    return F.concat(done["out"], F.substring(t, (done["at"] + 1).cast("int"), F.length(t)))
+    cuts = F.filter(_with_prefix(spans, lambda s: s["stop"], lambda x, y: F.greatest(x, y)),
+                    lambda p: p["item"]["start"] >= p["before"])
+
+    def sub(string: Column, at: Column, stop: Column) -> Column:
+        return F.substring(string, (at + 1).cast("int"), (stop - at).cast("int"))
+
+    def pieces(block: Column) -> Column:
+        # Cut from the block's own region: a substring is sought from the start of its string.
+        at = F.get(block, F.lit(0))["before"]
+        region = F.struct(at.alias("at"), sub(t, at, F.element_at(block, -1)["item"]["start"]).alias("text"))
+        return _bind(region, lambda r: F.transform(
+            block, lambda c: sub(r["text"], c["before"] - r["at"], c["item"]["start"] - r["at"])))
+
+    end = F.aggregate(spans, F.lit(0).cast("bigint"), lambda acc, s: F.greatest(acc, s["stop"]))
+    tail = F.substring(t, (end + 1).cast("int"), F.length(t))
+    cut = _bind(cuts, lambda cs: F.flatten(F.transform(_blocks(cs, CUT_BLOCK), pieces)))
+    return F.array_join(F.concat(cut, F.array(tail)), mask)
 
 
 def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]",
