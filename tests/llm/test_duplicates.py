@@ -53,7 +53,8 @@ def contained(docs, items, t=0.8):
     for i in sorted(sets):
         first.setdefault(frozenset(sets[i]), i)
     for d, text in docs:
-        s = set(shingles(text))
+        # An item of fewer than five words is one shingle, looked for at its own width.
+        s = set(shingles(text)).union(*[shingles(text, w) for w in range(1, 5)])
         for q, i in first.items():
             if q and len(q & s) >= t * len(q) - 1e-9:
                 out[(d, i)] = max(out.get((d, i), 0), len(q & s))
@@ -63,13 +64,15 @@ def contained(docs, items, t=0.8):
 def test_decontamination_equals_brute_force(spark):
     rng = random.Random(5)
     items = [(i, sentence(rng, rng.randrange(6, 60))) for i in range(30)]
-    items += [(90, items[0][1]), (91, None), (92, ""), (93, "two words"), (94, "!!")]
+    items += [(90, items[0][1]), (91, None), (92, ""), (93, "two words"), (94, "!!"),
+              (95, "Zebra"), (96, "one two three four"), (97, "two words")]
     docs = [(i, sentence(rng, rng.randrange(1, 300))) for i in range(60)]
     for j in range(60):
         item = rng.choice(items[:30])[1]
         docs.append((100 + j, f"{sentence(rng, 50)} {edited(rng, item, j % 5).upper()}, {sentence(rng, 400)}"))
     docs += [(7, items[3][1]), (None, items[4][1]), (300, "Two, words!"), (301, None), (302, ""),
-             (303, " ".join([items[5][1]] * 300)), (303, items[5][1])]
+             (303, " ".join([items[5][1]] * 300)), (303, items[5][1]), (304, "a zebra, and then two WORDS more"),
+             (305, "zebra"), (306, "one two three"), (307, "zero one two three four five"), (308, "words two zebras")]
     d = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, item_id int")
     b = spark.createDataFrame([(i, t, 2) for i, t in items], "item_id long, text string, doc_id int")
     expected = contained(docs, items)
@@ -77,6 +80,10 @@ def test_decontamination_equals_brute_force(spark):
         got = {(r["doc_id"], r["item_id"]): r["shared"]
                for r in decontam.contaminated(d, b, broadcast_rows=limit).collect()}
         assert got == expected
+    # Hot shingles only come last: a table where most are hot gives the same rows.
+    assert {(r["doc_id"], r["item_id"]) for r in
+            decontam.contaminated(d, b, hot_items=0).collect()} == set(expected)
+    assert {(304, 93), (304, 95), (305, 95), (307, 96)} <= set(expected)
     kept = decontam.decontaminate(d, b)
     assert kept.columns == d.columns
     bad = {x for x, _ in expected}

@@ -3,49 +3,70 @@ functions only)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tmweave.llm.common import free, SHINGLE_WORDS, SIMILARITY, saved, shingle_hashes, table
+from tmweave.llm.common import free, SHINGLE_WORDS, SIMILARITY, saved, shingle_hashes, table, word_hashes
 
 BROADCAST_ROWS = 2_000_000   # item shingles that may be sent to every executor (8 bytes each)
+HOT_ITEMS = 100              # a shingle of more items comes last in the MinHash order
 
 
 def item_shingles(items: DataFrame, item_id: str, text: str, k: int) -> DataFrame:
-    """``item``, ``h``, ``n``: the distinct shingles of every class of items with equal
-    shingle sets, under the class's least id, and their number."""
-    sets = (items.select(F.col(item_id).alias("item"),
+    """``item``, ``h``, ``n``, ``width``: the distinct shingles of every class of items with equal
+    shingle sets, under the class's least id, their number and their words.  An item of fewer
+    than ``k`` words is one shingle of that width."""
+    words = word_hashes(F.col(text))
+    sets = (items.select(F.col(item_id).alias("item"), F.least(F.size(words), F.lit(k)).alias("width"),
                          F.array_sort(F.array_distinct(shingle_hashes(F.col(text), k))).alias("s"))
             .where(F.size("s") > 0)
-            .groupBy("s").agg(F.min("item").alias("item")))
-    return sets.select("item", F.size("s").alias("n"), F.explode("s").alias("h"))
+            .groupBy("s").agg(F.min("item").alias("item"), F.min("width").alias("width")))
+    return sets.select("item", F.size("s").alias("n"), "width", F.explode("s").alias("h"))
 
 
-def sketches(shingles: DataFrame, threshold: float) -> DataFrame:
+def probes(text: Column, k: int, widths: list[int]) -> Column:
+    """Distinct shingles of a document: of ``k`` words, and of each shorter width in ``widths``."""
+    def short(h: Column, w: int) -> Column:
+        # The hash that ``shingle_hashes`` gives a whole text of w words.
+        return F.when(F.size(h) < w, F.array().cast("array<bigint>")).otherwise(
+            F.transform(F.sequence(F.lit(1), F.size(h) - w + 1),
+                        lambda i: F.xxhash64(F.slice(h, i, w), F.lit(w))))
+    long = shingle_hashes(text, k)
+    if not widths:
+        return F.array_distinct(long)
+    more = F.transform(F.array(word_hashes(text)), lambda h: F.concat(*[short(h, w) for w in widths]))[0]
+    return F.array_distinct(F.concat(long, more))
+
+
+def sketches(shingles: DataFrame, threshold: float, hot_items: int = HOT_ITEMS) -> DataFrame:
     """Bottom-k MinHash of every item, k by its size partition.
 
     A document that holds at least ``threshold`` of an item's n shingles lacks at most
     floor((1 - threshold) n) of them, so it holds one of any floor((1 - threshold) n) + 1.
     A partition takes the sizes from 2^c to 2^(c+1) - 1 and k for the largest of them:
-    no containment is missed.  Hashes shared by fewer items come first, then by value.
+    no containment is missed.  Shingles of more than ``hot_items`` items come behind all
+    others of an item, so a phrase that very many share makes candidates only of items that
+    hold little else.
     """
-    rare = shingles.groupBy("h").agg(F.count("*").alias("_items"))
+    hot = (shingles.groupBy("h").agg(F.count("*").alias("_items"))
+           .select("h", (F.col("_items") > hot_items).alias("_hot")))
     top = F.pow(F.lit(2.0), F.floor(F.log2("n")) + 1) - 1
     k = F.floor((1 - threshold) * top + 1e-9) + 1
-    order = Window.partitionBy("item").orderBy("_items", "h")
-    return (shingles.join(rare, "h").withColumn("_rank", F.row_number().over(order))
+    order = Window.partitionBy("item").orderBy("_hot", "h")
+    return (shingles.join(hot, "h").withColumn("_rank", F.row_number().over(order))
             .where(F.col("_rank") <= k).select("item", "h"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = SIMILARITY,
                  k: int = SHINGLE_WORDS, doc_id: str = "doc_id", item_id: str = "item_id",
-                 text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+                 text: str = "text", broadcast_rows: int = BROADCAST_ROWS,
+                 hot_items: int = HOT_ITEMS) -> DataFrame:
     """Documents that contain test items: ``doc_id``, ``item_id``, ``shared``, ``n_shingles``,
     ``containment`` (shared distinct shingles by those of the item, at least ``threshold``).
 
     Items with equal shingles are one class, shown by its least id.  Null, empty and
-    wordless texts match nothing; an item of fewer than ``k`` words is one shingle and
-    matches only a document of just these words.  Rows with equal doc_ids are judged
+    wordless texts match nothing; an item of fewer than ``k`` words is one shingle of its
+    width and is found inside longer texts too.  Rows with equal doc_ids are judged
     one by one and give one row per (doc_id, item_id), with the greatest containment; a
     null doc_id is kept as null.  Empty tables give an empty result; other columns
     are ignored.
@@ -58,14 +79,16 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = SIMILARIT
     keys = own.select("h").distinct()
     if own.count() <= broadcast_rows:
         keys = F.broadcast(keys)
+    # At most k - 1 numbers reach the driver: the widths of items shorter than a shingle.
+    widths = [r["width"] for r in own.where(F.col("width") < k).select("width").distinct().collect()]
     rows = docs.select(F.col(doc_id).alias("doc"), F.monotonically_increasing_id().alias("row"),
                        F.col(text).alias("t"))
     hits = saved(rows.select("doc", "row",
-                             F.explode(F.array_distinct(shingle_hashes(F.col("t"), k))).alias("h"))
+                             F.explode(probes(F.col("t"), k, sorted(widths))).alias("h"))
                  .join(keys, "h", "left_semi"), "bench-hits")
-    sketch = saved(sketches(own, threshold), "bench-sketch")
+    sketch = saved(sketches(own, threshold, hot_items), "bench-sketch")
     pairs = hits.join(sketch, "h").select("row", "item").distinct()
-    shared = (pairs.join(own, "item").join(hits, ["row", "h"])
+    shared = (pairs.join(own.drop("width"), "item").join(hits, ["row", "h"])
               .groupBy("doc", "row", "item", "n").agg(F.count("*").alias("shared"))
               .where(F.col("shared") >= threshold * F.col("n") - 1e-9))
     return (shared.groupBy("doc", "item").agg(F.max(F.struct("shared", "n")).alias("m"))
@@ -92,9 +115,9 @@ WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text,
                                       lambda w: w <> '') AS w FROM documents),
 b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'),
                                   lambda w: w <> '') AS w FROM benchmark),
-ds AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5
-         THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
-         ELSE [array_to_string(w, ' ')] END) AS s FROM d WHERE len(w) > 0),
+k AS (SELECT DISTINCT least(len(w), 5) AS k FROM b WHERE len(w) > 0),
+ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - k + 2),
+                                      lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s FROM d, k),
 bs AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) >= 5
          THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
          ELSE [array_to_string(w, ' ')] END) AS s FROM b WHERE len(w) > 0),
