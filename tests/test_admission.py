@@ -129,3 +129,39 @@ def test_default_timestamp_is_fixed_per_call(spark):
     assert dt.datetime.strptime(first, "%Y-%m-%dT%H:%M:%S.%fZ")
     fixed = A.admit_uploads(up, m, timestamp=dt.datetime(2024, 5, 1, 12, 30, 1, 250000))[0]
     assert json.loads(fixed.first()["request"])["timestamp"] == "2024-05-01T12:30:01.250Z"
+
+
+def test_metadata_as_of_equals_a_loop(spark):
+    import random
+
+    from tmweave.sources.uploads import attach_metadata_as_of
+
+    rng = random.Random(7)
+    # One object holds most rows; times repeat, also between uploads and versions.
+    keys = ["hot"] * 8 + ["a", "b", None]
+    types = ["text/plain", "image/png", None]
+    ups = [(i, "x", rng.choice(keys), rng.choice([None, *range(60)]), "old") for i in range(600)]
+    ups += [ups[0], ups[1]]
+    vers = [("x", rng.choice(keys), rng.choice([None, *range(0, 60, 3)]), rng.choice(types)) for _ in range(40)]
+
+    def at(key, t):
+        held = [(m, c or "", c) for _, k, m, c in vers if None not in (key, t, k, m) and k == key and m <= t]
+        return max(held)[2] if held else None
+    u = spark.createDataFrame(ups, "i int, bucket string, key string, event_time int, content_type string")
+    v = spark.createDataFrame(vers, "bucket string, key string, modified_at int, content_type string")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions",
+                                             "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        # Twelve ranges: the hot object spans several.
+        for c, x in zip(before, ("12", "false")):
+            spark.conf.set(c, x)
+        got = attach_metadata_as_of(u, v)
+        assert got.columns == ["i", "bucket", "key", "event_time", "content_type"]
+        rows = got.collect()
+        assert attach_metadata_as_of(u, v.limit(0)).where("content_type is not null").count() == 0
+        assert attach_metadata_as_of(u.limit(0), v).count() == 0
+    finally:
+        for c, x in before.items():
+            spark.conf.set(c, x)
+    assert sorted(map(str, rows)) == sorted(
+        str(type(rows[0])(i=i, bucket=b, key=k, event_time=t, content_type=at(k, t))) for i, b, k, t, _ in ups)

@@ -201,3 +201,35 @@ def test_combine_counts_from_the_sections_and_gives_up_late_documents(spark, tmp
     finally:
         q.stop()
     assert got == {1: (None, 1, 2, False), 2: ("x\n\ny", 2, 2, True)}
+
+
+def test_late_metadata_admit_and_silence_rejects(spark, tmpdir_path):
+    from tmweave.streaming import read_admissions, stream_admission_live
+
+    up, meta = "bucket string, raw_key string, event_time timestamp", \
+        "bucket string, key string, content_type string, modified_at timestamp"
+
+    def run(uploads, metadata):
+        for name, rows, schema in (("up", uploads, up), ("meta", metadata, meta)):
+            times = spark.createDataFrame([(i, f"2024-01-01 {r[-1]}") for i, r in enumerate(rows)], "i int, t string")
+            cols = [c.split()[0] for c in schema.split(", ")]
+            df = spark.createDataFrame([(i, *r[:-1]) for i, r in enumerate(rows)],
+                                       "i int, " + schema.rsplit(",", 1)[0])
+            df.join(times, "i").withColumn(cols[-1], F.to_timestamp("t")).select(*cols) \
+                .write.mode("append").parquet(f"{tmpdir_path}/{name}")
+        q = stream_admission_live(spark.readStream.schema(up).parquet(f"{tmpdir_path}/up"),
+                                  spark.readStream.schema(meta).parquet(f"{tmpdir_path}/meta"),
+                                  f"{tmpdir_path}/out", f"{tmpdir_path}/ckpt", timestamp="t")
+        run_available_now(q, 300)
+        return {r["raw_key"]: (r["admitted"], r["content_type"])
+                for r in read_admissions(spark, f"{tmpdir_path}/out").collect()} if q.recentProgress else {}
+
+    first = run([("b", "late.txt", "10:00:00"), ("b", "never.txt", "10:00:01"), ("b", "twice.txt", "10:00:02"),
+                 ("b", "bad%zz", "10:00:03")],
+                [("b", "other.txt", "text/plain", "10:00:00")])
+    assert first == {}
+    second = run([], [("b", "late.txt", "text/plain", "10:05:00"), ("b", "twice.txt", "image/png", "10:05:00"),
+                      ("b", "twice.txt", "text/plain", "10:06:00"), ("b", "never.txt", "text/plain", "12:30:00")])
+    assert second == {"late.txt": (True, "text/plain"), "twice.txt": (True, "text/plain")}
+    third = run([("b", "end", "18:00:00")], [("b", "end2", "x", "18:00:00")])
+    assert third == second | {"never.txt": (False, None), "bad%zz": (False, None)}

@@ -152,7 +152,12 @@ def admission_outcomes(uploads: DataFrame, manifest: DataFrame, *, timestamp=Non
     admitted, its execution ``request`` (the form streaming sinks append)."""
     from tmweave.sources.uploads import attach_object_metadata
 
-    with_ct = attach_object_metadata(decode_keys(uploads), manifest)
+    return judged(attach_object_metadata(decode_keys(uploads), manifest), timestamp=timestamp,
+                  exclude_outputs=exclude_outputs)
+
+
+def judged(with_ct: DataFrame, *, timestamp=None, exclude_outputs: bool = True) -> DataFrame:
+    """``admitted``, ``reason`` and ``request`` of decoded uploads that carry their content type."""
     tagged = with_ct.withColumn("reason", rejection_reason(with_ct, exclude_outputs))
     ok = F.col("reason").isNull()
     return (execution_request(tagged, timestamp)

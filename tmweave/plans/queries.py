@@ -298,6 +298,25 @@ def admit_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "request")
 
 
+@register("metadata_as_of", """
+WITH v AS (SELECT user_id, ts, max(CASE event_id % 4 WHEN 0 THEN 'text/plain' WHEN 1 THEN 'image/png'
+                                                     WHEN 2 THEN 'application/pdf' END) AS content_type
+           FROM events WHERE event_type IN ('signup', 'purchase') GROUP BY ALL)
+SELECT u.event_id, 'uploads/' || CAST(u.user_id AS VARCHAR) AS key, v.content_type,
+       coalesce(v.content_type <> 'image/png', false) AS admitted
+FROM (SELECT * FROM events WHERE event_type = 'click') u
+     ASOF LEFT JOIN v ON u.user_id = v.user_id AND u.ts >= v.ts
+""")
+def metadata_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uploads of objects that are overwritten several times, judged by the content
+    type of their time."""
+    from tmweave.sources.uploads import attach_metadata_as_of
+
+    out = attach_metadata_as_of(*T.object_versions(spark, sf_dir))
+    return out.select("event_id", "key", "content_type",
+                      A.content_type_accepted("content_type").alias("admitted"))
+
+
 # --------------------------------------------------------------------------- sections
 @register("split_sections", """
 SELECT doc_id AS document_id,
@@ -808,6 +827,30 @@ def stream_admission_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out").select(*_ADMIT_COLS)
 
 
+@register("stream_admission_live", ORACLE_SQL["admit_documents"])
+def stream_admission_live_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R1 with metadata as a stream: it arrives in the batch after the uploads.  A last upload and
+    metadata row, ten years on, move both streams past all others."""
+    from tmweave.streaming import read_admissions, run_available_now, stream_admission_live
+
+    base = scratch_path(spark, "stream-admission-live")
+    ups, meta = T.timed_uploads(spark, sf_dir)
+    later = F.timestamp_seconds(F.lit(2_019_600_000))
+    end = spark.range(1)
+    last_up = end.select(F.lit("end").alias("bucket"), F.lit("end").alias("raw_key"), later.alias("event_time"))
+    last_meta = end.select(F.lit("end").alias("bucket"), F.lit("").alias("key"),
+                           F.lit(None).cast("string").alias("content_type"), later.alias("modified_at"))
+    for batch in ({"uploads": ups, "metadata": meta.limit(0)}, {"metadata": meta},
+                  {"uploads": last_up, "metadata": last_meta}):
+        for name, rows in batch.items():
+            rows.write.mode("append").parquet(f"{base}/{name}")
+        run_available_now(stream_admission_live(
+            spark.readStream.schema(ups.schema).parquet(f"{base}/uploads"),
+            spark.readStream.schema(meta.schema).parquet(f"{base}/metadata"),
+            f"{base}/out", f"{base}/checkpoint", timestamp=ADMIT_TIMESTAMP))
+    return read_admissions(spark, f"{base}/out").where("bucket <> 'end'").select(*_ADMIT_COLS)
+
+
 @register("stream_combine", ORACLE_SQL["combine_documents"])
 def stream_combine_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation sections streamed through the stateful fan-in combine."""

@@ -138,6 +138,35 @@ def upload_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_m.filter(F.col("content_type").isNotNull()).unionByName(docs)
 
 
+def object_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``events`` as uploads (clicks) and as writes of objects (signups and purchases); the object
+    is the user's, written several times, with a content type by the event id."""
+    e = table(spark, sf_dir, "events")
+    obj = [F.lit(DOCUMENTS_BUCKET).alias("bucket"),
+           F.concat(F.lit("uploads/"), F.col("user_id").cast("string")).alias("key")]
+    kind = F.col("event_id") % 4
+    ctype = (F.when(kind == 0, "text/plain").when(kind == 1, "image/png").when(kind == 2, "application/pdf"))
+    ups = e.where("event_type = 'click'").select("event_id", *obj, F.col("ts").alias("event_time"))
+    return ups, e.where("event_type in ('signup', 'purchase')").select(
+        *obj, F.col("ts").alias("modified_at"), ctype.alias("content_type"))
+
+
+def timed_uploads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The uploads of ``page_uploads`` and ``document_objects``, one a second, and the metadata
+    events of those that ``upload_manifest`` lists, half a minute behind."""
+    def at(i, seconds=0):
+        return F.timestamp_seconds(F.lit(1_704_067_200 + seconds) + i)
+    pages = page_uploads(spark, sf_dir).select("bucket", "raw_key", F.col("page_id").alias("i"))
+    docs = document_objects(spark, sf_dir).select(
+        "bucket", "raw_key", F.regexp_extract("raw_key", r"(\d+)", 1).cast("bigint").alias("i"))
+    ups = pages.union(docs)
+    listed = ups.withColumnRenamed("raw_key", "key").join(
+        upload_manifest(spark, sf_dir).groupBy("bucket", "key").agg(F.max("content_type").alias("content_type")),
+        ["bucket", "key"])
+    return (ups.select("bucket", "raw_key", at(F.col("i")).alias("event_time")),
+            listed.select("bucket", "key", "content_type", at(F.col("i"), 30).alias("modified_at")))
+
+
 def tm_from_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A translation memory from ``embeddings`` (vectors, stored score
     ``label / 10``) with the text of the document of the same id as translation

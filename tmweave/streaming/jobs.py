@@ -9,12 +9,12 @@ from contextlib import contextmanager
 from decimal import ROUND_HALF_UP, Decimal, localcontext
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tmweave.operators.admission import admission_outcomes
+from tmweave.operators.admission import admission_outcomes, decode_keys, judged
 from tmweave.operators.combine import SECTION_SEPARATOR
 
 
@@ -63,6 +63,44 @@ def stream_admission_from_events(events: DataFrame, documents_bucket: str,
                             available_now=available_now)
 
 
+def stream_admission_live(uploads: DataFrame, metadata: DataFrame, sink_path: str, checkpoint: str, *,
+                          wait: str = "1 hour", timestamp=None,
+                          available_now: bool = True) -> StreamingQuery:
+    """R1 with a living manifest: uploads and object metadata are both streams.
+
+    ``uploads`` has bucket, raw_key and ``event_time``, ``metadata`` bucket, key, content_type and
+    ``modified_at`` (timestamps).  Metadata belong to an upload of their object if modified
+    within ``wait`` before or after it.  An upload is judged when they arrive, batches later
+    too; without any it is rejected when both streams have passed its time by ``wait``
+    (the watermark), and only then, so late metadata admit what a lookup at arrival would have
+    turned away.  Rows more than ``wait`` behind their stream's newest may be dropped as too late.
+    State holds the rows of about that time alone; no batch reads earlier files.  A run that ends
+    (``available_now``) moves the watermark only if both streams have new rows in it, as
+    Spark keeps no watermark of a single stream between runs.
+
+    An upload that meets several versions has a row for each; ``read_admissions`` gives one.
+    """
+    ts = F.current_timestamp() if timestamp is None else timestamp
+    ups = decode_keys(uploads.withWatermark("event_time", wait)).alias("u")
+    meta = (metadata.select("bucket", "key", "content_type", "modified_at")
+            .withWatermark("modified_at", wait).alias("m"))
+    near = F.expr(f"m.modified_at between u.event_time - interval {wait} and u.event_time + interval {wait}")
+    same = (F.col("u.bucket") == F.col("m.bucket")) & (F.col("u.key") == F.col("m.key"))
+    both = ups.join(meta, same & near, "left").select("u.*", "m.content_type", "m.modified_at")
+    with _rocksdb(uploads.sparkSession):
+        return _start(judged(both, timestamp=ts), sink_path, checkpoint, available_now)
+
+
+def read_admissions(spark: SparkSession, path: str) -> DataFrame:
+    """The outcomes of ``stream_admission_live``, one per upload (bucket, raw_key, event_time):
+    the one by the metadata modified last (then the greatest content type)."""
+    rows = spark.read.parquet(path)
+    key = ["bucket", "raw_key", "event_time"]
+    rest = F.struct(*[c for c in rows.columns if c not in key])
+    return (rows.groupBy(*key).agg(F.max_by(rest, F.struct("modified_at", "content_type")).alias("r"))
+            .select(*key, "r.*"))
+
+
 def stream_tmx(files: DataFrame, tm_path: str, checkpoint: str, *, embedder=None,
                embed_target: bool = False, errors_path: str | None = None,
                available_now: bool = True) -> StreamingQuery:
