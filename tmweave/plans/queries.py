@@ -21,10 +21,12 @@ from tmweave.operators.sections import split_sections
 from tmweave.functions.text import PROMPT_TEMPLATE, model_request
 from tmweave.operators.retrieval import retrieval_context, tm_search_side
 from tmweave.operators.tm_index import build_index, probes_for, search_index
-from tmweave.operators.translate import EchoCompleter, RejectingCompleter, with_prompts
+from tmweave.operators.ledger import complete_once
+from tmweave.operators.translate import with_prompts
 from tmweave.operators.vectors import embed_text, topk_cosine
 from tmweave.plans import composites as P
 from tmweave.plans import tables as T
+from tmweave.plans.models import EchoCompleter, RejectingCompleter, SigningCompleter
 from tmweave.session import scratch_path
 from tmweave.sinks.tables import read_runs, start_executions, write_outbox
 
@@ -593,6 +595,33 @@ def translate_with_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return published.union(failed)
 
 
+@register("answers_ledger", """
+WITH secs AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS section FROM documents)
+SELECT section, count(*) AS occurrences, 1 AS answers,
+       bool_or(coalesce(lang = 'en', false)) AS answered_before, true AS own_answer
+FROM secs WHERE section IS NOT NULL GROUP BY section
+""")
+def answers_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U2-U4 with a ledger: the English documents' sections are asked first, then those of all
+    documents, by a model that never answers twice alike.  Each distinct text has one answer;
+    ``answered_before`` says that the second run took it from the ledger."""
+    docs = T.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text", "lang")
+    ledger = scratch_path(spark, "ledger") + "/answers"
+
+    def ask(rows: DataFrame) -> DataFrame:
+        sections = split_sections(rows, "\n").withColumnRenamed("section", "prompt")
+        return complete_once(sections, SigningCompleter(), ledger, "signing", document="document_id",
+                             partitions=8, rounds=2)
+    first = ask(docs.where("lang = 'en'")).groupBy("translated_text").agg(F.lit(True).alias("before"))
+    again = ask(docs).groupBy("prompt").agg(
+        F.count(F.lit(1)).alias("occurrences"), F.countDistinct("translated_text").cast("int").alias("answers"),
+        F.min("translated_text").alias("translated_text"))
+    return again.join(first, "translated_text", "left").select(
+        F.col("prompt").alias("section"), "occurrences", "answers",
+        F.coalesce("before", F.lit(False)).alias("answered_before"),
+        (F.substring("translated_text", 34, 1 << 30) == F.col("prompt")).alias("own_answer"))
+
+
 # --------------------------------------------------------------------------- notify
 _SENDER = "test@example.com"
 _NOTE_FIELDS = dict(document_id="conv_id", source_language="'en'", target_language="'es'",
