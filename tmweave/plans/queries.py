@@ -26,7 +26,7 @@ from tmweave.operators.translate import with_prompts
 from tmweave.operators.vectors import embed_text, topk_cosine
 from tmweave.plans import composites as P
 from tmweave.plans import tables as T
-from tmweave.plans.models import EchoCompleter, RejectingCompleter, SigningCompleter
+from tmweave.plans.models import EchoCompleter, RejectingCompleter, SigningCompleter, SizeEmbedder
 from tmweave.session import scratch_path
 from tmweave.sinks.tables import read_runs, start_executions, write_outbox
 
@@ -180,6 +180,18 @@ def route_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routed.select("event_id", "route", "bucket", "raw_key", "event_name", "event_time")
 
 
+@register("audit_files", ORACLE_SQL["route_uploads"])
+def audit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S2 + F1: the audit events written as JSON files, read back and routed."""
+    from tmweave.sources.uploads import read_audit_events
+
+    path = scratch_path(spark, "audit") + "/events"
+    T.events_as_audit_events(spark, sf_dir).drop("event_id").write.json(path)
+    routed = A.route_uploads(read_audit_events(spark, path), {"documents": T.DOCUMENTS_BUCKET, "tmx": T.TMX_BUCKET})
+    event = F.regexp_extract("raw_key", r"/(\d+)\.txt$", 1).cast("bigint")
+    return routed.select(event.alias("event_id"), "route", "bucket", "raw_key", "event_name", "event_time")
+
+
 _PAGE_KEYS = """
 pk AS (
   SELECT page_id,
@@ -201,6 +213,26 @@ def decode_object_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "bucket", "key", "document_id")
 
 
+@register("decode_escaped_keys", """
+SELECT page_id, CASE WHEN page_id % 4 < 3 THEN 'up loads/' || page_id || CASE page_id % 4
+           WHEN 0 THEN '/a b+c.v1.txt' WHEN 1 THEN '/caf' || chr(233) || '/50%.txt' ELSE '/.txt' END END AS key,
+       CASE page_id % 4 WHEN 0 THEN 'a b+c' WHEN 1 THEN '50%' WHEN 2 THEN 'unknown' ELSE 'unknown' END AS document_id,
+       CASE WHEN page_id % 4 = 3 THEN 'URI malformed' END AS reason
+FROM pages
+""")
+def decode_escaped_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys with plus signs, escapes of one and two bytes, an empty stem and a broken
+    escape, which is set apart with its reason; both frames of ``admit``."""
+    n, kind = F.col("page_id").cast("string"), F.col("page_id") % 4
+    tail = (F.when(kind == 0, "/a+b%2Bc.v1.txt").when(kind == 1, "/caf%C3%A9/50%25.txt")
+            .when(kind == 2, "/.txt").otherwise("/50%zz.txt"))
+    pages = T.table(spark, sf_dir, "pages").select(
+        "page_id", F.concat(F.lit("up+loads/"), n, tail).alias("raw_key"), F.lit("text/plain").alias("content_type"))
+    admitted, rejected = A.admit(A.decode_keys(pages))
+    return (admitted.withColumn("reason", F.lit(None).cast("string")).unionByName(rejected)
+            .select("page_id", "key", "document_id", "reason"))
+
+
 @register("upload_notifications", "WITH " + _PAGE_KEYS + """
 , recs AS (
   SELECT page_id, 0 AS record_pos, bucket, raw_key, 'ObjectCreated:Put' AS event_name,
@@ -466,6 +498,40 @@ def topk_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("fewer_cells", F.lit(probes < len(index.centres)))
 
 
+@register("pairwise_cosine", """
+SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) + 1.0, 6) AS score
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1
+""")
+def pairwise_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1: the stored-score form of the cosine, of each vector and the next."""
+    from tmweave.functions.vectors import cosine_plus_one
+
+    e = T.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    return e.join(nxt, "vec_id").select("vec_id", F.round(cosine_plus_one("embedding", "next"), 6).alias("score"))
+
+
+@register("embedding_replies", """
+SELECT item_id, CAST([length(text), item_id * 0.5, -1] AS DOUBLE[]) AS embedding,
+       CASE item_id % 3 WHEN 0 THEN 'model-' || item_id ELSE 'amazon.titan-embed-text-v1' END AS model
+FROM benchmark
+""")
+def embedding_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON replies of an embedding model plugged into ``embed_text``, and the
+    model id: configured for every third item, else empty or missing."""
+    from tmweave.config import DEFAULT_EMBEDDING_MODEL
+    from tmweave.functions.text import parse_embedding, resolve_model
+
+    b = T.table(spark, sf_dir, "benchmark").select("item_id", "text")
+    asked = embed_text(b.select("item_id", F.concat_ws("|", F.col("item_id").cast("string"), "text").alias("text")),
+                       "text", SizeEmbedder())
+    kind = F.col("item_id") % 3
+    given = F.when(kind == 0, F.concat(F.lit("model-"), F.col("item_id").cast("string"))).when(kind == 1, "")
+    reply = F.to_json(F.struct("embedding"))
+    return asked.select("item_id", parse_embedding(reply).alias("embedding"),
+                        resolve_model(given, DEFAULT_EMBEDDING_MODEL).alias("model"))
+
+
 # --------------------------------------------------------------------------- retrieval
 @register("retrieval_context", "WITH " + _TM_CTE + """,
 qv AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),""" + _SEARCH_CTES + """
@@ -820,18 +886,22 @@ SELECT p.source_lang, p.target_lang, p.source_text, p.translation,
 FROM tmp p LEFT JOIN qv ON qv.qid = p.source_text
 """)
 def ingest_tm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C2 + K1: pairs embedded and appended to a TM store, then read back.
-    Appending the same pairs a second time adds nothing."""
-    from tmweave.session import scratch_path
-    from tmweave.sinks.tables import write_tm
+    """C2 + K1: TMX files of every other unit ingested into a TM store, then files of all units, half
+    of them known by then; read back by S6."""
+    from tmweave.sources.tables import read_tm
 
-    recs = X.tm_records(conversation_units(spark, sf_dir).drop("conv_id", "turn"))
-    path = scratch_path(spark, "tm")
-    write_tm(recs, path)
-    write_tm(recs, path)
-    tm = spark.read.parquet(path)
-    return tm.select("source_lang", "target_lang", "source_text", "translation", "score",
-                     F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+    c = T.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next_text"))
+    units = c.join(nxt, ["conv_id", "turn"]).select(
+        "turn", X.tu_xml(F.lit("en-us"), F.lit("es-es"), "text", "next_text").alias("value"))
+    base = scratch_path(spark, "ingest")
+    T.write_tmx_documents(units.where(F.col("turn") % 2 == 0), f"{base}/half")
+    T.write_tmx_documents(units, f"{base}/all")
+    for folder in ("half", "all"):
+        P.ingest_tmx(spark, f"{base}/{folder}", f"{base}/tm")
+    return read_tm(spark, f"{base}/tm").select(
+        "source_lang", "target_lang", "source_text", "translation", "score",
+        F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
 
 
 # --------------------------------------------------------------------------- streaming

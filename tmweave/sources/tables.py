@@ -14,7 +14,7 @@ def read_documents(spark: SparkSession, path: str, *, fmt: str = "parquet",
     """Documents to translate.
 
     ``parquet``: a table with at least ``document_id`` and ``text``.
-    ``text``: one document per file (``wholetext``), ``original_key`` = file path
+    ``text``: one document per file (``wholetext``), ``original_key`` = file path (decoded)
     and ``document_id`` derived from the file name as admission does.
     """
     r = spark.readStream if streaming else spark.read
@@ -23,10 +23,10 @@ def read_documents(spark: SparkSession, path: str, *, fmt: str = "parquet",
     if fmt != "text":
         raise ValueError(fmt)
     df = r.text(path, wholetext=True)
-    return df.select(
-        document_id(F.col("_metadata.file_path")).alias("document_id"),
-        F.col("value").alias("text"),
-        F.col("_metadata.file_path").alias("original_key"))
+    # The path is a URI, in which a plus sign stands for itself.
+    path = F.try_url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return df.select(document_id(path).alias("document_id"), F.col("value").alias("text"),
+                     path.alias("original_key"))
 
 
 def read_tm(spark: SparkSession, path: str) -> DataFrame:

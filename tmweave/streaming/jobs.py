@@ -114,7 +114,7 @@ def stream_tmx(files: DataFrame, tm_path: str, checkpoint: str, *, embedder=None
     overwrites.
     """
     from tmweave.operators.tmx import pair_segments, tm_records, tmx_errors
-    from tmweave.sinks.tables import new_pairs, write_tm
+    from tmweave.sinks.tables import append_tm, new_pairs
     from tmweave.sources.tmx import file_errors, tmx_units
 
     def batch(df: DataFrame, epoch: int) -> None:
@@ -129,7 +129,7 @@ def stream_tmx(files: DataFrame, tm_path: str, checkpoint: str, *, embedder=None
         for r in rejected:
             pairs = pairs.join(r, "file_path", "left_anti")
         ok = new_pairs(pairs.filter(F.col("error").isNull()), tm_path)
-        write_tm(tm_records(ok, embed_target=embed_target, embedder=embedder), tm_path)
+        append_tm(tm_records(ok, embed_target=embed_target, embedder=embedder), tm_path)
 
     w = files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     if available_now:
