@@ -58,3 +58,31 @@ def test_runs_replace_themselves_and_show_when_committed(spark, tmpdir_path):
     one.selectExpr("n + 9 as n", "'8' as run", "'x' as attempt").write.mode("append") \
         .partitionBy("attempt").parquet(f"{path}/rows")
     assert sorted(tuple(r) for r in read_runs(spark, path).select("run", "n").collect()) == [("007", 2), ("8", 1)]
+
+
+def test_only_the_batch_languages_of_the_store_are_read(spark, tmpdir_path):
+    from tmweave.sinks.tables import new_pairs
+
+    out = os.path.join(tmpdir_path, "tm")
+    schema = "source_lang string, target_lang string, source_text string, target_text string, error string"
+    rows = [("en", "es", "a", "b", None), ("en", "fr", "a", "b", None), (None, "es", "a", "b", None),
+            ("", "es", "a", "b", None)]
+    write_tm(tm_records(spark.createDataFrame(rows, schema)), out)
+    batch = spark.createDataFrame([*rows[2:], ("en", "es", "a", "b", None), ("en", "es", "a", "c", None),
+                                   ("de", "es", "a", "b", None)], schema)
+    new = new_pairs(batch, out)
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r[0] or "", r[3]) for r in new.collect()) == [("de", "b"), ("en", "c")]
+    # One scan of the store, with a filter on its partitions.
+    scans = [x for x in plan.split("FileScan parquet")[1:] if "tm_id" in x.split("]")[0]]
+    assert len(scans) == 1, plan
+    assert "source_lang" in scans[0].split("PartitionFilters: [")[1].split("PushedFilters")[0], plan
+
+
+def test_text_documents_keep_their_names(spark, tmpdir_path):
+    d = os.path.join(tmpdir_path, "docs")
+    os.makedirs(d)
+    with open(os.path.join(d, "a b+c 50%.txt"), "w") as f:
+        f.write("x")
+    r = read_documents(spark, d, fmt="text").first()
+    assert r["document_id"] == "a b+c 50%" and r["original_key"].endswith("/a b+c 50%.txt")
