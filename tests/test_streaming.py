@@ -233,3 +233,22 @@ def test_late_metadata_admit_and_silence_rejects(spark, tmpdir_path):
     assert second == {"late.txt": (True, "text/plain"), "twice.txt": (True, "text/plain")}
     third = run([("b", "end", "18:00:00")], [("b", "end2", "x", "18:00:00")])
     assert third == second | {"never.txt": (False, None), "bad%zz": (False, None)}
+
+
+def _folder_tables(spark, path):
+    """Small tables, each a folder of two part files."""
+    rows = {"documents": ("doc_id long, text string, lang string", [(1, "a", "en"), (2, "b", "es"), (3, None, None)]),
+            "pages": ("page_id long, url string", [(1, "http://h/x.html"), (2, "http://h/x%20y/"), (3, None)]),
+            "conversations": ("conv_id long, turn int, role string, text string",
+                              [(1, 0, "u", "hi"), (1, 1, "a", "there"), (2, 0, "u", None)])}
+    for name, (schema, values) in rows.items():
+        spark.createDataFrame(values, schema).repartition(2).write.parquet(f"{path}/{name}.parquet")
+    return path
+
+
+def test_stream_admission_reads_tables_of_several_files(spark, tmpdir_path):
+    from tmweave.plans.queries import QUERIES
+
+    sf = _folder_tables(spark, tmpdir_path)
+    got, want = (sorted(map(repr, QUERIES[n](spark, sf).collect())) for n in ("stream_admission", "admit_documents"))
+    assert got == want and len(got) == 6

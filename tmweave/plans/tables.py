@@ -16,10 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A sample table as a streaming file source (its folder, this file only)."""
+    """A sample table as a streaming file source, be it one file or a folder of part files.
+
+    The glob matches just that name: a stream takes a path without one for a folder."""
     schema = table(spark, sf_dir, name).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .parquet(sf_dir))
+    return spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/[{name[0]}]{name[1:]}.parquet")
 
 
 def conversation_sections(spark: SparkSession, sf_dir: str,
