@@ -252,3 +252,11 @@ def test_stream_admission_reads_tables_of_several_files(spark, tmpdir_path):
     sf = _folder_tables(spark, tmpdir_path)
     got, want = (sorted(map(repr, QUERIES[n](spark, sf).collect())) for n in ("stream_admission", "admit_documents"))
     assert got == want and len(got) == 6
+
+
+def test_stream_combine_reads_tables_of_several_files(spark, tmpdir_path):
+    from tmweave.plans.queries import QUERIES
+
+    sf = _folder_tables(spark, tmpdir_path)
+    got, want = (sorted(map(repr, QUERIES[n](spark, sf).collect())) for n in ("stream_combine", "combine_documents"))
+    assert got == want and len(got) == 2
