@@ -6,6 +6,7 @@ statement over the same parquet tables; output column names match.
 
 from __future__ import annotations
 
+import math
 import warnings
 from collections.abc import Callable
 
@@ -23,7 +24,7 @@ from tmweave.operators.retrieval import retrieval_context, tm_search_side
 from tmweave.operators.tm_index import build_index, probes_for, search_index
 from tmweave.operators.ledger import complete_once
 from tmweave.operators.translate import with_prompts
-from tmweave.operators.vectors import embed_text, topk_cosine
+from tmweave.operators.vectors import DEFAULT_BLOCK_ROWS, embed_text, topk_cosine
 from tmweave.plans import composites as P
 from tmweave.plans import tables as T
 from tmweave.plans.models import EchoCompleter, RejectingCompleter, SigningCompleter, SizeEmbedder
@@ -488,10 +489,11 @@ def topk_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     number of probes is estimated for a recall of 0.95; ``recall_reached`` says that 0.9 was."""
     e = T.table(spark, sf_dir, "embeddings")
     q = e.select(F.col("vec_id").alias("query_id"), "embedding")
-    index = build_index(e, tm_id="vec_id", blocks=4)
+    # A task holds a block: no more records than a block of the exact search.
+    index = build_index(e, tm_id="vec_id", blocks=max(4, math.ceil(e.count() / DEFAULT_BLOCK_ROWS)))
     probes = probes_for(index, q, 5, 0.95)
     near = search_index(q, index, 5, probes=probes).select("query_id", "tm_id", F.lit(1).alias("hit"))
-    exact = topk_cosine(q, e, 5, tm_id="vec_id", tm_blocks=1)
+    exact = topk_cosine(q, e, 5, tm_id="vec_id")
     found = exact.join(near, ["query_id", "tm_id"], "left")
     return found.agg(F.countDistinct("query_id").alias("queries"), F.count(F.lit(1)).alias("true_hits"),
                      (F.sum("hit") >= 0.9 * F.count(F.lit(1))).alias("recall_reached")) \
