@@ -260,3 +260,16 @@ def test_stream_combine_reads_tables_of_several_files(spark, tmpdir_path):
     sf = _folder_tables(spark, tmpdir_path)
     got, want = (sorted(map(repr, QUERIES[n](spark, sf).collect())) for n in ("stream_combine", "combine_documents"))
     assert got == want and len(got) == 2
+
+
+def test_stream_combine_of_null_conversations_and_of_none(spark, tmpdir_path):
+    from tmweave.plans.queries import QUERIES
+
+    schema = "conv_id long, turn int, role string, text string"
+    rows = [(None, 0, "u", "lost"), (None, 1, "a", "found"), (7, 0, "u", "hi")]
+    for name, some in (("null", rows), ("none", [])):
+        spark.createDataFrame(some, schema).write.parquet(f"{tmpdir_path}/{name}/conversations.parquet")
+    got = {r["document_id"]: (r["output_key"], r["body"], r["sections"])
+           for r in QUERIES["stream_combine"](spark, f"{tmpdir_path}/null").collect()}
+    assert got == {None: (None, "lost\n\nfound", 2), 7: ("translated/7_es.txt", "hi", 1)}
+    assert QUERIES["stream_combine"](spark, f"{tmpdir_path}/none").collect() == []

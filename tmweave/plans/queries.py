@@ -968,9 +968,12 @@ def stream_combine_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch_path(spark, "stream-combine")
     q = stream_combine(sections, expected, f"{base}/out", f"{base}/checkpoint")
     run_available_now(q)
-    done = spark.read.parquet(f"{base}/out")
+    # With a schema: a stream without rows writes no file to take it from.
+    id_type = sections.schema["document_id"].dataType.simpleString()
+    done = (spark.read.schema(f"document_id {id_type}, body string, confidence double, sections long")
+            .parquet(f"{base}/out").withColumnRenamed("document_id", "_document"))
     docs = T.conversation_documents(T.conversation_sections(spark, sf_dir))
-    out = with_output_fields(docs.join(done, "document_id"))
+    out = with_output_fields(docs.join(done, F.col("document_id").eqNullSafe(F.col("_document"))))
     return out.select("document_id", "output_key", "body",
                       F.round("confidence", 6).alias("confidence"), "sections")
 

@@ -265,7 +265,10 @@ def stream_combine(sections: DataFrame, expected: DataFrame | None, sink_path: s
     id_type = sections.schema["document_id"].dataType.simpleString()
     rows = sections
     if expected is not None and not expected.isStreaming:
-        rows = rows.join(expected, "document_id", "left").withColumn("expected", F.when(
+        # Null-safe: an id that is null in both is a document like any other.
+        count = expected.select(F.col("document_id").alias("_document"), "expected")
+        rows = rows.join(count, F.col("document_id").eqNullSafe(F.col("_document")), "left").drop("_document")
+        rows = rows.withColumn("expected", F.when(
             F.col("expected").isNull(), F.raise_error(F.concat(
                 F.lit("no expected section count for document "),
                 F.coalesce(F.col("document_id").cast("string"), F.lit("null")))))
