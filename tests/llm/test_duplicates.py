@@ -192,3 +192,30 @@ def test_vectors_equal_brute_force(spark):
         assert [got[n + i]["n_links"] for i in range(8)] == [0] * 6 + [1, 1]
         assert got[n + 7]["component_id"] == n + 6 and not got[n + 7]["kept"]
     assert vectors_dup.near_vectors(d.limit(0)).count() == 0
+
+
+def test_shingle_sets_are_those_of_each_text():
+    rng = random.Random(3)
+    texts = [None, "", " .", "a", "A a", "a b c d", "a b c d e", "é b " * 40] + [
+        " ".join(rng.choice("abcd") for _ in range(rng.randrange(60))) for _ in range(50)]
+    vocabulary = near_dup._Vocabulary()
+    sizes, hashes, counts = near_dup.shingle_sets(texts, vocabulary, 5)
+    want = [near_dup.weighted_shingles(t, vocabulary, 5) for t in texts]
+    assert sizes.tolist() == [len(h) for h, _ in want]
+    assert (hashes == np.concatenate([h for h, _ in want])).all()
+    assert (counts == np.concatenate([c for _, c in want])).all()
+
+
+def test_buckets_of_the_same_texts_are_compared_once(spark, monkeypatch):
+    words = [f"w{i}" for i in range(300)]
+    other = words[:18] + ["x"] + words[18:280] + [f"y{i}" for i in range(20)]
+    seen, linked_across = [], near_dup.linked_across
+
+    def counted(open_, *rest):
+        seen.append((open_.select("key").distinct().count(), open_.select("node").distinct().count()))
+        return linked_across(open_, *rest)
+
+    monkeypatch.setattr(near_dup, "linked_across", counted)
+    d = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other))], "doc_id long, text string")
+    near_dup.near_duplicates(d, threshold=0.99).collect()
+    assert seen == [(1, 2)]

@@ -6,6 +6,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -19,9 +20,11 @@ from tmweave.llm.common import SHINGLE_WORDS, SIMILARITY, components, saved, tab
 BANDS, ROWS = 24, 5
 BLOCK_NODES = 256            # texts of a bucket that are compared at once, two such blocks at most
 BLOCK_BYTES = 16 << 20       # and their bytes
+SMALL_BUCKET = 32            # nodes of a bucket that is dealt by its least node, so that texts are cut up once
+KNOWN = 1 << 22              # shingles that are kept for the next group
 BROADCAST_NODES = 500_000    # nodes that are sent to the texts (40 bytes each); else texts are shuffled
 BROADCAST_GONE = 2_000_000   # ids and digests, some 100 bytes each
-CHUNK = 400_000              # shingles that are handled at once
+CHUNK = 3 << 20              # bytes of text whose shingles are handled at once
 
 WORD = re.compile(r"[^\W_]+")
 _GOLD, _M1, _M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9,
@@ -31,9 +34,12 @@ _GOLD, _M1, _M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 def _mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer (splitmix)."""
     x = x + _GOLD
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
+    x ^= x >> np.uint64(30)
+    x *= _M1
+    x ^= x >> np.uint64(27)
+    x *= _M2
+    x ^= x >> np.uint64(31)
+    return x
 
 
 class _Vocabulary(dict):
@@ -62,6 +68,39 @@ def weighted_shingles(text: str | None, vocabulary: dict, k: int = SHINGLE_WORDS
     return np.unique(s, return_counts=True)
 
 
+def shingle_sets(texts, vocabulary: dict, k: int = SHINGLE_WORDS):
+    """``weighted_shingles`` of many texts at once: the sizes of the sets, their hashes and their
+    counts, both end to end."""
+    words = [WORD.findall((t or "").lower()) for t in texts]
+    n = np.array([len(w) for w in words], np.int64)
+    total = int(n.sum())
+    h = np.fromiter(map(vocabulary.__getitem__, chain.from_iterable(words)), np.uint64, total)
+    begin = np.cumsum(n) - n
+    number = np.maximum(n - k + 1, np.minimum(n, 1))
+    end = np.cumsum(number)
+    owner = np.repeat(np.arange(len(n)), number)
+    place = np.arange(len(owner)) + (begin - (end - number))[owner]
+    with np.errstate(over="ignore"):
+        longer = np.concatenate([h, np.zeros(k, np.uint64)])
+        s = np.zeros(total, np.uint64)
+        for j in range(k):
+            s = _mix(s ^ longer[j:total + j])
+        s = s[place]
+        for size in range(1, k):
+            short = np.flatnonzero(n == size)
+            one = np.full(len(short), size, np.uint64)
+            for j in range(size):
+                one = _mix(one ^ h[begin[short] + j])
+            s[end[short] - 1] = one
+    for i, j in zip((end - number).tolist(), end.tolist()):
+        s[i:j].sort()
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1]) | (owner[1:] != owner[:-1])
+    first = np.flatnonzero(new)
+    return (np.bincount(owner[first], minlength=len(n)), s[first],
+            np.diff(np.append(first, len(s))))
+
+
 def dart_signatures(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int,
                     k: int = BANDS * ROWS) -> np.ndarray:
     """DartMinHash signatures of ``n`` weighted sets: an (n, k) array of dart ids (0: empty set).
@@ -81,37 +120,40 @@ def dart_signatures(owner: np.ndarray, element: np.ndarray, weight: np.ndarray,
     todo = total > 0
     with np.errstate(over="ignore"):
         while todo.any():
-            here = np.flatnonzero(todo[owner])
+            here = slice(None) if todo.all() else todo[owner]
             own, elem, wt = owner[here], element[here], weight[here]
-            found = []
+            best, who = np.full(n * k, np.inf), np.zeros(n * k, np.uint64)
             band, low, width = 0, 0.0, 1.0
             while len(own):
                 base = _mix(elem ^ _mix(np.full(1, band, np.uint64)))
-                at, idx, j = np.zeros(len(own)), np.arange(len(own)), 0
-                while len(idx):
-                    dart = _mix(base[idx] + np.uint64(j) * _GOLD)
-                    u = ((dart >> np.uint64(11)).astype(float) + 0.5) / 2.0 ** 53
-                    at = at - np.log(u) / width
-                    alive = at < limit[own[idx]]
-                    idx, at, dart = idx[alive], at[alive], dart[alive]
+                at, j, most, first = np.zeros(len(own)), 0, limit[own], own * k
+                part = None if (wt >= low + width).all() else wt      # None: all darts are below
+                while len(at):
+                    dart = _mix(base + np.uint64(j) * _GOLD)
+                    u = (dart >> np.uint64(11)).astype(float)
+                    u += 0.5
+                    u /= 2.0 ** 53
+                    at -= np.log(u, out=u) / width
+                    alive = at < most
+                    at, base, dart, most, first = (x[alive] for x in (at, base, dart, most, first))
                     more = _mix(dart ^ _M1)
-                    v = low + width * ((more & np.uint64(0xFFFFFFFF)).astype(float) / 2.0 ** 32)
-                    hit = v < wt[idx]
-                    if hit.any():
-                        slot = ((more >> np.uint64(32)) % np.uint64(k)).astype(np.int64)
-                        found.append((own[idx][hit] * k + slot[hit], at[hit], dart[hit]))
+                    key = first + ((more >> np.uint64(32)) % np.uint64(k)).astype(np.int64)
+                    hit = at < best[key]
+                    if part is not None:
+                        part = part[alive]
+                        hit &= low + width * ((more & np.uint64(0xFFFFFFFF)).astype(float) / 2.0 ** 32) < part
+                    key, when, dart = key[hit], at[hit], dart[hit]
+                    np.minimum.at(best, key, when)
+                    # Of equal times the first dart: assigned last.
+                    won = np.flatnonzero(when == best[key])[::-1]
+                    who[key[won]] = dart[won]
                     j += 1
                 band, low, width = band + 1, low + width, width if band == 0 else width * 2
                 rest = wt > low
                 own, elem, wt = own[rest], elem[rest], wt[rest]
-            key, at, dart = (np.concatenate(c) for c in zip(*found)) if found else (
-                np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.uint64))
-            order = np.lexsort((at, key))
-            key, first = np.unique(key[order], return_index=True)
-            filled = np.bincount(key // k, minlength=n) == k
+            filled = (best < np.inf).reshape(n, k).all(axis=1)
             done = todo & filled
-            keep = done[key // k]
-            out.reshape(-1)[key[keep]] = np.maximum(dart[order][first[keep]], np.uint64(1))
+            out[done] = np.maximum(who.reshape(n, k)[done], np.uint64(1))
             todo &= ~filled
             limit[todo] *= 2
     return out
@@ -133,25 +175,24 @@ def sign(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.md5(F.col(text).cast("binary"))
                        .alias("text_key"), F.octet_length(text).alias("bytes"), F.col(text).alias("t"))
 
-    def flush(part, sets):
-        owner = np.repeat(np.arange(len(sets)), [len(h) for h, _ in sets])
-        sig = dart_signatures(owner, np.concatenate([h for h, _ in sets]),
-                              np.concatenate([c for _, c in sets]).astype(float), len(sets))
-        digests = [hashlib.md5(h.tobytes() + c.tobytes()).digest() if len(h) else None
-                   for h, c in sets]
-        return part[["doc_id", "text_key", "bytes"]].assign(digest=digests, bands=list(band_keys(sig)))
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary = _Vocabulary()
         for b in batches:
-            sets, start, size = [], 0, 0
-            for i, t in enumerate(b["t"]):
-                one = weighted_shingles(t, vocabulary, k)
-                sets.append(one)
-                size += len(one[0])
-                if size >= CHUNK or i == len(b) - 1:
-                    yield flush(b.iloc[start:i + 1], sets)
-                    sets, start, size = [], i + 1, 0
+            digests, bands = [], []
+            bytes_to = b["bytes"].fillna(0).cumsum().to_numpy()
+            start = 0
+            while start < len(b):
+                # Texts of about CHUNK bytes, one at least.
+                done = bytes_to[start - 1] if start else 0
+                stop = max(int(np.searchsorted(bytes_to, done + CHUNK, "right")), start + 1)
+                sizes, h, c = shingle_sets(b["t"].iloc[start:stop], vocabulary, k)
+                sig = dart_signatures(np.repeat(np.arange(len(sizes)), sizes), h, c.astype(float), len(sizes))
+                ends = np.cumsum(sizes)
+                digests += [hashlib.md5(h[i:j].tobytes() + c[i:j].tobytes()).digest() if j > i else None
+                            for i, j in zip((ends - sizes).tolist(), ends.tolist())]
+                bands += list(band_keys(sig))
+                start = stop
+            yield b[["doc_id", "text_key", "bytes"]].assign(digest=digests, bands=bands)
 
     return rows.mapInPandas(run, f"doc_id {dict(rows.dtypes)['doc_id']}, text_key string, "
                                  "bytes int, digest binary, bands array<bigint>")
@@ -189,6 +230,11 @@ def overlaps(sets: list) -> np.ndarray:
     """Sums of minima of the counts for all pairs of (hashes, counts), by products of indicator
     matrices over slices of the shingles that at least two sets have."""
     n = len(sets)
+    if n == 2:
+        (h, c), (other, counts) = sets
+        at = np.minimum(np.searchsorted(h, other), len(h) - 1)
+        both = h[at] == other
+        return np.full((2, 2), float(np.minimum(c[at[both]], counts[both]).sum()))
     owner = np.repeat(np.arange(n), [len(h) for h, _ in sets])
     count = np.concatenate([c for _, c in sets])
     _, column, users = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True,
@@ -212,30 +258,27 @@ def overlaps(sets: list) -> np.ndarray:
     return low
 
 
-def connections(group: pd.DataFrame, across: bool, vocabulary: dict, threshold: float,
-                k: int) -> pd.DataFrame:
-    """Edges that connect what the links of one block (or between the largest component and the
-    rest, ``across``) connect: at most one per node."""
-    sets = [weighted_shingles(t, vocabulary, k) for t in group["t"]]
+def connections(node: np.ndarray, part: np.ndarray, main: np.ndarray, sets: list, across: bool,
+                threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (two ends) that connect what the links of one block (or between the largest component
+    and the rest, ``across``) connect: at most one per node."""
     low = overlaps(sets)
     total = np.array([c.sum() for _, c in sets], float)
-    part, main = group["part"].to_numpy(), group["in_main"].to_numpy(bool)
     with np.errstate(invalid="ignore"):
         close = low >= threshold * (total[:, None] + total[None, :] - low)
     close &= part[:, None] != part[None, :]
     if across:
         close &= main[:, None] != main[None, :]
     i, j = np.nonzero(close)
-    label = np.arange(len(group))
+    label = np.arange(len(node))
     while True:                                               # least label of the neighbours
         nxt = label.copy()
         np.minimum.at(nxt, i, label[j])
         if (nxt == label).all():
             break
         label = nxt
-    node = group["node"].to_numpy()
-    some = label != np.arange(len(group))
-    return pd.DataFrame({"a": node[some], "b": node[label[some]]})
+    some = label != np.arange(len(node))
+    return node[some], node[label[some]]
 
 
 def _blocks(open_: DataFrame) -> DataFrame:
@@ -273,19 +316,45 @@ def _blocks(open_: DataFrame) -> DataFrame:
     groups = F.when(F.col("in_main"), F.transform(
         upto(F.col("rest_blocks")), lambda j: group(True, own_main, j))) \
         .otherwise(F.concat(with_main, with_rest))
-    return rows.select("key", "node", "part", "in_main", F.explode(groups).alias("g")) \
-        .select("key", "g.*", "node", "part", "in_main")
+    return rows.select("home", "key", "node", "part", "in_main", F.explode(groups).alias("g")) \
+        .select("home", "key", "g.*", "node", "part", "in_main")
 
 
 def linked_across(open_: DataFrame, texts: DataFrame, threshold: float, k: int) -> DataFrame:
     """Edges between nodes of open buckets (``key``, ``node``, ``part``, ``bytes``) that connect all
-    components with a link between them."""
-    keys = ["key", "across", "p", "q"]
+    components with a link between them.  Buckets of one ``home`` follow each other in a task, so
+    the texts that they share are cut into shingles once."""
+    unit = ["home", "across", "p", "q"]
+    keys = [*unit, "key"]
     rows = _blocks(open_).join(texts.select("node", "t"), "node") \
-        .repartition(*keys).sortWithinPartitions(*keys)
+        .repartition(*unit).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary, held = _Vocabulary(), None                # held: the group that may go on
+        known, size, last = {}, 0, None                       # sets of the nodes of this unit
+
+        def edges(b: pd.DataFrame, starts: list[int]) -> pd.DataFrame:
+            nonlocal size, last
+            node, part, main, text = (b[c].to_numpy() for c in ("node", "part", "in_main", "t"))
+            here = list(zip(*(b[c].iloc[starts[:-1]] for c in unit)))
+            found = []
+            for now, s, e in zip(here, starts, starts[1:]):
+                if now != last or size > KNOWN:
+                    known.clear()
+                    size, last = 0, now
+                own = node[s:e].tolist()
+                new = [i for i, x in enumerate(own) if x not in known]
+                if new:
+                    sizes, h, c = shingle_sets(text[s:e][new], vocabulary, k)
+                    ends = np.cumsum(sizes)
+                    size += len(h)
+                    for i, x, y in zip(new, (ends - sizes).tolist(), ends.tolist()):
+                        known[own[i]] = h[x:y], c[x:y]
+                found.append(connections(node[s:e], part[s:e], main[s:e].astype(bool),
+                                         [known[x] for x in own], bool(now[1]), threshold))
+            a, z = (np.concatenate(x) for x in zip(*found))
+            return pd.DataFrame({"a": a, "b": z})
+
         for b in batches:
             b = b if held is None else pd.concat([held, b], ignore_index=True)
             if not len(b):
@@ -294,14 +363,12 @@ def linked_across(open_: DataFrame, texts: DataFrame, threshold: float, k: int)
             for c in keys:
                 v = b[c].to_numpy()
                 change |= v[1:] != v[:-1]
-            starts = [0, *(np.flatnonzero(change) + 1)]
-            out = [connections(b.iloc[s:e], bool(b["across"].iat[s]), vocabulary, threshold, k)
-                   for s, e in zip(starts, starts[1:])]
+            starts = [0, *(np.flatnonzero(change) + 1).tolist()]
             held = b.iloc[starts[-1]:]
-            if out:
-                yield pd.concat(out)
+            if len(starts) > 1:
+                yield edges(b, starts)
         if held is not None and len(held):
-            yield connections(held, bool(held["across"].iat[0]), vocabulary, threshold, k)
+            yield edges(held, [0, len(held)])
 
     return rows.mapInPandas(run, "a bigint, b bigint")
 
@@ -348,8 +415,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     parts = saved(components(links, "dup"), "dup-parts")
     member = members.select("key", "node", "bytes").join(parts, "node", "left") \
         .select("key", "node", "bytes", F.coalesce("component", "node").alias("part"))
-    mixed = saved(member.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
-                  .where("lo <> hi").select("key"), "dup-mixed")
+    # Buckets of the same nodes (so many, the least, the greatest, 128 bits of hash) hold the same
+    # links: one of them stays.
+    nodes_of = [F.count("*").alias("n"), F.min("node").alias("first"), F.max("node").alias("last"),
+                F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
+    mixed = member.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), *nodes_of) \
+        .where("lo <> hi").groupBy("n", "first", "last", "x", "y").agg(F.min("key").alias("key"))
+    mixed = saved(mixed.select("key", F.when(F.col("n") <= SMALL_BUCKET, F.col("first"))
+                               .otherwise(F.col("key")).alias("home")), "dup-mixed")
     open_ = saved(member.join(mixed, "key"), "dup-open")
     more = saved(linked_across(open_, texts, threshold, k), "dup-links")
     parts = components(links.union(more), "dup")
