@@ -2,8 +2,8 @@
 
 Every operator takes and returns DataFrames; the heavy lifting (joins, grouping,
 windows, streaming state) runs inside Spark.  Python code on executors is limited
-to Arrow-batched pandas functions for the blocked similarity search and for
-caller-supplied model plug-ins.
+to Arrow-batched functions for the blocked similarity search, the hashing embedder
+and caller-supplied model plug-ins.
 """
 
 __version__ = "0.1.0"
