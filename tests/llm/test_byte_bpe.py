@@ -80,6 +80,40 @@ def test_any_ranks(library):
         assert [ids(p) for p in run(pieces)] == [plain(ranks, p) for p in pieces]
 
 
+@pytest.mark.parametrize("many", [1, 4, 24])
+def test_any_ranks_in_arrays(monkeypatch, many):
+    """Buckets joined as arrays: any ranks, repeats that overlap, a byte that is no token, empty pre-tokens."""
+    monkeypatch.setattr(byte_bpe, "MANY", many)
+    rng = random.Random(many)
+    for letters in (b"a", b"ab", b"abc", b"abcd"):
+        for _ in range(25):
+            tokens = [bytes([c]) for c in b"abcd"] + list({bytes(rng.choices(letters, k=rng.randrange(2, 6)))
+                                                           for _ in range(30)})
+            ranks = dict(zip(tokens, rng.sample(range(400), len(tokens))))
+            pieces = [bytes(rng.choices(letters, k=rng.randrange(0, 60))) for _ in range(60)]
+            assert [ids(p) for p in piece_encoder(ranks)(pieces)] == [plain(ranks, p) for p in pieces]
+    run = piece_encoder({b"a": 0, b"xa": 1, b"axa": 2})          # x alone is no token and gives no id
+    assert [ids(p) for p in run([b"xa", b"x", b"axa", b"xax", b"aaxaxa"] * 9)] == [[1], [], [2], [1], [0, 2, 1]] * 9
+
+
+def test_many_pieces_are_joined_together(library):
+    """Distinct pre-tokens of one bucket are joined as arrays, not one after the other in Python."""
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            self.asked += 1
+            return dict.get(self, *a)
+
+    ranks, rng = Counted(load_ranks(PATH)), random.Random(5)
+    words = list({"".join(rng.choices(["th", "he", "in", "er", "an", "on", "st", "ing"], k=rng.randrange(2, 6)))
+                  for _ in range(20_000)})
+    run = piece_encoder(ranks)
+    ranks.asked = 0
+    assert [ids(p) for p in run([w.encode() for w in words])] == [library.encode_ordinary(w) for w in words]
+    assert ranks.asked < len(words)
+
+
 def test_very_long_piece(library):
     run = piece_encoder(load_ranks(PATH))
     piece = "ab" * 2_200_000 + "c"            # over the size held as lists

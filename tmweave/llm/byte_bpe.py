@@ -20,6 +20,7 @@ MEMO_CHARS = 64           # longest of those
 SLICE_BYTES = 2 << 20     # texts that a task holds at once, one text at least
 WHOLE_CHARS = 1 << 20     # longer texts are matched MATCHES pre-tokens at a time
 MATCHES = 200_000         # pre-tokens that are looked up together
+MANY = 24                 # positions of a bucket from which they are joined as arrays
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -29,6 +30,28 @@ def load_ranks(path: str) -> dict[bytes, int]:
                 (line.split() for line in f if line.strip())}
 
 
+def _joins(ranks: dict[bytes, int], most: int) -> tuple[np.ndarray, np.ndarray, set[int]]:
+    """All pairs of tokens that are a token together, as sorted keys, and its ranks; and the ranks
+    that can make a pair of a lower one.  A token is named by its rank, a byte that is none by a
+    number above ``most``."""
+    number = {bytes([i]): most + 1 + i for i in range(256)} | ranks
+    get, keys, joined = number.get, [], []
+    for token, r in ranks.items():
+        for k in range(1, len(token)):
+            left = get(token[:k])
+            if left is None:
+                continue
+            right = get(token[k:])
+            if right is not None:
+                keys.append(left << 32 | right)
+                joined.append(r)
+    keys, joined = np.array(keys, np.int64), np.array(joined, np.int64)
+    order = np.argsort(keys)
+    keys, joined = keys[order], joined[order]
+    lowers = {r for part in (keys >> 32, keys & 0xFFFFFFFF) for r in part[part > joined].tolist()}
+    return keys, joined, lowers
+
+
 def piece_encoder(ranks: dict[bytes, int]) -> Callable[[list[bytes]], list[bytes]]:
     """A function from the bytes of pre-tokens to their packed ids.
 
@@ -43,39 +66,82 @@ def piece_encoder(ranks: dict[bytes, int]) -> Callable[[list[bytes]], list[bytes
     changed since it was queued is stale and skipped.  A join can't queue its own rank, for its
     bytes are part of the new pairs'; should it queue a lower one, the rest of the bucket waits.
     Every join queues two positions at most, so n bytes take O(n log n), whatever their joins.
+
+    A bucket of ``MANY`` positions and more is joined at once, in arrays.  That equals left to
+    right where no join can queue a lower rank.  Where one can, only the first position of every
+    pre-token is joined, for pre-tokens don't touch each other, and the rest of the bucket waits;
+    if that would leave most of it, it is taken from left to right after all.
     """
     most, get, longest = max(ranks.values(), default=0), ranks.get, max(map(len, ranks), default=0)
     bits = max(4, (most.bit_length() + 1) // 2)
     width, low = 1 << bits, (1 << bits) - 1
     bit = [1 << i for i in range(width)]
-    ones = np.array([get(bytes([i]), -1) for i in range(256)])
+    ones = np.array([get(bytes([i]), most + 1 + i) for i in range(256)])
     twos = np.array([get(bytes([i, j]), -1) for i in range(256) for j in range(256)])
+    keys, joined, lowers = _joins(ranks, most)
+
+    def ranks_of(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        if not len(keys):
+            return np.full(len(left), -1)
+        wanted = left << 32 | right
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, joined[at], -1)
 
     def encode(pieces: list[bytes]) -> list[bytes]:
         text, sizes = b"".join(pieces), np.array([len(p) for p in pieces], np.int64)
         n, ends = len(text), np.cumsum(sizes)
         if not n:
             return [b""] * len(pieces)
-        # Machine integers keep a pre-token of many megabytes small.
-        ints = np.ndarray.tolist if n < 1 << 22 else (lambda a: array("q", a.astype(np.int64).tobytes()))
         codes = np.frombuffer(text, np.uint8).astype(np.int64)
         edges = ends[sizes > 0]                        # behind the last byte of a pre-token
         pairs = np.append(twos[codes[:-1] * 256 + codes[1:]], -1)
         pairs[edges - 1] = -1
         front = np.arange(-1, n)
         front[np.append(edges, 0)] = -1
+        owner = np.repeat(np.arange(len(pieces)), sizes)
         # The first joins, bucket by bucket.
         order = np.argsort(pairs, kind="stable")
         order = order[np.searchsorted(pairs[order], 0):]
-        firsts = np.flatnonzero(np.append(True, np.diff(pairs[order]) > 0)) if len(order) else []
         buckets, words, top = {}, [0] * ((most >> bits) + 1), 0
-        for a, b in zip(firsts, [*firsts[1:], len(order)]):
-            r = int(pairs[order[a]])
-            buckets[r] = order[a:b].tolist()
-            words[r >> bits] |= bit[r & low]
-            top |= 1 << (r >> bits)
-        pair, before, after = ints(pairs), ints(front), ints(np.arange(1, n + 1))
-        token = ints(ones[codes])
+        # Machine integers, both as an array of Python's and as one of numpy's over the same bytes.
+        (pair, pairs), (before, befores), (after, afters), (token, tokens) = (
+            (a := array("q", np.ascontiguousarray(x, np.int64).tobytes()), np.frombuffer(a, np.int64))
+            for x in (pairs, front, np.arange(1, n + 1), ones[codes]))
+
+        def queue(starts: np.ndarray, found: np.ndarray) -> None:
+            """Puts positions, in order of the ranks ``found``, into their buckets."""
+            nonlocal top
+            firsts = [0, *(np.flatnonzero(found[1:] != found[:-1]) + 1).tolist()]
+            starts = starts.tolist()
+            for s, a, b in zip(found[firsts].tolist(), firsts, [*firsts[1:], len(starts)]):
+                if s in buckets:
+                    buckets[s] += starts[a:b]
+                else:
+                    buckets[s] = starts[a:b]
+                    words[s >> bits] |= bit[s & low]
+                    top |= 1 << (s >> bits)
+
+        def join(at: np.ndarray, r: int) -> None:
+            """Joins the tokens at all these positions with the next ones; none of them overlap."""
+            gone = afters[at]
+            end = afters[gone]
+            inner = befores[end] >= 0
+            afters[at], tokens[at], tokens[gone], pairs[gone] = end, r, -1, -1
+            befores[end[inner]] = at[inner]
+            pairs[at] = -2
+            previous = befores[at]
+            previous = previous[previous >= 0]
+            starts = np.concatenate([at[inner], previous[pairs[previous] != -2]])
+            pairs[at] = -1
+            found = ranks_of(tokens[starts], tokens[afters[starts]])
+            pairs[starts] = found
+            order = np.argsort(found, kind="stable")
+            order = order[np.searchsorted(found[order], 0):]
+            if len(order):
+                queue(starts[order], found[order])
+
+        if len(order):
+            queue(order, pairs[order])
         while top:
             w = (top & -top).bit_length() - 1
             r = (w << bits) + (words[w] & -words[w]).bit_length() - 1
@@ -84,6 +150,28 @@ def piece_encoder(ranks: dict[bytes, int]) -> Callable[[list[bytes]], list[bytes
             if not words[w]:
                 top ^= 1 << w
             waiting.sort()
+            if len(waiting) >= MANY:
+                now = np.array(waiting)
+                now = now[pairs[now] == r]
+                if r in lowers:
+                    whose = owner[now]
+                    first = np.append(True, whose[1:] != whose[:-1])[:len(now)]
+                    if 4 * np.count_nonzero(first) >= len(now):
+                        rest = now[~first]
+                        if len(now):
+                            join(now[first], r)
+                        if len(rest):
+                            queue(rest, np.full(len(rest), r))
+                        continue
+                else:
+                    # Of positions that overlap, as in aaa, every second one.
+                    over = np.append(False, afters[now[:-1]] == now[1:])[:len(now)]
+                    if over.any():
+                        place = np.arange(len(now))
+                        now = now[(place - np.maximum.accumulate(np.where(over, 0, place))) % 2 == 0]
+                    if len(now):
+                        join(now, r)
+                    continue
             least = r
             for at, i in enumerate(waiting):
                 if pair[i] != r:
@@ -119,9 +207,8 @@ def piece_encoder(ranks: dict[bytes, int]) -> Callable[[list[bytes]], list[bytes
                         words[w] |= bit[r & low]
                         top |= 1 << w
                     break
-        ids = np.array(token, np.int64)
-        live = ids >= 0
-        packed = ids[live].astype("<u4").tobytes()
+        live = (tokens >= 0) & (tokens <= most)
+        packed = tokens[live].astype("<u4").tobytes()
         stops = np.append(0, 4 * np.cumsum(live))[np.append(0, ends)].tolist()
         return [packed[a:b] for a, b in zip(stops, stops[1:])]
 
@@ -161,7 +248,7 @@ class _Coder:
         memo = self.memo
         if len(memo) > MEMO_PIECES:
             memo.clear()
-        new = list({w for _, window in held for w in window if w not in memo})
+        new = [w for w in set().union(*(window for _, window in held)) if w not in memo]
         raw = [w.encode() for w in new]
         # A pre-token that is a token as a whole is that token.
         whole = [self.ranks.get(p) for p in raw]
@@ -169,7 +256,7 @@ class _Coder:
         other = [i for i, r in enumerate(whole) if r is None]
         memo.update(zip([new[i] for i in other], self.pieces([raw[i] for i in other])))
         for part, window in held:
-            part.append(b"".join([memo[w] for w in window]))
+            part.append(b"".join(map(memo.__getitem__, window)))
         for w in new:
             if len(w) > MEMO_CHARS:
                 del memo[w]
