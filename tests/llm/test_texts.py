@@ -276,3 +276,22 @@ def test_links_equal_a_loop_over_random_texts(spark):
             at = max(at, stop)
         assert cut[i] == out + text[at:]
     assert any(len(v) > 2 for v in got.values())
+
+
+def test_pipeline_secrets_are_linked_by_the_interval_join(spark, monkeypatch, tmpdir_path):
+    import corpus_pipeline
+
+    calls, linked = [], secret_scan.linked
+    monkeypatch.setattr(secret_scan, "linked", lambda found, scope: calls.append((scope, linked(found, scope))) or calls[-1][1])
+    far = " filler" * 100
+    rows = [(1, f"{KEY}{far} key:{SECRET}"), (1, f"{KEY}{far} key:{SECRET}"), (None, f"key:{SECRET}"), (3, None), (4, "")]
+    spark.createDataFrame([(i, t, None if t is None else len(t)) for i, t in rows],
+                          "doc_id long, text string, n_chars int").write.parquet(f"{tmpdir_path}/docs")
+    docs = spark.read.parquet(f"{tmpdir_path}/docs")
+    got = corpus_pipeline.secrets(spark, docs, "").collect()
+    cut = f"[SECRET]{far} key:[SECRET]"
+    assert sorted((r["doc_id"] or 0, r["text"], r["n_chars"]) for r in got if r["text"] is not None) == [
+        (0, f"key:{SECRET}", len(f"key:{SECRET}")), (1, cut, len(cut)), (1, cut, len(cut)), (4, "", 0)]
+    assert [(r["doc_id"], r["n_chars"]) for r in got if r["text"] is None] == [(3, None)]
+    assert [scope for scope, _ in calls] == [None]
+    assert "Join" in calls[0][1]._jdf.queryExecution().optimizedPlan().toString()

@@ -120,15 +120,6 @@ def _needs(kind: Column, a: Column, b: Column) -> Column:
     return ((kind == 3) & b) | ((kind == 4) & a) | ((kind == 5) & a & b)
 
 
-def _whole(base: Column, weak: Column) -> Column:
-    """The weak spans with their complements anywhere in the text."""
-    a, b = (F.exists(base, lambda s: s["kind"].isin(*kinds)) | F.exists(weak, lambda s: s["kind"].isin(*kinds))
-            for kinds in ((1, 3), (0, 2, 4)))
-    # Bound to a variable: looked up once for a text, not for each of its spans.
-    return F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))),
-                       lambda r: F.filter(weak, lambda s: _needs(s["kind"], r["a"], r["b"])))[0]
-
-
 def linked(found: DataFrame, scope: int | None = SCOPE) -> DataFrame:
     """Weak parts with their complements nearby: ``_row``, ``_linked`` spans.
 
@@ -238,18 +229,10 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]",
     spans by one).  Rows, repeated ones too, order of columns and null texts stay as they are;
     an empty table stays empty; columns of any name are kept.
 
-    With ``scope`` None, linking needs a text's own parts alone: one pass over the table, nothing
-    is written or shuffled.  With a scope, links are a step of their own, whose spans are joined
-    back by the place of the row; texts are written only where ``docs`` isn't read from files.
+    Links are the interval join of ``linked`` for every scope, as in ``scan``.  What it moves are
+    spans, which are joined back by the place of the row; texts are written only where ``docs``
+    isn't read from files.
     """
-    if scope is None:
-        t = F.coalesce(F.col(text), F.lit(""))
-        # A one-element array binds the parts to a variable: they are found once.
-        spans = F.transform(F.array(F.struct(_base(t).alias("base"), _weak(t).alias("weak"))),
-                            lambda p: F.array_sort(F.concat(p["base"], _whole(p["base"], p["weak"]))))
-        new = F.transform(spans, lambda s: F.when(F.size(s) > 0, _cut(s, F.col(text), mask))
-                          .otherwise(F.col(text)))[0]
-        return docs.withColumn(text, new)
     keyed, at = located(docs, "secret-docs")
     found = parts(keyed.select(F.struct(*at).alias("_row"), F.col(text).alias("_text")), "_text")
     found = saved(found.drop("_text").where(F.size("_base") + F.size("_weak") > 0), "secret-parts")
