@@ -235,7 +235,8 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]",
     """
     keyed, at = located(docs, "secret-docs")
     found = parts(keyed.select(F.struct(*at).alias("_row"), F.col(text).alias("_text")), "_text")
-    found = saved(found.drop("_text").where(F.size("_base") + F.size("_weak") > 0), "secret-parts")
+    # Filtered when written: pushed below the patterns, the filter would match them once more.
+    found = saved(found.drop("_text"), "secret-parts").where(F.size("_base") + F.size("_weak") > 0)
     more = linked(found, scope)
     name = free("_spans", keyed.columns)
     spans = saved(found.join(more, "_row", "left").select(
